@@ -7,14 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, exact_dedup, hash_tree
+from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, group_matrix, hash_tree, line_crf, mixing, token_frames
 from stratalens.llm.shared import load
 
 
+def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.token_output(load(spark, sf_dir, "documents"))
+
+
+def op2_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(load(spark, sf_dir, "documents"), share=0.6, max_epochs=4)
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "item_id", "score", "seed_hits")
+
+
+def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = edit_counts.build_trees(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = edit_counts.apply_edits(trees, edit_counts.sample_edits(F.col("doc_id"), F.col("text")))
+    return out.select("doc_id", "n_tokens", "new_tokens", F.char_length("text").cast("long").alias("new_chars"), "encoded_chars", "n_leaves")
+
+
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(load(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_group_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_matrix.similarity_components(load(spark, sf_dir, "documents"))
+
+
 def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(load(spark, sf_dir, "conversations"))
 
@@ -25,7 +53,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_frames": op1_token_frames,
+    "op2_line_crf_quality": op2_line_crf_quality,
+    "op4_hierarchical_mixing": op4_hierarchical_mixing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_edit_token_counts": op6_edit_token_counts,
     "op7_hash_tree_sharding": op7_hash_tree_sharding,
+    "op8_group_matrix_join": op8_group_matrix_join,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_exact_dedup": op10_exact_dedup,
 }
