@@ -375,4 +375,5 @@ def test_exact_dedup(spark, docs, corpus, empty):
 
 
 def test_shared_root_is_read_from_the_session(spark):
-    assert shared.shared_root(spark).startswith("file://")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    assert shared.shared_root(spark) == root.rstrip("/") if root else shared.shared_root(spark).startswith("file://")
