@@ -140,13 +140,13 @@ def scan(items: Items, seeds: dict[int, Lookup], places: dict[int, list[list[tup
                         if score > best[a + d] or score == best[a + d] and score > 0 and items.ids[item] < named[a + d]:
                             best[a + d], named[a + d] = score, items.ids[item]
             low = best < MIN_SCORE
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(low, 0, best), pa.float64()), pa.array(named, pa.int64(), mask=low), pa.array(counts, pa.int64())], [*batch.schema.names, "score", "item_id", "seed_hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(low, 0, best), pa.float64()), pa.array(named, pa.int64(), mask=low), pa.array(counts, pa.int64())], [*batch.schema.names, "__score", "__item", "__hits"])
 
     return find
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with text, score, item_id (null where clean), seed_hits and contaminated."""
+    """The columns ``keep`` and text with __score, __item (null where clean), __hits and __contaminated."""
     spark = docs.sparkSession
     shared.bounded_batches(spark, rows=1000, mb=8)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = rows.withColumns({"score": F.lit(0.0), "item_id": F.lit(None).cast("long"), "seed_hits": F.lit(0).cast("long")})
+    out = rows.withColumns({"__score": F.lit(0.0), "__item": F.lit(None).cast("long"), "__hits": F.lit(0).cast("long")})
     for b in range(blocks):
         part = benchmark.select("item_id", "text").where("item_id is not null").distinct().where(block == b)
         items = Items.of(sorted((r["item_id"], r["text"] or "") for r in part.collect()))  # BLOCK_BYTES on average
@@ -175,11 +175,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
                 chosen[k].setdefault(int(keys[p]), []).append((i, p))
         seeds = {k: Lookup(lookups[k].keys[sorted(c)]) for k, c in chosen.items() if c}
         places = {k: [chosen[k][x] for x in sorted(chosen[k])] for k in seeds}
-        found = rows if blocks == 1 else out.withColumnsRenamed({"score": "__s", "item_id": "__i", "seed_hits": "__h"})
+        found = rows if blocks == 1 else out.withColumnsRenamed({"__score": "__s", "__item": "__i", "__hits": "__h"})
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) if blocks > 1 else fields
-        out = found.mapInArrow(scan(items, seeds, places), f"{kinds}, score double, item_id long, seed_hits long")
+        out = found.mapInArrow(scan(items, seeds, places), f"{kinds}, __score double, __item long, __hits long")
         if blocks > 1:
-            better = F.struct(F.col("score"), -F.col("item_id")) >= F.struct(F.col("__s"), -F.col("__i"))
-            better = F.col("item_id").isNotNull() & (F.col("__i").isNull() | better)
-            out = out.select(*rows.columns, F.when(better, F.col("score")).otherwise(F.col("__s")).alias("score"), F.when(better, F.col("item_id")).otherwise(F.col("__i")).alias("item_id"), (F.col("seed_hits") + F.col("__h")).alias("seed_hits"))
-    return out.withColumn("contaminated", F.col("item_id").isNotNull())
+            better = F.struct(F.col("__score"), -F.col("__item")) >= F.struct(F.col("__s"), -F.col("__i"))
+            better = F.col("__item").isNotNull() & (F.col("__i").isNull() | better)
+            pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old)).alias(new)
+            out = out.select(*rows.columns, pick("__score", "__s"), pick("__item", "__i"), (F.col("__hits") + F.col("__h")).alias("__hits"))
+    return out.withColumn("__contaminated", F.col("__item").isNotNull())

@@ -259,20 +259,20 @@ def scorer(model: Model | float):
                     x = x.astype("<f4").astype(float)
                     p, _ = forward_backward(model.unary(model.bins(x), bounds), bounds, model.transitions)
                     out = model.score(means(p, lengths, bounds))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in batch.schema.names), pa.array(out, pa.float64()), pa.array(np.diff(bounds), pa.int64())], [*batch.schema.names, "score", "n_lines"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in batch.schema.names), pa.array(out, pa.float64()), pa.array(np.diff(bounds), pa.int64())], [*batch.schema.names, "__score", "__n_lines"])
 
     return score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
-    """The columns ``keep`` (and the text, as ``text``) with score and n_lines."""
+    """The columns ``keep`` and text with __score and __n_lines."""
     shared.bounded_batches(docs.sparkSession, rows=1000, mb=8)
     model = train(docs, labels, sample)
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(scorer(model), f"{fields}, score double, n_lines long")
+    return rows.mapInArrow(scorer(model), f"{fields}, __score double, __n_lines long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     scored = score_documents(docs, labels, sample=sample)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__n_lines").alias("n_lines"))

@@ -95,7 +95,7 @@ def position(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float, weights: Mapping[tuple[str, ...], float] = WEIGHTS, max_epochs: int = 4, seed: int = 7, domain_col: Column | None = None) -> DataFrame:
-    """The documents' columns with domain, n_tokens and epoch, a row for each time that a document is taken; the budget is ``share`` of all tokens."""
+    """The documents' columns with __domain, __n (tokens) and __epoch, a row for each time that a document is taken; the budget is ``share`` of all tokens."""
     spark = docs.sparkSession
     leaf = {"__domain": F.coalesce(domain(F.col("source")) if domain_col is None else domain_col, F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))}
     keys = list(leaf)
@@ -128,6 +128,4 @@ def mix(docs: DataFrame, share: float, weights: Mapping[tuple[str, ...], float]
     v = position(seed, F.col("__whole"), F.col("doc_id"))
     taken = F.col("__range").isNull() | (F.shiftright(v, 63 - RANGES) < F.col("__range")) | F.coalesce(F.struct(v.alias("u"), F.col("doc_id").alias("doc_id")) <= F.col("__end"), F.lit(False))
     epochs = F.when(taken, F.sequence(F.lit(0), F.col("__whole"))).otherwise(F.when(F.col("__whole") > 0, F.sequence(F.lit(0), F.col("__whole") - 1)))
-    out = chosen.withColumn("epoch", F.explode(epochs))
-    shared_names = [c for c in docs.columns if c not in ("epoch", "domain", "n_tokens")]
-    return out.select(*shared_names, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), "epoch")
+    return chosen.withColumn("__epoch", F.explode(epochs)).select(*docs.columns, "__domain", "__n", "__epoch")

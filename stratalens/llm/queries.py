@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, group_matrix, hash_tree, line_crf, mixing, token_frames
+import corpus_pipeline
+from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, group_matrix, hash_tree, line_crf, line_dedup, mixing, token_frames
 from stratalens.llm.shared import load
 
 
@@ -19,14 +20,19 @@ def op2_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.removals(load(spark, sf_dir, "documents"))
+    return out.withColumn("removed", F.array_join(F.transform("removed", lambda k: k.cast("string")), ","))
+
+
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(load(spark, sf_dir, "documents"), share=0.6, max_epochs=4)
-    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return out.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__n").alias("n_tokens"), F.col("__epoch").alias("epoch"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "contaminated", "item_id", "score", "seed_hits")
+    return out.select("doc_id", F.col("__contaminated").alias("contaminated"), F.col("__item").alias("item_id"), F.col("__score").alias("score"), F.col("__hits").alias("seed_hits"))
 
 
 def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_line_crf_quality": op2_line_crf_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_hierarchical_mixing": op4_hierarchical_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_edit_token_counts": op6_edit_token_counts,
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_group_matrix_join": op8_group_matrix_join,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -127,4 +135,31 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from n join g using (norm)
 """
 
-ORACLE: dict[str, str] = {"op7_hash_tree_sharding": _op7_sql(), "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+#: Words in the order of their line counts; prefixes of the shorter and the longer set; lengths; whole sets.
+OP3_SQL = """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as line_no
+    from documents),
+w as (
+    select distinct doc_id, line_no, unnest(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+')) as word from lines),
+sets as (select doc_id, line_no, list(word order by word) as s, count(*) as n from w where word <> '' group by all),
+classes as (select s, n, min(struct_pack(d := doc_id, k := line_no)) as id from sets group by all),
+each as (select id, n, unnest(s) as word from classes),
+df as (select word, count(*) as c from each group by word),
+ranked as (select id, n, word, row_number() over (partition by id order by c, word) as i from each join df using (word)),
+pairs as (
+    select distinct a.id as a, b.id as b
+    from ranked a join ranked b on a.word = b.word and a.id < b.id and a.n * 100 >= b.n * 80 and b.n * 100 >= a.n * 80
+    where a.i <= a.n - (80 * a.n + 99) // 100 + 1 and b.i <= b.n - (80 * b.n + 99) // 100 + 1),
+sized as (
+    select p.b, len(list_intersect(x.s, y.s)) as c, x.n + y.n as total
+    from pairs p join classes x on x.id = p.a join classes y on y.id = p.b),
+gone as (select distinct b as id from sized where 100 * c >= 80 * (total - c)),
+removed as (
+    select doc_id, line_no from sets join classes using (s) left join gone using (id)
+    where gone.id is not null or struct_pack(d := doc_id, k := line_no) > id)
+select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint as n_lines, coalesce(r.c, 0)::bigint as n_removed, coalesce(r.l, '') as removed
+from documents d left join (select doc_id, count(*) as c, string_agg(line_no::varchar, ',' order by line_no) as l from removed group by doc_id) r using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_hash_tree_sharding": _op7_sql(), "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL}

@@ -134,7 +134,7 @@ def test_pour_and_budgets():
 
 @pytest.mark.parametrize("share", [0.4, 2.5])
 def test_mixing(spark, docs, corpus, empty, share):
-    got = mixing.mix(docs, share, max_epochs=4).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect()
+    got = mixing.mix(docs, share, max_epochs=4).select("doc_id", F.col("__n").alias("n_tokens"), F.col("__epoch").alias("epoch")).collect()
     count = lambda t: len((t or "").split())
     leaf = {}
     for i, t, lang, source in corpus:
@@ -192,7 +192,8 @@ def test_decontaminate(spark, docs, corpus, empty, monkeypatch):
     bench = spark.createDataFrame([*enumerate(item), (5, None), (6, ""), (7, "zz9 zz8")], "item_id long, text string")
 
     def run():
-        return {r["doc_id"]: r for r in decontaminate.decontaminate(own, bench).collect()}
+        out = decontaminate.decontaminate(own, bench).select("doc_id", F.col("__contaminated").alias("contaminated"), F.col("__item").alias("item_id"), F.col("__score").alias("score"))
+        return {r["doc_id"]: r for r in out.collect()}
 
     got = run()
     assert {i: r["item_id"] for i, r in got.items() if r["contaminated"]} == {1000: 0, 1001: 1, 1003: 0}
@@ -202,7 +203,7 @@ def test_decontaminate(spark, docs, corpus, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
     assert {(i, r["item_id"], r["score"]) for i, r in run().items()} == {(i, r["item_id"], r["score"]) for i, r in got.items()}
     assert decontaminate.decontaminate(empty, bench).count() == 0
-    assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
+    assert not any(r["__contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
 # 6
