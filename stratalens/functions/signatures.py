@@ -14,17 +14,21 @@ def sha(text: Column) -> Column:
 
 def ascii_only(text: Column) -> Column:
     """Null where a sign lies outside ASCII: such signatures don't exist."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text)
+    return T.let(text, lambda t: F.when(t.rlike(r"^[\x00-\x7F]*$"), t))
 
 
 def json_ascii(text: Column) -> Column:
     """The inside of a JSON string in ASCII: quotes and backslashes escaped, other signs as \\uXXXX of UTF-16."""
+    return T.let(text, _json_ascii)
+
+
+def _json_ascii(text: Column) -> Column:
     plain = F.regexp_replace(text, r'(["\\])', r"\\$1")
     units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
     sign = lambda h: F.char(F.conv(h, 16, 10).cast("int"))
     coded = F.transform(
         units,
-        lambda h: F.when(h.isin("0022", "005C"), F.concat(F.lit("\\"), sign(h))).when((h >= "0020") & (h <= "007F"), sign(h)).otherwise(F.concat(F.lit("\\u"), F.lower(h))),
+        lambda h: F.when(h.isin("0022", "005C"), F.concat(F.lit("\\"), sign(h))).when((h >= "0020") & (h <= "007E"), sign(h)).otherwise(F.concat(F.lit("\\u"), F.lower(h))),
     )
     return F.when(text.rlike(r"^[ -~]*$"), plain).otherwise(F.array_join(coded, ""))
 
@@ -36,7 +40,7 @@ def token(value: Column) -> Column:
 
 def fields(pairs: Column) -> Column:
     """k=v;k=v of array<struct<key,value>> with values, in the order of (key, value)."""
-    some = F.array_sort(F.filter(pairs, lambda p: p["value"] != ""))
+    some = F.filter(F.array_sort(pairs), lambda p: p["value"] != "")
     return F.array_join(F.transform(some, lambda p: F.concat(token(p["key"]), F.lit("="), token(p["value"]))), ";")
 
 

@@ -60,8 +60,8 @@ def tiered(tiers: list[DataFrame], key: list[str]) -> DataFrame:
 def instrument_lookup(instruments: DataFrame, registry: DataFrame, key: list[str]) -> DataFrame:
     """Tier 1: cusip or isin; tier 2: the canonical signature; tier 3: the title with ticker and exchange equal or blank in the registry."""
     r = registry.select("figi", "row_id", *(F.col(c).alias(f"r_{c}") for c in ("cusip", "isin", "canonical_signature", "normalized_title", "ticker", "exchange")))
-    ids = lambda side, c: F.explode(F.array_distinct(F.filter(F.array(F.struct(F.lit("cusip").alias("t"), F.col(f"{c}cusip").alias("v")), F.struct(F.lit("isin").alias("t"), F.col(f"{c}isin").alias("v"))), lambda x: F.coalesce(x["v"], F.lit("")) != ""))).alias("id")
-    one = instruments.select(*key, ids(instruments, "")).join(r.select("figi", "row_id", ids(r, "r_")), "id").select(*key, "figi", "row_id").distinct()
+    ids = lambda side, c: F.explode(F.array_distinct(F.filter(F.array(F.struct(F.lit("cusip").alias("t"), F.col(f"{c}cusip").alias("v")), F.struct(F.lit("isin").alias("t"), F.col(f"{c}isin").alias("v"))), lambda x: F.coalesce(x["v"], F.lit("")) != ""))).alias("__match")
+    one = instruments.select(*key, ids(instruments, "")).join(r.select("figi", "row_id", ids(r, "r_")), "__match").select(*key, "figi", "row_id").distinct()
     two = instruments.join(r, (F.col("canonical_signature") == F.col("r_canonical_signature")) & (F.col("r_canonical_signature") != "")).select(*key, "figi", "row_id")
     blank = lambda a, b: (F.col(a) == F.col(b)) | (F.coalesce(F.col(b), F.lit("")) == "")
     three = instruments.join(r, (F.col("normalized_title") == F.col("r_normalized_title")) & blank("ticker", "r_ticker") & blank("exchange", "r_exchange")).select(*key, "figi", "row_id")
