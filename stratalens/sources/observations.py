@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens import storage
 from stratalens.functions import signatures as S
 from stratalens.functions import text as T
 from stratalens.sources.rows import first_of, read_rows
@@ -88,6 +89,7 @@ def load_observations(spark: SparkSession, path: str | list[str]) -> tuple[DataF
             ((F.col("filed_date") != "") & ~F.col("filed_date").rlike(DATE), "P009-OBS-E007", "filed_date", F.col("filed_date")),
         ),
     )
+    staged = storage.written(staged, storage.fresh_dir(spark, "observations"))  # parsed once, read for rows and for diagnostics
     fatal = F.exists("problems", lambda p: p["code"].isin("P009-OBS-E002", "P009-OBS-E009", "P009-OBS-E003", "P009-OBS-E004"))
     clean = staged.where(~fatal).withColumns({n: F.when(shape(n), "").otherwise(F.col(n)) for n in ("figi", "cusip", "isin", "sedol")})
     clean = clean.withColumn("ids", F.struct("figi", "cusip", "isin", "sedol", "ticker", "others")).withColumn("weak", F.filter("weak_all", lambda p: p["value"] != ""))
