@@ -7,19 +7,25 @@ Documents are sets of word shingles; two link when 100 * intersection >= 80 * un
     result, this one keeps common passages out of the prefixes.
 2.  Documents with identical sets become one representative.
 3.  Similar documents are partitioned into groups: representatives with a common pair of minimum hashes are compared with the
-    first of them, and linked ones are joined into groups (connected components). A group of near copies is one group.
+    first of them, and linked ones are joined into groups (connected components). A group of near copies is one group. The
+    others are grouped by four common minimum hashes, so that copies with many edits stand together too.
 4.  The matrix holds each group's union of prefix tokens, as sorted blobs by token range. A document's own prefix is looked up in the
-    rows of other groups; the count of shared tokens is the bound on the overlap: a group with a member that links has at
-    least MIN_SHARED of them. Groups below the bound stay closed.
-5.  Qualifying groups are opened: members of fitting sizes are compared with the query, on the whole texts. Inside a
-    group nothing is left to do, so near copies are not expanded into pairs.
-6.  Links between groups are joined to the final components.
-
-Prefix argument: a link needs an overlap of at least a = ceil(0.8 n) tokens, so of the first n - a + s tokens of both sets at least s are shared.
+    rows of other groups; the count of shared tokens bounds the overlap with the group's members, given their sizes. Groups
+    below the bound stay closed.
+5.  Groups of several members are then bounded by their whole union of tokens, in slices of at most about SLICE members: a
+    slice is opened only for queries that share enough tokens with its union.
+6.  Members of open groups and slices with fitting sizes are compared with the query, on the whole texts. Inside a
+    linked group nothing is left to do, so near copies are not expanded into pairs; a document of a group that isn't linked also
+    queries its own group, under the bound on the slices' unions without the query's own tokens.
+7.  Links between groups are joined to the final components.
+
+Prefix argument: sets of n and m tokens link only with an overlap of a = ceil(80 (n + m) / 180) or more, and a >= need(n) =
+ceil(0.8 n). A prefix has n - need(n) + MIN_SHARED tokens. At most n - a of them are missing from the other set; the prefix that ends first
+in the common order therefore shares at least a - need(n or m) + MIN_SHARED tokens with the other prefix.
 
 Defined results: null and empty texts have no shingles and link with nothing, like rows with a null doc_id; identical sets link;
 rows with one doc_id and several texts take part once per text; an empty table gives no rows; further columns are ignored. Memory: a
-chunk of texts, and one token range of the matrix (tokens / spark.sql.shuffle.partitions).
+chunk of texts, and one token range of the matrix (RANGE_TOKENS on average).
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ from stratalens.llm.components import components
 
 K, MIN_SHARED = 5, 3
 HOT_TOKENS, HOT_COUNT = 1 << 18, 48
+SLICE = 256
+#: Tokens of one range of the matrix, on average.
+RANGE_TOKENS = 1 << 18
 #: Tokens that a worker gathers before it hands a piece on.
 PIECE = 1 << 20
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -63,11 +72,6 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def cut(sorted_tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets in sorted tokens."""
-    return np.searchsorted(bucket_of(sorted_tokens, buckets), np.arange(buckets + 1))
-
-
 def token_counter(buckets: int):
     """Counted tokens as one row per bucket and piece; once (one in the piece) and several apart."""
 
@@ -238,9 +242,11 @@ def matrix_rows(buckets: int):
         lens = np.array([len(r[0]) for r in rows])
         tokens = np.concatenate([r[0] for r in rows])
         doc, group, n = (np.repeat(np.array([r[k] for r in rows], dtype=np.int64), lens) for k in (1, 2, 3))
-        order = np.argsort(tokens)
+        # prefixes hold the small tokens, so ranges are those of a mixed value
+        bucket = bucket_of(textnum.mix(tokens), buckets)
+        order = np.lexsort((tokens, bucket))
         tokens, doc, group, n = tokens[order], doc[order], group[order], n[order]
-        bounds = cut(tokens, buckets)
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
         for b in np.flatnonzero(np.diff(bounds)):
             s = slice(bounds[b], bounds[b + 1])
@@ -310,8 +316,62 @@ def lookup(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"q": rows[:, 0], "g": rows[:, 1], "shared": rows[:, 2]})
 
 
+def least_shared(n: str, low: str, high: str):
+    """The fewest prefix tokens that a link with a member of a size from low to high shares: it is least at either end."""
+    at = lambda m: f"((80 * ({n} + {m}) + 179) div 180 - (80 * greatest({n}, {m}) + 99) div 100 + {MIN_SHARED})"
+    return F.expr(f"least({at(f'greatest({low}, (80 * {n} + 99) div 100)')}, {at(f'least({high}, (100 * {n}) div 80)')})")
+
+
+def union_maker(members: pd.DataFrame) -> pd.DataFrame:
+    """The union of a slice's tokens, those that several members hold marked by their lowest bit, and the smallest size."""
+    sets = [textnum.shingle_sets(d, o, K) for _, _, d, o in textnum.chunks(pa.array(members["text"], pa.string()))]
+    union, counts = np.unique(np.concatenate([t for t, _ in sets]), return_counts=True)
+    marked = np.unique((union & ~np.uint64(1)) | (counts > 1))  # without the lowest bit a bound may only grow
+    return pd.DataFrame({"g": members["g"].iloc[:1], "slice": members["slice"].iloc[:1], "low": [min(int(np.diff(b).min()) for _, b in sets)], "tokens": [pack(marked)]})
+
+
+def union_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries (q, text) and slices (g, slice, low, tokens): those whose overlap allows a link."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        lows, blobs, inside = batch.column("low").to_numpy(), batch.column("tokens"), batch.column("inside").to_pylist()
+        for a, b, data, offsets in textnum.chunks(batch.column("text")):
+            tokens, bounds = textnum.shingle_sets(data, offsets, K)
+            for i in range(a, b):
+                own, union = tokens[bounds[i - a] : bounds[i - a + 1]], unpack(blobs[i].as_py(), np.uint64)
+                n = len(own)
+                own = own & ~np.uint64(1)
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                hit = union[at] == own  # held by one member, who may be the query itself
+                more = np.minimum(np.searchsorted(union, own + np.uint64(1)), len(union) - 1)
+                overlap = int(((hit & (not inside[i])) | (union[more] == own + np.uint64(1))).sum())
+                keep[i] = 180 * overlap >= 80 * (n + max(int(lows[i]), int(need(np.int64(n)))))
+        yield batch.filter(pa.array(keep)).select(["q", "g", "slice"])
+
+
+def open_groups(docs: DataFrame, bound: DataFrame, grouped: DataFrame, root: str) -> DataFrame:
+    """Pairs (a, b) of queries and members of the groups that stay open under the bound on whole unions."""
+    sizes = grouped.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("members"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("members") / SLICE)).cast("int")
+    loose = grouped.where("not linked").select(F.col("doc_id").alias("q"), F.col("group").alias("g"), "n", F.lit(True).alias("own"))
+    queries = bound.join(grouped.select(F.col("doc_id").alias("q"), "n"), "q").select("q", "g", "n", F.lit(False).alias("own")).union(loose).join(sizes, "g")
+    queries = shared.written(queries.where("members > 1 or not own").withColumn("q_slice", F.when(F.col("own"), slot("q"))), f"{root}/queries")
+    single = queries.where("members = 1").select(F.col("q").alias("a"), F.col("g").alias("b"))
+    several = queries.where("members > 1").select("q", "g", "n", "own", "q_slice")
+    wanted = several.select("g").distinct().join(sizes, "g")
+    members = shared.written(grouped.select(F.col("group").alias("g"), F.col("doc_id").alias("b"), F.col("n").alias("m")).join(wanted, "g").select("g", "b", "m", slot("b").alias("slice")), f"{root}/members")
+    ids = members.select(F.col("b").alias("id")).union(several.select(F.col("q").alias("id"))).distinct()
+    texts = shared.written(texts_of(docs, ids), f"{root}/texts")
+    unions = members.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").groupBy("g", "slice").applyInPandas(union_maker, "g long, slice int, low long, tokens binary")
+    tests = several.join(unions, "g").join(texts.select(F.col("doc_id").alias("q"), "text"), "q")
+    tests = tests.select("q", "g", "slice", "low", "tokens", "text", F.coalesce(F.col("q_slice") == F.col("slice"), F.lit(False)).alias("inside"))
+    opened = shared.written(tests.mapInArrow(union_bound, "q long, g long, slice int"), f"{root}/opened")
+    pairs = opened.join(several, ["q", "g"]).join(members, ["g", "slice"]).where(fitting("n", "m")).where("not own or b < q").select(F.col("q").alias("a"), "b")
+    return single.union(pairs)
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links-free class ids of all documents: one row per input row."""
+    """doc_id, n_shingles, component_id: one row per input row."""
     spark: SparkSession = docs.sparkSession
     shared.bounded_batches(spark, rows=1000, mb=8)
     root = shared.fresh_dir(spark, "group-matrix")
@@ -327,15 +387,17 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     stars = shared.written(stars.select(F.col("doc_id").alias("a"), "b").distinct(), f"{root}/stars")
     links = verified(docs, stars, f"{root}/links")
     groups = components(links, "a", "b")
-    grouped = reps.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    grouped = shared.written(grouped.select("doc_id", "group", "n", "prefix"), f"{root}/grouped")
-    buckets = shared.partitions_of(spark)
+    grouped = shared.written(reps.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id", "left"), f"{root}/linked")
+    alike = grouped.where("group is null").groupBy("k1", "k2").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
+    loose = grouped.where("group is null").join(alike, ["k1", "k2"], "left").select("doc_id", F.coalesce("leader", "doc_id").alias("group"), F.lit(False).alias("linked"), "n", "prefix")
+    grouped = shared.written(grouped.where("group is not null").select("doc_id", "group", F.lit(True).alias("linked"), "n", "prefix").union(loose), f"{root}/grouped")
+    buckets = max(1, -(-(grouped.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // (8 * RANGE_TOKENS)))
     rows = grouped.mapInArrow(matrix_rows(buckets), "bucket int, tokens binary, docs binary, groups binary, sizes binary")
     bound = rows.groupBy("bucket").applyInPandas(lookup, "q long, g long, shared long").groupBy("q", "g").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= MIN_SHARED)
-    bound = shared.written(bound.select("q", "g"), f"{root}/bound")
-    members = grouped.select(F.col("group").alias("g"), F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    opened = bound.join(grouped.select(F.col("doc_id").alias("q"), "n"), "q").join(members, "g").where(fitting("n", "m")).select(F.col("q").alias("a"), "b")
-    more = verified(docs, shared.written(opened.distinct(), f"{root}/opened"), f"{root}/more")
+    spans = grouped.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    bound = bound.join(grouped.select(F.col("doc_id").alias("q"), "n"), "q").join(spans, "g").where(F.col("shared") >= least_shared("n", "low", "high")).select("q", "g")
+    opened = open_groups(docs, shared.written(bound, f"{root}/bound"), grouped, root)
+    more = verified(docs, shared.written(opened.distinct(), f"{root}/pairs"), f"{root}/more")
     final = components(links.union(more), "a", "b")
     by_set = reps.select("doc_id", "f1", "f2", "n").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("f1", "f2", "n", F.coalesce("component", "doc_id").alias("component_id"))
     real_rows = sets.select("doc_id", "n", "f1", "f2").where("n > 0 and doc_id is not null").join(by_set, ["f1", "f2", "n"])
