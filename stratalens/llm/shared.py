@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,20 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a SparkContext, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_stratalens_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="stratalens-code-")  # the driver serves it as long as the context lives
+        shutil.copytree(package, Path(folder, "tree", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/tree"))
+        context._stratalens_shipped = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Arrow batches stay small in rows and bytes, so a Python worker's memory doesn't grow with the texts."""
+    """For plans with Python: workers find this package, and Arrow batches stay small in rows and bytes, so that a worker's memory doesn't grow with the texts."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
