@@ -77,13 +77,15 @@ def classed(docs: DataFrame, classes: bytes, path: str) -> DataFrame:
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes, a not larger than b, that pass the prefix, length and positional filters."""
-    rows = firsts.select(F.struct("doc_id", "line_no").alias("id"), "n", F.posexplode("prefix").alias("i", "key"))
-    a = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    """Pairs (a, b) of classes' fingerprints, a's set not larger than b's, that pass the prefix, length and positional filters.
+
+    The condition on a's position also names b's size, so that it stays in the join and both sides read one exchange."""
+    rows = firsts.select("f1", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "key")).repartition("key")
+    a = rows.select("key", F.col("f1").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = rows.select("key", F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     least = F.expr("(80 * (na + nb) + 179) div 180")  # the overlap that a similarity of 0.8 needs
     fits = (
-        (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") * 100 >= F.col("nb") * 80) & (F.col("ia") < F.expr("na - (160 * na + 179) div 180 + 1"))
+        (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") * 100 >= F.col("nb") * 80) & F.when(F.col("nb") >= F.col("na"), F.col("ia") < F.expr("na - (160 * na + 179) div 180 + 1"))
         & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least)
     )
     return a.join(b, "key").where(fits).select("a", "b").distinct()
@@ -108,19 +110,23 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     classes = slot_classes(docs)
     rows = classed(docs, classes, f"{root}/lines")
-    groups = rows.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    groups = shared.written(rows.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), f"{root}/classes")
     own = groups.select("f1", "f2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    firsts = rows.join(own, ["doc_id", "line_no", "f1", "f2", "n"]).dropDuplicates(["doc_id", "line_no", "f1"])
+    firsts = rows.join(own, ["doc_id", "line_no", "f1", "f2", "n"])
     pairs = shared.written(candidates(firsts), f"{root}/pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"))
+    ids = pairs.select(F.col("a").alias("f1")).union(pairs.select(F.col("b").alias("f1"))).distinct().join(own, "f1").select("doc_id", "line_no", "f1", "f2")
+    ids = shared.written(ids, f"{root}/ids")
     texts = docs.where("doc_id is not null").where(doc_filter(ids)).distinct()
     wanted = ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))  # lines of one document
     found = texts.join(wanted, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("nos", F.col("line_no")))
-    sets = shared.written(found.select(F.struct("doc_id", "line_no").alias("id"), keys(F.col("line"), classes).alias("k")), f"{root}/sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    sets = found.select("doc_id", "line_no", keys(F.col("line"), classes).alias("k")).join(ids, ["doc_id", "line_no"])
+    sets = shared.written(sets.select(F.struct("doc_id", "line_no").alias("id"), "f1", "k").where(F.xxhash64("k") == F.col("f1")), f"{root}/sets")
+    left = sets.select(F.col("f1").alias("a"), F.col("id").alias("ia"), F.col("k").alias("ka"))
+    right = sets.select(F.col("f1").alias("b"), F.col("id").alias("ib"), F.col("k").alias("kb"))
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ka", "kb"))
     links = both.where(common * 100 >= (F.size("ka") + F.size("kb") - common) * 80)
-    later = links.select(F.greatest("a", "b").alias("first")).distinct()
+    later = links.select(F.greatest("ia", "ib").alias("first")).distinct()
     # every line of a class that an earlier class matches goes; of the others all but the first go
     state = groups.join(later.withColumn("gone", F.lit(True)), "first", "left").select("f1", "f2", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     marked = rows.select("doc_id", "line_no", "f1", "f2", "n").join(state, ["f1", "f2", "n"])
