@@ -277,6 +277,33 @@ def brute_components(texts):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
+def test_decontaminate_finds_what_brute_force_finds(spark, monkeypatch):
+    """Copies with every 4th and every 3rd word changed, beside a verbatim copy, insertions, gaps and texts of common words only."""
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(60)]
+    item = [[f"q{rnd.randrange(10**6)}" if rnd.random() < 0.5 else rnd.choice(vocabulary) for _ in range(rnd.choice((9, 30, 31)))] for _ in range(8)]
+    item[0] = [f"q{k}" for k in range(30)]
+    every = lambda words, n, at: [f"x{rnd.randrange(10**6)}" if k % n == at else w for k, w in enumerate(words)]
+    texts = [every(item[0], 4, 3), item[0], every(item[1], 4, 3)]  # item 0 has a verbatim copy elsewhere, item 1 has none
+    texts += [every(w, n, at) for w in item for n, at in ((3, 2), (4, 0), (2, 0))]
+    texts += [[x for w in i for x in ((w,) if rnd.random() < 0.5 else (w, "y"))] for i in item]
+    texts += [[w for w in i if rnd.random() < 0.7] for i in item]
+    texts += [[rnd.choice(vocabulary) for _ in range(rnd.randint(0, 150))] for _ in range(40)]
+    pad = lambda t: [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))] + t + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 30))]
+    texts = [pad(t) for t in texts]
+    want = {}
+    for d, t in enumerate(texts):
+        best = max((smith_waterman(i, t), -k) for k, i in enumerate(item))
+        want[d] = (best[0], -best[1]) if best[0] >= 0.5 else (0, None)
+    assert want[0] != (0, None) and want[2] != (0, None) and 20 < sum(k is not None for _, k in want.values()) < len(texts) - 20
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(item)], "item_id long, text string")
+    for pairs in (1 << 21, 5):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs, raising=False)
+        got = decontaminate.decontaminate(docs, bench).collect()
+        assert {r["doc_id"]: (r["__score"], r["__item"]) for r in got} == want
+
+
 def test_shingle_sets():
     texts = ["A b c d e f", "a b c", "", "x  y\tz", "a b c d e a b c d e", "ü B\nc"]
     import pyarrow as pa
