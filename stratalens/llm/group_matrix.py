@@ -317,9 +317,11 @@ def lookup(pieces: pd.DataFrame) -> pd.DataFrame:
 
 
 def least_shared(n: str, low: str, high: str):
-    """The fewest prefix tokens that a link with a member of a size from low to high shares: it is least at either end."""
+    """The fewest prefix tokens that a link with a member of a size from low to high shares. Up to n it grows with the member's
+    size; from n on five sizes more make it less (3 at most against 4), so the minimum is at the low end or among the five highest sizes."""
     at = lambda m: f"((80 * ({n} + {m}) + 179) div 180 - (80 * greatest({n}, {m}) + 99) div 100 + {MIN_SHARED})"
-    return F.expr(f"least({at(f'greatest({low}, (80 * {n} + 99) div 100)')}, {at(f'least({high}, (100 * {n}) div 80)')})")
+    first, last = f"greatest({low}, (80 * {n} + 99) div 100)", f"least({high}, (100 * {n}) div 80)"
+    return F.expr(f"least({at(first)}, {', '.join(at(f'greatest({first}, {last} - {k})') for k in range(5))})")
 
 
 def union_maker(members: pd.DataFrame) -> pd.DataFrame:

@@ -348,6 +348,31 @@ def test_prefix_is_exact_without_groups(spark, docs, corpus, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+def test_least_shared_over_all_size_ranges(spark):
+    shared_by = lambda n, m: -(-80 * (n + m) // 180) - -(-80 * max(n, m) // 100) + 3
+    rows = []
+    for n in range(1, 60):
+        fit = [m for m in range(1, 2 * n) if 100 * n >= 80 * m and 100 * m >= 80 * n]
+        rows += [(n, low, high, min(shared_by(n, m) for m in fit if low <= m <= high)) for low in fit for high in fit if low <= high]
+        rows += [(n, 1, 1000, min(shared_by(n, m) for m in fit))]
+    got = spark.createDataFrame(rows, "n long, low long, high long, want long").select("*", group_matrix.least_shared("n", "low", "high").alias("least"))
+    assert got.where("least <> want").count() == 0
+
+
+def test_link_with_one_size_of_a_group(spark):
+    """A query of 13 shingles links with the member of 14 only, in a group of 13 to 15."""
+    rnd = random.Random(3)
+    rows = []
+    for c in range(600):
+        w = [f"c{c}w{rnd.randrange(10**6)}" for _ in range(25)]
+        y = w[:16] + w[17:19]
+        rows += [" ".join(t) for t in (y, y + [w[19]], y[2:] + [w[20]], w[:17])]
+    want, _ = brute_components(rows)
+    assert all(want[i] == i // 4 * 4 for i in range(len(rows)))
+    got = group_matrix.similarity_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
 # 9
 def brute_chat(rows):
     convs = defaultdict(set)
