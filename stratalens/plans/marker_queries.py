@@ -163,12 +163,19 @@ def strip_tags_normalize(spark, root):
     return Tables(spark, root).pages.select("page_id", text.alias("t")).select("page_id", F.length("t").cast("bigint").alias("n_chars"), S.sha(F.col("t")).alias("text_sha"))
 
 
+#: Turns of one submission: a longer conversation becomes several, so that no task holds all of it.
+SUBMISSION_TURNS = 20
+
+
 @query()
 def sgml_udtf(spark, root):
-    """Conversations as tagged submissions, parsed back to one row per document."""
-    turns = Tables(spark, root).conversations.where("turn < 20")
-    record = F.concat(F.lit("<DOCUMENT>\n<TYPE>"), "role", F.lit("\n<SEQUENCE>"), F.col("turn").cast("string"), F.lit("\n<FILENAME>"), F.lit("t"), F.col("turn").cast("string"), F.lit(".txt\n<TEXT>\n"), "text", F.lit("\n</TEXT>\n</DOCUMENT>\n"))
-    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", record.alias("r")))).alias("p"))
+    """Conversations as tagged submissions, parsed back to one row per document. A null turn has an empty sequence; null roles and texts are empty."""
+    c = Tables(spark, root).conversations
+    turn = F.coalesce(F.col("turn").cast("string"), F.lit(""))
+    text = lambda name: F.coalesce(name, F.lit(""))
+    record = F.concat(F.lit("<DOCUMENT>\n<TYPE>"), text("role"), F.lit("\n<SEQUENCE>"), turn, F.lit("\n<FILENAME>"), F.lit("t"), turn, F.lit(".txt\n<TEXT>\n"), text("text"), F.lit("\n</TEXT>\n</DOCUMENT>\n"))
+    # equal turns share a submission, where repeated names are found
+    parts = c.groupBy("conv_id", F.floor(F.col("turn") / SUBMISSION_TURNS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", record.alias("r")))).alias("p"))
     whole = parts.select(F.col("conv_id").cast("string").alias("path"), F.concat(F.lit("<SUBMISSION>\n<ACCESSION-NUMBER>0000000000-24-000001\n"), F.array_join(F.transform("p", lambda x: x["r"]), ""), F.lit("</SUBMISSION>\n")).alias("content"))
     return D.parse_submissions(whole).select("path", "sequence", "type", "filename", F.length("text").alias("n_chars"), "error")
 
