@@ -144,6 +144,14 @@ def alias_components(spark, root):
     return graph.components(edges, "a", "b")
 
 
+@query()
+def alias_components_all(spark, root):
+    """Components over all rows of lineitem; alias_components takes the month that its SQL names."""
+    items = Tables(spark, root).lineitem.where("l_orderkey is not null and l_partkey is not null")
+    edges = items.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    return graph.components(edges, "a", "b")
+
+
 @query("select o_orderkey, o_orderpriority from (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r from orders) where r <= 100")
 def event_caps(spark, root):
     kept, _ = ledger.cap_rows(Tables(spark, root).orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], 100)

@@ -1,5 +1,8 @@
 """Registered queries without SQL over small tables of their own."""
 
+import random
+from datetime import datetime
+
 from stratalens.plans import queries
 
 
@@ -11,3 +14,23 @@ def test_sgml_udtf_keeps_every_turn(spark, tmp_path):
     want = [("1", f"t{t}.txt", "user" if t % 2 == 0 else "assistant", len(f"text {t}"), "") for t in range(45)]
     want += [("2", "t.txt", "user", 7, ""), ("2", "t0.txt", "", 1, ""), ("2", "t25.txt", "user", 0, ""), ("2", "t25.txt", "user", 5, "duplicate_name"), ("3", "t7.txt", "user", 9, "")]
     assert got == sorted(want)
+
+
+def test_alias_components_over_all_rows(spark, tmp_path):
+    """One giant component, small ones, links in several years, repeated and null rows; against union-find."""
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(60), rnd.randrange(40)) for _ in range(80)] + [(k, 7) for k in range(25)] + [(100 + k, 100 + k) for k in range(10)] + [(3, 9)] * 3
+    parent: dict[str, str] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o, p in rows:
+        a, b = sorted((root(f"o{o}"), root(f"p{p}")))
+        parent[b] = a
+    table = [(o, p, datetime(1992 + k % 7, 1 + k % 12, 1)) for k, (o, p) in enumerate(rows)] + [(None, 1, None), (1, None, None)]
+    spark.createDataFrame(table, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in queries.QUERIES["alias_components_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(parent) and dict(got) == {n: root(n) for n in parent}
