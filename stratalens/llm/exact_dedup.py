@@ -3,10 +3,11 @@
 The key of a text is 60 bits of the sha256 of its normal form. The directory starts with one bucket; as long as a
 bucket holds more than ``capacity`` different keys it is split by its next key bit, and the directory doubles when the bucket's
 depth is the directory's. The splits follow from the counts of keys at the deepest level, which is a bounded
-table. Each bucket is a contiguous range of keys, and owner tasks take ranges of buckets: a task receives
-the distinct (key, text) entries of its range, chains the entries that share a key, and tells them apart by comparing
-the texts' bytes. The index (bucket, key, chain, sha256, keep_id, group_size) and the directory are written to the shared
-folder; rows look up their entry in it.
+table. Each bucket is a contiguous range of keys, and owner tasks take ranges of buckets and number the entries that share a
+key. The index (bucket, key, chain, sha256, keep_id, group_size) and the directory are written to the shared folder.
+
+The result doesn't depend on directory and chains: keep_id and group_size come from grouping on (sha256, text), and rows look up
+their entry by sha256.
 
 Copies meet as one entry per map task and text (partial aggregation), so a text that a third of all rows share is
 not gathered anywhere; looking up is an equi-join whose hot side Spark can split.
