@@ -2,16 +2,16 @@
 
 Documents are sets of word shingles; two link when 100 * intersection >= 80 * union. The join is exact:
 
-1.  Shingles are counted over all documents. The most frequent ones (at most HOT_TOKENS, a bound on what is sent to the workers)
-    go last in the token order, the others go by hash; any order that all documents share gives the same
-    result, this one keeps common passages out of the prefixes.
+1.  Shingles are counted over all documents, by summaries of bounded size. The most frequent ones (at most HOT_TOKENS, a bound on what
+    is sent to the workers) go last in the token order, from rare to frequent, the others go by hash; any order that all documents
+    share gives the same result, this one keeps common passages out of the prefixes.
 2.  Documents with identical sets become one representative.
 3.  Similar documents are partitioned into groups: representatives with a common pair of minimum hashes are compared with the
     first of them, and linked ones are joined into groups (connected components). A group of near copies is one group. The
     others are grouped by four common minimum hashes, so that copies with many edits stand together too.
 4.  The matrix holds each group's union of prefix tokens, as sorted blobs by token range. A document's own prefix is looked up in the
-    rows of other groups; the count of shared tokens bounds the overlap with the group's members, given their sizes. Groups
-    below the bound stay closed.
+    rows of other groups of fitting sizes. A shared token counts where enough tokens are left behind it in both sets; a group
+    with fewer than MIN_SHARED such tokens stays closed.
 5.  Groups of several members are then bounded by their whole union of tokens, in slices of at most about SLICE members: a
     slice is opened only for queries that share enough tokens with its union.
 6.  Members of open groups and slices with fitting sizes are compared with the query, on the whole texts. Inside a
@@ -20,8 +20,10 @@ Documents are sets of word shingles; two link when 100 * intersection >= 80 * un
 7.  Links between groups are joined to the final components.
 
 Prefix argument: sets of n and m tokens link only with an overlap of a = ceil(80 (n + m) / 180) or more, and a >= need(n) =
-ceil(0.8 n). A prefix has n - need(n) + MIN_SHARED tokens. At most n - a of them are missing from the other set; the prefix that ends first
-in the common order therefore shares at least a - need(n or m) + MIN_SHARED tokens with the other prefix.
+ceil(0.8 n). The k-th token that they share, in the common order, has at least a - k + 1 tokens from its place to the end in
+both sets, itself included. So each of the first MIN_SHARED shared tokens has at least a - MIN_SHARED + 1 of them: it stands in both prefixes of
+n - need(n) + MIN_SHARED tokens, and counts. Common passages that fill most of two documents are no shared tokens in this sense
+unless what goes before them is short enough for a link.
 
 Defined results: null and empty texts have no shingles and link with nothing, like rows with a null doc_id; identical sets link;
 rows with one doc_id and several texts take part once per text; an empty table gives no rows; further columns are ignored. Memory: a
@@ -43,7 +45,8 @@ from stratalens.llm import shared, textnum
 from stratalens.llm.components import components
 
 K, MIN_SHARED = 5, 3
-HOT_TOKENS, HOT_COUNT = 1 << 18, 48
+#: Frequent tokens that are told apart, the count from which one is frequent, and the tokens of a task's summary.
+HOT_TOKENS, HOT_COUNT, SUMMARY = 1 << 18, 24, 1 << 17
 SLICE = 256
 #: Tokens of one range of the matrix, on average.
 RANGE_TOKENS = 1 << 18
@@ -72,62 +75,52 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def token_counter(buckets: int):
-    """Counted tokens as one row per bucket and piece; once (one in the piece) and several apart."""
+def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's summary of frequent tokens (Misra and Gries, 1982): at most SUMMARY of them, each counted short by at most one
+    SUMMARY-th of the task's tokens."""
+    tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts: list[np.ndarray] = []
+    held = 0
+
+    def fold() -> None:
+        nonlocal tokens, counts, parts, held
+        new, n = np.unique(np.concatenate(parts), return_counts=True)
+        both, weights = np.concatenate((tokens, new)), np.concatenate((counts, n))
+        order = np.argsort(both, kind="stable")
+        both, weights = both[order], weights[order]
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        tokens, counts = both[first], np.add.reduceat(weights, first)
+        if len(tokens) > SUMMARY:
+            counts = counts - np.partition(counts, len(counts) - SUMMARY - 1)[len(counts) - SUMMARY - 1]
+            tokens, counts = tokens[counts > 0], counts[counts > 0]
+        parts, held = [], 0
 
-    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        tokens = tokens >> np.uint64(16)  # 48 bits serve for an order
-        bounds = np.searchsorted(bucket_of(tokens << np.uint64(16), buckets), np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(bounds)):
-            t, c = tokens[bounds[b] : bounds[b + 1]], counts[bounds[b] : bounds[b + 1]]
-            one = c == 1
-            thin = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            rows.append((int(b), thin(t[one]), thin(t[~one]), c[~one].astype("<u4").tobytes()))
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "once", "several", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for _, _, data, offsets in textnum.chunks(batch.column("text")):
-                tokens, _ = textnum.shingle_sets(data, offsets, K)
-                if len(tokens):
-                    parts.append(tokens)
-                    held += len(tokens)
-                if held >= PIECE:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield from flush(parts)
-
-    return count
-
-
-def frequent(pieces: pd.DataFrame) -> pd.DataFrame:
-    wide = lambda blob: np.pad(np.frombuffer(blob, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
-    tokens = np.concatenate([wide(b) for c in ("once", "several") for b in pieces[c]])
-    counts = np.concatenate([np.ones(sum(len(b) // 6 for b in pieces["once"]), np.int64), *(np.frombuffer(b, "<u4").astype(np.int64) for b in pieces["counts"])])
+    for batch in batches:
+        for _, _, data, offsets in textnum.chunks(batch.column("text")):
+            own, _ = textnum.shingle_sets(data, offsets, K)
+            if len(own):
+                parts.append(own)
+                held += len(own)
+            if held >= PIECE:
+                fold()
+    if held:
+        fold()
+    for at in range(0, len(tokens), 1 << 14):
+        yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[at : at + (1 << 14)].view(np.int64)), "n": pa.array(counts[at : at + (1 << 14)])})
+
+
+def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and the place of each in their order from rare to frequent."""
+    counted = docs.select("text").mapInArrow(frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT)
+    top = counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
+    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    ranks = np.empty(len(tokens), np.int32)
+    ranks[np.lexsort((tokens, counts))] = np.arange(len(tokens))
     order = np.argsort(tokens)
-    tokens, counts = tokens[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    sums = np.add.reduceat(counts, first)
-    hot = sums >= HOT_COUNT
-    return pd.DataFrame({"token": tokens[first][hot].astype(np.int64), "n": sums[hot]})
-
-
-def hot_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens (48 bits), sorted."""
-    buckets = shared.partitions_of(docs.sparkSession)
-    pieces = docs.select("text").mapInArrow(token_counter(buckets), "bucket int, once binary, several binary, counts binary")
-    counted = pieces.groupBy("bucket").applyInPandas(frequent, "token long, n long")
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().astype(np.uint64))
+    return tokens[order], ranks[order]
 
 
-def set_maker(hot: np.ndarray):
+def set_maker(hot: np.ndarray, ranks: np.ndarray):
     """Per document: size, fingerprint, minimum-hash keys and prefix."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,16 +139,16 @@ def set_maker(hot: np.ndarray):
                     low = [np.minimum.reduceat(mixed * s, at) for s in _SEEDS]
                     for k in range(3):
                         f[2 + k][some] = textnum.mix(low[2 * k] * np.uint64(3) + low[2 * k + 1] + np.uint64(k)).view(np.int64)
-                    folded = tokens >> np.uint64(16)
-                    where = np.minimum(np.searchsorted(hot, folded), max(len(hot) - 1, 0))
-                    common = hot[where] == folded if len(hot) else np.zeros(len(tokens), bool)
+                    where = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
+                    common = hot[where] == tokens if len(hot) else np.zeros(len(tokens), bool)
                     lengths = np.minimum(n, n - need(n) + MIN_SHARED)
                     for d in some.tolist():
                         own, late = tokens[bounds[d] : bounds[d + 1]], common[bounds[d] : bounds[d + 1]]
                         p = int(lengths[d])
                         rare = own[~late][:p]
                         if len(rare) < p:
-                            rare = np.concatenate((rare, own[late][: p - len(rare)]))
+                            order = np.argsort(ranks[where[bounds[d] : bounds[d + 1]][late]])
+                            rare = np.concatenate((rare, own[late][order[: p - len(rare)]]))
                         prefixes[d] = rare.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(x) for x in f), pa.array(prefixes, pa.binary())],
@@ -236,23 +229,24 @@ def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
 
 
 def matrix_rows(buckets: int):
-    """Rows of the matrix: prefix tokens of a piece of documents by token range, with document, group and size."""
+    """Rows of the matrix: prefix tokens of a piece of documents by token range, with document, group, size and the tokens from there on."""
 
     def flush(rows: list[tuple[np.ndarray, int, int, int]]) -> Iterator[pa.RecordBatch]:
         lens = np.array([len(r[0]) for r in rows])
         tokens = np.concatenate([r[0] for r in rows])
         doc, group, n = (np.repeat(np.array([r[k] for r in rows], dtype=np.int64), lens) for k in (1, 2, 3))
+        left = n - (np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens))
         # prefixes hold the small tokens, so ranges are those of a mixed value
         bucket = bucket_of(textnum.mix(tokens), buckets)
         order = np.lexsort((tokens, bucket))
-        tokens, doc, group, n = tokens[order], doc[order], group[order], n[order]
+        tokens, doc, group, n, left = tokens[order], doc[order], group[order], n[order], left[order]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
         for b in np.flatnonzero(np.diff(bounds)):
             s = slice(bounds[b], bounds[b + 1])
-            out.append((int(b), pack(tokens[s]), pack(doc[s]), pack(doc[s] - group[s]), pack(n[s].astype(np.int32))))
+            out.append((int(b), pack(tokens[s]), pack(doc[s]), pack(doc[s] - group[s]), pack(n[s].astype(np.int32)), pack(left[s].astype(np.int32))))
         cols = list(zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "tokens", "docs", "groups", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "tokens", "docs", "groups", "sizes", "left"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, int, int, int]] = []
@@ -270,19 +264,23 @@ def matrix_rows(buckets: int):
     return make
 
 
+def overlap(n, m):
+    """Tokens that sets of n and m must share to link."""
+    return (80 * (n + m) + 179) // 180
+
+
 def lookup(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Queries against the matrix rows of one token range: (q, g, shared tokens) of documents and other, smaller groups."""
+    """Queries against the matrix rows of one token range: (q, g, shared tokens) of documents and other, smaller groups, for shared
+    tokens behind which enough is left in both sets."""
     read = lambda c, t: np.concatenate([unpack(b, t) for b in pieces[c]])
-    tokens, doc, n = read("tokens", np.uint64), read("docs", np.int64), read("sizes", np.int32).astype(np.int64)
+    tokens, doc, n, left = read("tokens", np.uint64), read("docs", np.int64), read("sizes", np.int32).astype(np.int64), read("left", np.int32).astype(np.int64)
     group = doc - read("groups", np.int64)
     order = np.lexsort((group, tokens))
-    tokens, doc, n, group = tokens[order], doc[order], n[order], group[order]
+    tokens, doc, n, left, group = tokens[order], doc[order], n[order], left[order], group[order]
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     last = np.append(first[1:], len(tokens))
     mixed = group[first] != group[last - 1]
     first, last = first[mixed], last[mixed]
-    # cells: one per token and group, with the range of sizes of its members that hold the token
-    found: dict[tuple, np.ndarray] = {}
     qs, gs, held, sums = [], [], 0, []
 
     def settle() -> None:
@@ -295,19 +293,32 @@ def lookup(pieces: pd.DataFrame) -> pd.DataFrame:
             qs, gs, held = [], [], 0
 
     for a, b in zip(first.tolist(), last.tolist()):
-        g, d, size = group[a:b], doc[a:b], n[a:b]
+        # cells: one per token and group, with the range of sizes of its members that hold the token, and the most that is left
+        g, d, size, rest = group[a:b], doc[a:b], n[a:b], left[a:b]
         cells = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        low, high, of = np.minimum.reduceat(size, cells), np.maximum.reduceat(size, cells), g[cells]
-        own = np.repeat(np.arange(len(cells)), np.diff(np.append(cells, b - a)))
-        step = max(1, (1 << 20) // len(cells))
-        for at in range(0, b - a, step):
-            s = slice(at, at + step)
+        low, high, most, of = np.minimum.reduceat(size, cells), np.maximum.reduceat(size, cells), np.maximum.reduceat(rest, cells), g[cells]
+        # by size, so that a query reads the cells with fitting sizes only
+        by = np.argsort(low, kind="stable")
+        low, high, most, of = low[by], high[by], most[by], of[by]
+        reach = np.maximum.accumulate(high)
+        ends, starts = np.searchsorted(low, size * 100 // 80, side="right"), np.searchsorted(reach, need(size))
+        at = 0
+        turn = np.argsort(size, kind="stable")
+        while at < b - a:
+            step = max(1, (1 << 20) // len(cells))
+            s = turn[at : at + step]
+            at += step
+            x, y = int(starts[s].min()), int(ends[s].max())
+            if x >= y:
+                continue
+            m = np.maximum(low[None, x:y], need(size[s])[:, None])
+            enough = overlap(size[s, None], m) - MIN_SHARED + 1
             # a query opens groups before its own; the other direction finds the same links
-            ok = (np.arange(len(cells))[None, :] < own[s, None]) & (100 * size[s, None] >= 80 * low[None, :]) & (100 * high[None, :] >= 80 * size[s, None])
+            ok = (of[None, x:y] < g[s, None]) & (m <= high[None, x:y]) & (100 * size[s, None] >= 80 * low[None, x:y]) & (rest[s, None] >= enough) & (most[None, x:y] >= enough)
             q, c = np.nonzero(ok)
             if len(q):
                 qs.append(d[s][q])
-                gs.append(of[c])
+                gs.append(of[x:y][c])
                 held += len(q)
         if held > 1 << 21:
             settle()
@@ -316,14 +327,6 @@ def lookup(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"q": rows[:, 0], "g": rows[:, 1], "shared": rows[:, 2]})
 
 
-def least_shared(n: str, low: str, high: str):
-    """The fewest prefix tokens that a link with a member of a size from low to high shares. Up to n it grows with the member's
-    size; from n on five sizes more make it less (3 at most against 4), so the minimum is at the low end or among the five highest sizes."""
-    at = lambda m: f"((80 * ({n} + {m}) + 179) div 180 - (80 * greatest({n}, {m}) + 99) div 100 + {MIN_SHARED})"
-    first, last = f"greatest({low}, (80 * {n} + 99) div 100)", f"least({high}, (100 * {n}) div 80)"
-    return F.expr(f"least({at(first)}, {', '.join(at(f'greatest({first}, {last} - {k})') for k in range(5))})")
-
-
 def union_maker(members: pd.DataFrame) -> pd.DataFrame:
     """The union of a slice's tokens, those that several members hold marked by their lowest bit, and the smallest size."""
     sets = [textnum.shingle_sets(d, o, K) for _, _, d, o in textnum.chunks(pa.array(members["text"], pa.string()))]
@@ -378,8 +381,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     shared.bounded_batches(spark, rows=1000, mb=8)
     root = shared.fresh_dir(spark, "group-matrix")
     docs = docs.select("doc_id", "text")
-    hot = hot_tokens(docs)
-    sets = shared.written(docs.mapInArrow(set_maker(hot), "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, k3 long, prefix binary"), f"{root}/sets")
+    sets = shared.written(docs.mapInArrow(set_maker(*hot_tokens(docs)), "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, k3 long, prefix binary"), f"{root}/sets")
     real = sets.where("n > 0 and doc_id is not null")
     classes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"))
     reps = shared.written(real.join(classes, ["doc_id", "f1", "f2", "n"]).dropDuplicates(["doc_id", "f1", "f2", "n"]), f"{root}/reps")
@@ -394,10 +396,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     loose = grouped.where("group is null").join(alike, ["k1", "k2"], "left").select("doc_id", F.coalesce("leader", "doc_id").alias("group"), F.lit(False).alias("linked"), "n", "prefix")
     grouped = shared.written(grouped.where("group is not null").select("doc_id", "group", F.lit(True).alias("linked"), "n", "prefix").union(loose), f"{root}/grouped")
     buckets = max(1, -(-(grouped.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // (8 * RANGE_TOKENS)))
-    rows = grouped.mapInArrow(matrix_rows(buckets), "bucket int, tokens binary, docs binary, groups binary, sizes binary")
-    bound = rows.groupBy("bucket").applyInPandas(lookup, "q long, g long, shared long").groupBy("q", "g").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= MIN_SHARED)
-    spans = grouped.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    bound = bound.join(grouped.select(F.col("doc_id").alias("q"), "n"), "q").join(spans, "g").where(F.col("shared") >= least_shared("n", "low", "high")).select("q", "g")
+    rows = grouped.mapInArrow(matrix_rows(buckets), "bucket int, tokens binary, docs binary, groups binary, sizes binary, left binary")
+    bound = rows.groupBy("bucket").applyInPandas(lookup, "q long, g long, shared long").groupBy("q", "g").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= MIN_SHARED).select("q", "g")
     opened = open_groups(docs, shared.written(bound, f"{root}/bound"), grouped, root)
     more = verified(docs, shared.written(opened.distinct(), f"{root}/pairs"), f"{root}/more")
     final = components(links.union(more), "a", "b")

@@ -135,6 +135,21 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from n join g using (norm)
 """
 
+#: Shingles as lists of words; links by a join on shingles; components as the smallest of all that is reachable.
+OP8_SQL = """
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as l from documents),
+s as (
+    select distinct doc_id, unnest(list_transform(range(1, greatest(len(l) - 4, 1) + 1), lambda i: l[i:i + 4])) as g from w where len(l) > 0 and doc_id is not null),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 80 * (x.n + y.n - c)),
+reached as (select doc_id as node, doc_id as other from n union select r.node, l.b from reached r join links l on l.a = r.other),
+smallest as (select node, min(other) as component_id from reached group by node)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join smallest on node = w.doc_id
+"""
+
 #: Words in the order of their line counts; prefixes of the shorter and the longer set; lengths; whole sets.
 OP3_SQL = """
 with lines as (
@@ -162,4 +177,4 @@ select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint as n_l
 from documents d left join (select doc_id, count(*) as c, string_agg(line_no::varchar, ',' order by line_no) as l from removed group by doc_id) r using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_hash_tree_sharding": _op7_sql(), "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_hash_tree_sharding": _op7_sql(), "op8_group_matrix_join": OP8_SQL, "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL}

@@ -348,15 +348,44 @@ def test_prefix_is_exact_without_groups(spark, docs, corpus, monkeypatch):
     assert got == dict(enumerate(want))
 
 
-def test_least_shared_over_all_size_ranges(spark):
-    shared_by = lambda n, m: -(-80 * (n + m) // 180) - -(-80 * max(n, m) // 100) + 3
-    rows = []
-    for n in range(1, 60):
-        fit = [m for m in range(1, 2 * n) if 100 * n >= 80 * m and 100 * m >= 80 * n]
-        rows += [(n, low, high, min(shared_by(n, m) for m in fit if low <= m <= high)) for low in fit for high in fit if low <= high]
-        rows += [(n, 1, 1000, min(shared_by(n, m) for m in fit))]
-    got = spark.createDataFrame(rows, "n long, low long, high long, want long").select("*", group_matrix.least_shared("n", "low", "high").alias("least"))
-    assert got.where("least <> want").count() == 0
+def test_first_shared_tokens_count():
+    """Of any two sets that link, MIN_SHARED shared tokens stand in both prefixes with enough tokens left behind them."""
+    rnd = random.Random(12)
+    linked = 0
+    for _ in range(30000):
+        n = rnd.randint(3, 60)
+        x = set(rnd.sample(range(1000), n))
+        y = set(rnd.sample(sorted(x), rnd.randint(max(1, 7 * n // 10), n))) | {rnd.randrange(1000) for _ in range(rnd.randint(0, n // 3))}
+        if x == y or 100 * len(x & y) < 80 * len(x | y):
+            continue
+        linked += 1
+        a, b = sorted(x), sorted(y)
+        enough = group_matrix.overlap(len(a), len(b)) - group_matrix.MIN_SHARED + 1
+        prefix = lambda s: s[: len(s) - int(group_matrix.need(np.int64(len(s)))) + group_matrix.MIN_SHARED]
+        counted = [t for t in prefix(a) if t in prefix(b) and len(a) - a.index(t) >= enough and len(b) - b.index(t) >= enough]
+        assert len(counted) >= group_matrix.MIN_SHARED
+    assert linked > 3000
+
+
+def test_frequent_tokens_are_counted_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(group_matrix, "PIECE", 400)
+    monkeypatch.setattr(group_matrix, "SUMMARY", 60)
+    monkeypatch.setattr(group_matrix, "HOT_COUNT", 1)
+    rnd = random.Random(2)
+    texts = [" ".join(f"u{rnd.randrange(10**9)}" for _ in range(20)) + " | a b c d e f" * (k % 2) for k in range(400)]
+    import pyarrow as pa
+
+    (batch,) = pa.table({"text": texts}).to_batches()
+    rows = pa.Table.from_batches(list(group_matrix.frequent(iter([batch]))))
+    got = dict(zip(rows.column("token").to_numpy().view(np.uint64).tolist(), rows.column("n").to_pylist()))
+    (_, _, data, offsets), = textnum.chunks(pa.array(texts))
+    tokens, counts = np.unique(textnum.shingle_sets(data, offsets)[0], return_counts=True)
+    short = counts.sum() / 60
+    assert len(got) <= 60 and all(0 <= c - got.get(t, 0) <= short for t, c in zip(tokens.tolist(), counts.tolist()))
+    assert {t for t, c in zip(tokens.tolist(), counts.tolist()) if c > short} <= set(got)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot, ranks = group_matrix.hot_tokens(docs)
+    assert hot.tolist() == sorted(hot.tolist()) and sorted(ranks.tolist()) == list(range(len(hot)))
 
 
 def test_link_with_one_size_of_a_group(spark):
