@@ -1,15 +1,17 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, each different pre-token encoded once.
 
 Texts are split into pre-tokens as the tokenizer's pattern does, on arrays of code points:
-contractions, letters, digits and other signs with one leading space, and white space. BPE never merges across
-pre-tokens, so a text's ids are those of its pre-tokens in order. The library encodes the pre-tokens that the worker
-has not seen yet; the others come from a table of bounded size. ``aligned`` tells whether a tokenizer file has that split.
+contractions, letters, digits and other signs with one leading space, and white space; strings of the tokenizer's added tokens
+come first and stand alone. BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in order. The
+library encodes the pre-tokens that the worker has not seen yet; the others come from a table of bounded size, which is read by a
+hash and compares their signs. ``aligned`` tells whether a tokenizer file has that split; texts go to the library as a whole where it hasn't.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +19,8 @@ import numpy as np
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 #: The split that this module reproduces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLOTS, POOL = 1 << 21, 12_000_000
+#: Slots of a worker's table, and the ids and code points from which on it starts anew; longer pre-tokens are not kept.
+SLOTS, POOL, POINTS, LONGEST = 1 << 21, 8_000_000, 16_000_000, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
@@ -27,17 +30,22 @@ def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 def aligned(path: str) -> bool:
-    """Byte-level BPE without normaliser, prefix space or a pattern of its own: the split above is the tokenizer's."""
+    """Byte-level BPE without normaliser, prefix space or a pattern of its own, whose added tokens are plain strings: the split above is the tokenizer's."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    return spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["model"].get("ignore_merges")
+    plain = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec.get("added_tokens") or [])
+    whole = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not any(spec["model"].get(k) for k in ("ignore_merges", "dropout"))
+    return plain and whole and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+def added_tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or [] if t["content"]]
 
 
 @lru_cache(maxsize=1)
@@ -59,8 +67,8 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4"), bounds
 
 
-def split(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """First code points of all pre-tokens, in order; none crosses a text's bounds."""
+def split(points: np.ndarray, bounds: np.ndarray, alone: list[tuple[int, int]] = ()) -> np.ndarray:
+    """First code points of all pre-tokens, in order; none crosses a text's bounds. ``alone`` are stretches that stand alone."""
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
@@ -70,6 +78,8 @@ def split(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
+    for a, b in alone:
+        edge[a] = edge[b] = True
     start |= edge[:-1]
     space = kind == SPACE
     # the last sign of white space that something follows stands alone, or goes with what follows if it is a blank
@@ -92,6 +102,8 @@ def split(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             start[q + 1] = False
             if q + 1 + length < n:
                 start[q + 1 + length] = True
+    for a, b in alone:
+        start[a + 1 : b] = False
     return np.flatnonzero(start)
 
 
@@ -99,6 +111,9 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = library(path)
         self.plain = not aligned(path)
+        self.added = added_tokens(path)
+        #: Added tokens, longest first: the library's search takes the leftmost, and of those the longest.
+        self.search = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
         self.reset()
 
@@ -106,8 +121,11 @@ class Encoder:
         self.keys = np.zeros(SLOTS, dtype=np.uint64)
         self.at = np.zeros(SLOTS, dtype=np.int64)
         self.sizes = np.zeros(SLOTS, dtype=np.int64)
+        self.where = np.zeros(SLOTS, dtype=np.int64)
+        self.lengths = np.zeros(SLOTS, dtype=np.int64)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.filled = 0
+        self.points = np.zeros(1 << 16, dtype=np.uint32)
+        self.filled = self.drawn = 0
 
     def hashes(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = len(points)
@@ -130,9 +148,9 @@ class Encoder:
         h ^= h >> np.uint64(29)
         return h | np.uint64(1 << 63)  # never 0, which marks a free slot
 
-    def store(self, keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encode new pre-tokens; returns where their ids lie."""
-        at, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pre-tokens; returns where their ids lie."""
+        at, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for b in range(0, len(texts), 4096):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[b : b + 4096], add_special_tokens=False)]
             lens = np.array([len(i) for i in ids], dtype=np.int64)
@@ -143,31 +161,58 @@ class Encoder:
             sizes[b : b + len(ids)] = lens
             at[b : b + len(ids)] = self.filled + np.cumsum(lens) - lens
             self.filled += len(flat)
-        slots = (keys >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-        self.keys[slots], self.at[slots], self.sizes[slots] = keys, at, sizes
-        # of keys that share a slot one is kept, with its own values
-        wrong = self.keys[slots] != keys
-        if wrong.any():
-            good = ~wrong
-            self.at[slots[good]], self.sizes[slots[good]] = at[good], sizes[good]
         return at, sizes
 
+    def keep(self, keys: np.ndarray, at: np.ndarray, sizes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Put pre-tokens with their code points into the table. Of those that share a slot one is kept, with its own values."""
+        total = int(lengths.sum())
+        while self.drawn + total > len(self.points):
+            self.points = np.concatenate((self.points, np.zeros_like(self.points)))
+        before = np.cumsum(lengths) - lengths
+        self.points[self.drawn : self.drawn + total] = points[np.arange(total) + np.repeat(starts - before, lengths)]
+        where = self.drawn + before
+        self.drawn += total
+        slots = (keys >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        _, last = np.unique(slots[::-1], return_index=True)
+        last = len(slots) - 1 - last
+        s = slots[last]
+        self.keys[s], self.at[s], self.sizes[s], self.where[s], self.lengths[s] = keys[last], at[last], sizes[last], where[last], lengths[last]
+
+    def alone(self, texts: list[str], bounds: np.ndarray) -> list[tuple[int, int]]:
+        """The stretches of added tokens in the joined texts."""
+        if self.search is None:
+            return []
+        found = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        return [(int(bounds[i]) + m.start(), int(bounds[i]) + m.end()) for i in found for m in self.search.finditer(texts[i])]
+
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First code points and ids' places and counts of all pre-tokens, and each text's bounds in pre-tokens."""
-        if self.filled > POOL:
+        if self.filled > POOL or self.drawn > POINTS:
             self.reset()
         points, bounds = code_points(texts)
-        starts = split(points, bounds)
+        starts = split(points, bounds, self.alone(texts, bounds))
+        if not len(starts):
+            return starts, starts, starts, np.searchsorted(starts, bounds)
+        stops = np.append(starts[1:], len(points))
+        lengths = stops - starts
         h = self.hashes(points, starts)
         slots = (h >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
         at, sizes = self.at[slots], self.sizes[slots]
-        miss = np.flatnonzero(self.keys[slots] != h)
+        known = (self.keys[slots] == h) & (self.lengths[slots] == lengths)
+        index = np.arange(len(points)) + np.repeat(np.where(known, self.where[slots], 0) - starts, lengths)
+        known &= np.logical_and.reduceat(self.points[np.minimum(index, len(self.points) - 1)] == points, starts)
+        miss = np.flatnonzero(~known)
         if len(miss):
-            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            whole, stops = "".join(texts), np.append(starts[1:], len(points))
-            where = miss[first]
-            new_at, new_sizes = self.store(keys, [whole[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
+            whole = "".join(texts)
+            words = [whole[a:b] for a, b in zip(starts[miss].tolist(), stops[miss].tolist())]
+            numbers: dict[str, int] = {}
+            back = np.array([numbers.setdefault(w, len(numbers)) for w in words])
+            _, first = np.unique(back, return_index=True)
+            new_at, new_sizes = self.encoded(list(numbers))
             at[miss], sizes[miss] = new_at[back], new_sizes[back]
+            short = lengths[miss[first]] <= LONGEST
+            one = miss[first][short]
+            self.keep(h[one], new_at[short], new_sizes[short], points, starts[one], lengths[one])
         return starts, at, sizes, np.searchsorted(starts, bounds)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -2,9 +2,10 @@
 
 A document's pre-tokens are grouped into leaves of LEAF; a leaf knows its code points and tokens, and a binary tree over the leaves
 keeps sums of both. An edit (first code point, end, new text) is found by descending the tree. Splitting goes
-from left to right and looks one sign ahead, so re-encoding starts one leaf before the edit and ends at the first later
-leaf whose first sign again starts a pre-token; from there on nothing can differ. The region's new pre-tokens are dealt to
-the same leaves, and only those leaves' ancestors are summed anew. Leaves that have grown to four times their size are dealt out anew.
+from left to right and looks a few signs ahead (the length of an added token at most), so re-encoding starts one leaf and CONTEXT signs
+before the edit and ends at the first later leaf whose first sign again starts a pre-token; from there on nothing can differ. The region's new pre-tokens are dealt to
+the same leaves, and only those leaves' ancestors are summed anew. Where a region's leaves would grow to four times their size it gets
+more leaves; the tree's sums are then built anew from the leaves, without encoding anything else.
 
 Defined results: null texts count as empty and have no tokens; positions beyond the text are cut to it; edits of a row apply in
 their order; null or missing edits change nothing; repeated rows are counted alike; an empty table gives no rows; further columns are kept.
@@ -25,6 +26,8 @@ from stratalens.llm.bpe import Encoder, encoder
 from stratalens.llm.token_frames import default_tokenizer
 
 LEAF = 32
+#: Signs around an edit that are encoded with it: more than any contraction, and than the added tokens that ``edit`` allows for.
+CONTEXT = 32
 EDITS = "array<struct<first:int,end:int,text:string>>"
 
 
@@ -88,32 +91,42 @@ def edit(tree: Tree, text: str, first: int, end: int, new: str, own: Encoder) ->
     end = min(max(end, first), len(text))
     out = text[:first] + new + text[end:]
     delta = len(out) - len(text)
-    leaf, _ = tree.find(max(0, first - 1))
-    left = max(0, leaf - 1)
-    from_char = int(tree.sums[tree.width : tree.width + left, 0].sum()) if left else 0
+    context = max(CONTEXT, 2 * max(map(len, own.added), default=0))
+    chars = tree.sums[tree.width : tree.width + tree.n, 0]
+    leaf, from_char = tree.find(max(0, first - 1))
+    left = leaf
+    while left and (left == leaf or first - from_char < context):
+        left -= 1
+        from_char -= int(chars[left])
     right, at = tree.find(min(end, len(text)))
-    to_char = at + int(tree.sums[tree.width + right, 0])  # end of the last leaf that the edit touches, in the old text
+    to_char = at + int(chars[right])  # end of the last leaf that the edit touches, in the old text
     encoded, reach = 0, 1
     while True:
-        # the following leaf tells whether its first sign still starts a pre-token
-        ahead = int(tree.sums[tree.width + right + 1 : min(tree.width + right + 1 + reach, tree.width + tree.n), 0].sum())
+        # the following leaves tell whether the first sign after the border still starts a pre-token
+        ahead, more = 0, right + 1
+        while more < tree.n and (more < right + 1 + reach or ahead < context):
+            ahead += int(chars[more])
+            more += 1
         region = out[from_char : to_char + delta + ahead]
         starts, _, sizes, _ = own.spans([region])
         encoded += len(region)
         border = to_char + delta - from_char
         at_end = to_char >= len(text)
         k = int(np.searchsorted(starts, border))
-        if at_end or k < len(starts) and starts[k] == border and ahead:
+        if at_end or k < len(starts) and starts[k] == border:
             break
         step = min(reach, tree.n - 1 - right)
-        to_char += int(tree.sums[tree.width + right + 1 : tree.width + right + 1 + step, 0].sum())
+        to_char += int(chars[right + 1 : right + 1 + step].sum())
         right += step
         reach *= 2
     k = len(starts) if at_end else k
-    tree.set(left, leaves_of(starts[:k], sizes[:k], border, right - left + 1))
-    if tree.sums[tree.width + left : tree.width + right + 1, 2].max(initial=0) > 4 * LEAF:
-        starts, _, sizes, _ = own.spans([out])
-        tree, encoded = Tree(leaves_of(starts, sizes, len(out))), encoded + len(out)
+    if at_end:
+        right = tree.n - 1
+    if k > 4 * LEAF * (right - left + 1):
+        leaves = tree.sums[tree.width : tree.width + tree.n]
+        tree = Tree(np.concatenate((leaves[:left], leaves_of(starts[:k], sizes[:k], border), leaves[right + 1 :])))
+    else:
+        tree.set(left, leaves_of(starts[:k], sizes[:k], border, right - left + 1))
     return tree, out, encoded
 
 

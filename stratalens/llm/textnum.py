@@ -1,8 +1,8 @@
 """Words and shingles of whole texts as numpy arrays of 64-bit hashes.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Its hash is a polynomial over
-random values of its bytes, read off running sums, then mixed; a shingle's hash mixes those of its words. Memory is
-proportional to the longest text of a chunk; chunks hold at least one text.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Its hash mixes in eight bytes at a time; that of a word
+of more than LONG bytes is XXH3. A shingle's hash mixes those of its words. Memory is proportional to the longest text of a
+chunk; chunks hold at least one text.
 """
 
 from __future__ import annotations
@@ -11,20 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+LONG = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Every ASCII sign other than letters and digits parts words, for comparisons that pass over punctuation.
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_VALUES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,14 +32,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        steps = np.full(n, _BASE, dtype=np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = _INVERSE
-        _inverses = np.multiply.accumulate(steps)
+def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of lower-cased bytes."""
+    sizes = stops - starts
+    padded = np.concatenate((_LOWER[data], np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(sizes.astype(np.uint64) * _FACTORS[0])
+    now = np.arange(len(starts)) if not len(starts) or sizes.max() <= LONG else np.flatnonzero(sizes <= LONG)
+    for at in range(0, LONG, 8):
+        left = sizes[now] - at
+        block = eight[starts[now] + at]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[now] = mix(out[now] ^ block)
+        now = now[left > 8]
+        if not len(now):
+            break
+    for w in np.flatnonzero(sizes > LONG):
+        out[w] = xxhash.xxh3_64_intdigest(padded[starts[w] : stops[w]].tobytes())
+    return out
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,11 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = _SPACE) ->
     ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     last[ends] = inside[ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    _grow(n + 1)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_VALUES[data] * _powers[:n], out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * _inverses[starts] + (stops - starts).astype(np.uint64))
+    hashes = hashed(data, starts, stops)
     return hashes, starts, stops, np.searchsorted(starts, offsets)
 
 

@@ -26,7 +26,7 @@ def corpus():
             rows.append(" ".join(own))
     rows += [common + "\n" + passage(rnd, rnd.randint(5, 60)) for _ in range(40)]
     rows += [rows[3]] * 15 + [rows[3].upper()] * 2
-    rows += ["", "", None, None, "   \n\t ", "one", "ONE", "two words", "a b c d", "a b c d e", passage(rnd, 20000), "é É \U0001f600 ü\n\n x'll 12"]
+    rows += ["", "", None, None, "   \n\t ", "one", "ONE", "two words", "a b c d", "a b c d e", "stop <|endoftext|> go", passage(rnd, 20000), "é É \U0001f600 ü\n\n x'll 12"]
     return [(i, t, ["en", "de", None][i % 3], f"src{i % 7}" if i % 11 else None) for i, t in enumerate(rows)]
 
 

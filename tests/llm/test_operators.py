@@ -22,22 +22,69 @@ def shingles(text):
 
 
 # 1
-def test_encoder_equals_library():
+def fresh():
+    """The library's tokenizer as a user would load it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_frames.default_tokenizer())
+
+
+def test_encoder_equals_library(monkeypatch):
     path = token_frames.default_tokenizer()
     assert bpe.aligned(path)
-    own = bpe.Encoder(path)
+    own, plain = bpe.Encoder(path), fresh()
     rnd = random.Random(1)
-    signs = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "a", "é", "1", "²", "!", "’", " ", "漢", "́", "<|endoftext|>", "'ve", "\x85", "😀", "T"]
+    signs = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "a", "é", "1", "²", "!", "’", " ", "漢", "́", "<|endoftext|>", "<|end", "oftext|>", "'ve", "\x85", "😀", "T"]
     texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 14))) for _ in range(3000)]
-    got = own.encode(texts)
-    assert all(g.tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts))
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " a  <|endoftext|>  b"]
+    for points in (bpe.POINTS, 2000):  # with a table that starts anew, too
+        monkeypatch.setattr(bpe, "POINTS", points)
+        for at in range(0, len(texts), 500):
+            got = own.encode(texts[at : at + 500])
+            assert all(g.tolist() == plain.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts[at : at + 500]))
+    assert own.encode(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
+
+
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans({a: b, b: a}))
+    return out
+
+
+def test_equal_hashes_do_not_share_ids(monkeypatch):
+    own, plain = bpe.Encoder(token_frames.default_tokenizer()), fresh()
+    texts = [thue_morse(n, *x) for n in (1024, 2048, 4096) for x in ("ab", "ba")]
+    assert [g.tolist() for g in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # a table in which all pre-tokens of a length have one hash
+    monkeypatch.setattr(bpe.Encoder, "hashes", lambda self, points, starts: np.diff(np.append(starts, len(points))).astype(np.uint64) << np.uint64(20))
+    own = bpe.Encoder(token_frames.default_tokenizer())
+    rnd = random.Random(4)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choices("abcd", k=rnd.randint(1, 5))) for _ in range(30)) for _ in range(10)]
+        assert [g.tolist() for g in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_hashes():
+    import itertools
+
+    words = ["".join(w) for k in (1, 2, 3) for w in itertools.product("abcde", repeat=k)] + ["x" * k for k in range(1, 200)] + [thue_morse(n, *x) for n in (64, 1024, 4096) for x in ("ab", "ba")]
+    rnd = random.Random(5)
+    words += ["".join(rnd.choices("abcdefghij", k=rnd.randint(7, 70))) for _ in range(3000)]
+    words = list(dict.fromkeys(words))
+    raw = " ".join(words).encode()
+    hashes, starts, stops, _ = textnum.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [raw[a:b].decode() for a, b in zip(starts, stops)] == words and len(set(hashes.tolist())) == len(words)
+    other = ("\n".join(reversed(words))).upper().encode()
+    again, *_ = textnum.words(np.frombuffer(other, np.uint8), np.array([0, len(other)]))
+    assert again.tolist()[::-1] == hashes.tolist()
 
 
 def test_token_frames(spark, docs, corpus, empty, tmp_path):
     root = f"file://{tmp_path}/frames"
     manifest = token_frames.write_frames(docs, root)
     got = {r["doc_id"]: r for r in token_frames.read_digests(manifest, root).collect()}
-    library = bpe.library(token_frames.default_tokenizer())
+    library = fresh()
     start = 0
     for doc_id, text, *_ in corpus:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
@@ -208,9 +255,10 @@ def test_decontaminate(spark, docs, corpus, empty, monkeypatch):
 
 # 6
 def test_edits_equal_full_counts(spark, docs, corpus, empty):
-    own = bpe.encoder(token_frames.default_tokenizer())
+    own, plain = bpe.encoder(token_frames.default_tokenizer()), fresh()
+    count = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
     rnd = random.Random(6)
-    signs = [" ", "  ", "\n", "'", "s", "ll", "x", "yz", "7", "!", "é", "word", " long words here"]
+    signs = [" ", "  ", "\n", "'", "s", "ll", "x", "yz", "7", "!", "é", "word", " long words here", "<|endoftext|>", "<|endof", "text|>", "|>"]
     for _ in range(250):
         text = "".join(rnd.choices(signs, k=rnd.randint(0, 400)))
         starts, _, sizes, _ = own.spans([text])
@@ -218,12 +266,18 @@ def test_edits_equal_full_counts(spark, docs, corpus, empty):
         for _ in range(4):
             a = rnd.randint(0, len(text) + 2)
             tree, text, _ = edit_counts.edit(tree, text, a, a + rnd.choice([0, 0, 1, 3, 80]), "".join(rnd.choices(signs, k=rnd.choice([0, 1, 3, 200]))), own)
-            assert tree.tokens == len(own.encode([text])[0])
+            assert tree.tokens == count(text)
             assert tree.sums[1, 0] == len(text)
+    text = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(20000))
+    starts, _, sizes, _ = own.spans([text])
+    tree = edit_counts.Tree(edit_counts.leaves_of(starts, sizes, len(text)))
+    for at in (50000, 50100, 0, len(text)):  # a leaf that grows too large is split, the rest isn't encoded
+        tree, text, encoded = edit_counts.edit(tree, text, at, at, " ".join("x!" for _ in range(270)), own)
+        assert tree.tokens == count(text) and encoded < 5000
     rows = edit_counts.apply_edits(edit_counts.build_trees(docs.select("doc_id", "text")), edit_counts.sample_edits(F.col("doc_id"), F.col("text"))).collect()
     assert len(rows) == len(corpus)
     for r in rows:
-        assert r["n_tokens"] == len(own.encode([corpus[r["doc_id"]][1] or ""])[0]) and r["new_tokens"] == len(own.encode([r["text"]])[0])
+        assert r["n_tokens"] == count(corpus[r["doc_id"]][1] or "") and r["new_tokens"] == count(r["text"])
     long = max(rows, key=lambda r: len(r["text"]))
     assert long["encoded_chars"] < len(long["text"]) / 20  # only regions around the edits
     trees = edit_counts.build_trees(docs.select("doc_id", "text"))
