@@ -1,16 +1,20 @@
-"""Exact dedup with an extendible-hash index on shared files.
+"""Exact dedup through an extendible-hash index on shared files; DataFrame functions only.
 
-The key of a text is 60 bits of the sha256 of its normal form. The directory starts with one bucket; as long as a
-bucket holds more than ``capacity`` different keys it is split by its next key bit, and the directory doubles when the bucket's
-depth is the directory's. The splits follow from the counts of keys at the deepest level, which is a bounded
-table. Each bucket is a contiguous range of keys, and owner tasks take ranges of buckets and number the entries that share a
-key. The index (bucket, key, chain, sha256, keep_id, group_size) and the directory are written to the shared folder.
+A text's key is the low ``key_bits`` bits of its normal form's hash. Keys are written first, with doc_id and sha256, and then:
 
-The result doesn't depend on directory and chains: keep_id and group_size come from grouping on (sha256, text), and rows look up
-their entry by sha256.
+1.  Directory. It starts with one bucket. As long as a bucket holds more than ``capacity`` different keys it is split by its next
+    key bit, and the directory doubles when the bucket's depth is the directory's. The splits follow from the counts of keys per
+    slot, at the depth that an even spread needs plus three bits; while a slot there is still overfull, the counts are taken
+    three bits deeper, as far as keys have bits. A bucket is a contiguous range of keys.
+2.  Insertion. Each row finds its bucket through the directory. Inside a bucket, rows of one key are compared by their bytes; each
+    different text becomes one entry with the largest doc_id and the count of its rows.
+3.  Chains. Owner tasks take ranges of buckets and keys and chain the entries that share a key. The index (bucket, key, chain, links,
+    keep_id, group_size) and the directory lie in the shared folder.
+4.  Look-up. A row goes through the directory to its bucket and key. A chain of one entry is the row's, as every row was inserted;
+    in longer chains the row's bytes are compared with those of the entries.
 
-Copies meet as one entry per map task and text (partial aggregation), so a text that a third of all rows share is
-not gathered anywhere; looking up is an equi-join whose hot side Spark can split.
+Copies meet as one entry per map task and text (partial aggregation), so a text that a third of all rows share is not gathered
+anywhere; looking up is an equi-join whose hot side Spark can split. The directory is broadcast up to MAX_BROADCAST slots only.
 
 Defined results: null counts as the empty text; empty texts are equal; of equal texts the largest doc_id stays (null
 ids lose); rows repeated with the same doc_id are all marked kept; an empty table gives no rows; further columns are ignored.
@@ -27,59 +31,92 @@ from pyspark.sql import functions as F
 from stratalens.llm import shared
 
 KEY_BITS = 60
-#: Keys per bucket before it splits, and the deepest directory.
-CAPACITY, MAX_DEPTH = 1 << 14, 20
+#: Keys per bucket before it splits.
+CAPACITY = 1 << 14
+#: Slots of a directory that is sent to every task, and colliding keys.
+MAX_BROADCAST = 1 << 16
 
 
 def normal(text: Column) -> Column:
-    """Lower-cases A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-cases A-Z only; null counts as empty. ``lower`` does that, and faster, where there are no other signs than ASCII."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def key_of(sha: Column) -> Column:
-    return F.conv(F.substring(sha, 1, KEY_BITS // 4), 16, 10).cast("bigint")
+def key_of(norm: Column, bits: int) -> Column:
+    return F.xxhash64(norm).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """slot, depth, bucket of a directory whose slots are the first global-depth bits of a key.
+def slot_counts(keys: DataFrame, depth: int, bits: int) -> DataFrame:
+    return keys.groupBy(F.shiftright("key", bits - depth).alias("slot")).agg(F.count("*").alias("n"))
 
-    slot counts stand at the depth that an even spread of keys would need plus three bits, at most 2**max_depth rows; a
-    bucket is the shallowest prefix with no more than ``capacity`` keys."""
-    total = entries.count()
-    depth = min(max_depth, max(1, math.ceil(math.log2(max(total, 1) / capacity)) + 3)) if total > capacity else 1
-    slot = F.shiftright(F.col("key"), KEY_BITS - depth).cast("int")
-    counts = entries.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    levels = counts.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
+
+def directory(keys: DataFrame, capacity: int = CAPACITY, bits: int = KEY_BITS) -> tuple[DataFrame, int]:
+    """slot, depth, bucket of the slots in use, and the directory's depth; a slot is the first bits of a key, a bucket its first slot."""
+    total = keys.count()
+    depth = min(bits, max(0, math.ceil(math.log2(max(total, 1) / capacity))) + 3)
+    while depth < bits and slot_counts(keys, depth, bits).where(F.col("n") > capacity).limit(1).count():
+        depth = min(bits, depth + 3)
+    levels = slot_counts(keys, depth, bits).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - depth)"))
     sums = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("keys"))
     fit = levels.join(sums, ["depth", "prefix"]).where(f"keys <= {capacity} or depth = {depth}")
     out = fit.groupBy("slot").agg(F.min("depth").alias("depth"))
-    return out.select("slot", "depth", F.expr(f"cast(shiftleft(shiftright(slot, {depth} - depth), {depth} - depth) as int)").alias("bucket"), F.lit(depth).alias("global_depth"))
-
-
-def build_index(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Write entries and directory below ``path``; returns key, sha256, bucket, chain, keep_id, group_size, one row per different text."""
-    spark = docs.sparkSession
-    text = normal(F.col("text"))
-    keyed = docs.select("doc_id", text.alias("norm")).withColumn("sha256", F.sha2("norm", 256))
-    # equality of the texts themselves is what groups: hash collisions stay apart as entries of one chain
-    entries = keyed.groupBy("sha256", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = entries.select(key_of(F.col("sha256")).alias("key"), "sha256", F.octet_length("norm").alias("n_bytes"), "keep_id", "group_size")
-    raw = shared.written(entries, f"{path}/entries")
-    slots = shared.written(directory(raw, capacity), f"{path}/directory")
-    depth = slots.agg(F.max("global_depth")).first()[0] or 1
-    placed = raw.withColumn("slot", F.shiftright(F.col("key"), KEY_BITS - depth).cast("int")).join(slots.select("slot", "bucket"), "slot")
-    owners = placed.repartitionByRange("bucket", "key")
-    chained = owners.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha256", "n_bytes", "keep_id")))
-    index = shared.written(chained.select("bucket", "key", "chain", "sha256", "keep_id", "group_size"), f"{path}/index")
-    shared.remove(spark, f"{path}/entries")
+    return out.select("slot", "depth", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), {depth} - depth)").alias("bucket")), depth
+
+
+class Index:
+    """The written tables: directory, entries in chains, and the keys whose chains have several entries."""
+
+    def __init__(self, slots: DataFrame, depth: int, entries: DataFrame, bits: int):
+        self.slots, self.depth, self.entries, self.bits = slots, depth, entries, bits
+
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """The rows with their bucket, through the directory."""
+        side = self.slots.select("slot", "bucket")
+        if side.count() <= MAX_BROADCAST:
+            side = F.broadcast(side)
+        return rows.withColumn("slot", F.shiftright("key", self.bits - self.depth)).join(side, "slot").drop("slot")
+
+
+def texts_of(docs: DataFrame, bits: int) -> DataFrame:
+    return docs.select("doc_id", normal(F.col("text")).alias("norm")).withColumn("key", key_of(F.col("norm"), bits))
+
+
+def build_index(docs: DataFrame, rows: DataFrame, path: str, capacity: int = CAPACITY, bits: int = KEY_BITS) -> Index:
+    """Write directory and index below ``path``. rows: the written keys of ``docs``."""
+    keys = shared.written(rows.select("key").distinct(), f"{path}/keys")
+    slots, depth = directory(keys, capacity, bits)
+    index = Index(shared.written(slots, f"{path}/directory"), depth, keys, bits)
+    # grouping inside bucket and key compares the bytes of the texts
+    entries = index.routed(texts_of(docs, bits)).groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = shared.written(entries.select("bucket", "key", F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.lit(1), "norm").alias("check"), "keep_id", "group_size"), f"{path}/entries")
+    owners = entries.repartitionByRange("bucket", "key")
+    chain = Window.partitionBy("bucket", "key")
+    chained = owners.withColumns({"chain": F.row_number().over(chain.orderBy("n_bytes", "check", "keep_id")), "links": F.count("*").over(chain)})
+    index.entries = shared.written(chained.select("bucket", "key", "chain", "links", "keep_id", "group_size"), f"{path}/index")
+    shared.remove(docs.sparkSession, f"{path}/keys", f"{path}/entries")
     return index
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain: one row per document, dropped ones too."""
-    spark = docs.sparkSession
-    index = build_index(docs, path or shared.fresh_dir(spark, "exact-dedup"), capacity)
-    rows = docs.select("doc_id", F.sha2(normal(F.col("text")), 256).alias("text_sha256"))
-    found = rows.join(index, rows.text_sha256 == index.sha256)
-    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "chain")
+def look_up(docs: DataFrame, rows: DataFrame, index: Index) -> DataFrame:
+    """rows with bucket, chain, keep_id and group_size of their entries."""
+    names = ["doc_id", "text_sha256", "bucket", "links", "keep_id", "group_size"]
+    one = index.routed(rows).join(index.entries.where("links = 1"), ["bucket", "key"]).select(*names)
+    several = index.entries.where("links > 1").select("bucket", "key", "links").distinct()
+    n = several.count()
+    if not n:
+        return one
+    keys = F.broadcast(several) if n <= MAX_BROADCAST else several
+    own = index.routed(texts_of(docs, index.bits)).join(keys, ["bucket", "key"])
+    same = own.groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return one.union(own.join(same, ["bucket", "key", "norm"]).withColumn("text_sha256", F.sha2("norm", 256)).select(*names))
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, bits: int = KEY_BITS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, bucket, links (entries of the row's chain): one row per document, dropped ones too."""
+    docs = docs.select("doc_id", "text")
+    path = path or shared.fresh_dir(docs.sparkSession, "exact-dedup")
+    rows = shared.written(texts_of(docs, bits).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), f"{path}/rows")
+    found = look_up(docs, rows, build_index(docs, rows, path, capacity, bits))
+    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "links")

@@ -489,25 +489,43 @@ def test_chat(spark):
 
 
 # 10
-def test_exact_dedup(spark, docs, corpus, empty):
+@pytest.mark.parametrize(("capacity", "bits"), [(1 << 14, 60), (16, 60), (8, 5), (4, 1)])
+def test_exact_dedup(spark, docs, corpus, empty, capacity, bits):
+    """Short keys collide: different texts then meet in one chain."""
     import hashlib
 
-    for capacity in (1 << 14, 16):
-        rows = exact_dedup.exact_dedup(docs, capacity=capacity).collect()
-        groups = defaultdict(list)
-        for i, t, *_ in corpus:
-            groups[(t or "").translate(LOWER)].append(i)
-        assert len(rows) == len(corpus)
-        for r in rows:
-            text = (corpus[r["doc_id"]][1] or "").translate(LOWER)
-            own = groups[text]
-            assert (r["keep_id"], r["group_size"], r["kept"]) == (max(own), len(own), r["doc_id"] == max(own))
-            assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-        buckets = {(r["bucket"], r["keep_id"]) for r in rows}
-        assert capacity > 100 or max(Counter(b for b, _ in buckets).values()) <= capacity
-    assert exact_dedup.exact_dedup(empty).count() == 0
-    some = exact_dedup.exact_dedup(docs.withColumn("doc_id", F.when(F.col("doc_id") > 10, F.col("doc_id"))))
-    assert some.count() == len(corpus)
+    rows = exact_dedup.exact_dedup(docs, capacity=capacity, bits=bits).collect()
+    groups = defaultdict(list)
+    for i, t, *_ in corpus:
+        groups[(t or "").translate(LOWER)].append(i)
+    assert len(rows) == len(corpus)
+    for r in rows:
+        text = (corpus[r["doc_id"]][1] or "").translate(LOWER)
+        own = groups[text]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(own), len(own), r["doc_id"] == max(own))
+        assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert (max(r["links"] for r in rows) > 1) == (bits < 60)
+    buckets = Counter(b for b, _ in {(r["bucket"], r["keep_id"]) for r in rows})
+    assert bits < 60 or capacity > 100 or max(buckets.values()) <= capacity and len(buckets) > 4
+    assert exact_dedup.exact_dedup(empty, bits=bits).count() == 0
+
+
+def test_exact_dedup_null_and_repeated_ids(docs, corpus):
+    for bits in (60, 3):
+        some = exact_dedup.exact_dedup(docs.withColumn("doc_id", F.when(F.col("doc_id") > 10, F.col("doc_id"))).union(docs.where("doc_id = 20")), bits=bits).collect()
+        assert len(some) == len(corpus) + 1
+        assert all(r["kept"] for r in some if r["doc_id"] == 20 and r["keep_id"] == 20)
+        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in some)
+
+
+def test_directory_splits_what_is_overfull(spark):
+    """Keys that share their first bits: the directory goes deeper there and keeps one bucket elsewhere."""
+    keys = spark.createDataFrame([(k,) for k in [*range(100), (1 << 59) + 5, (1 << 60) - 1]], "key long")
+    slots, depth = exact_dedup.directory(keys, capacity=10)
+    rows = keys.withColumn("slot", F.shiftright("key", exact_dedup.KEY_BITS - depth)).join(slots, "slot").collect()
+    sizes = Counter(r["bucket"] for r in rows)
+    assert depth > 50 and max(sizes.values()) <= 10 and len(rows) == 102
+    assert {r["depth"] for r in rows if r["key"] >= 1 << 59} == {1}
 
 
 def test_shared_root_is_read_from_the_session(spark):
