@@ -76,48 +76,17 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's summary of frequent tokens (Misra and Gries, 1982): at most SUMMARY of them, each counted short by at most one
-    SUMMARY-th of the task's tokens."""
-    tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    parts: list[np.ndarray] = []
-    held = 0
-
-    def fold() -> None:
-        nonlocal tokens, counts, parts, held
-        new, n = np.unique(np.concatenate(parts), return_counts=True)
-        both, weights = np.concatenate((tokens, new)), np.concatenate((counts, n))
-        order = np.argsort(both, kind="stable")
-        both, weights = both[order], weights[order]
-        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-        tokens, counts = both[first], np.add.reduceat(weights, first)
-        if len(tokens) > SUMMARY:
-            counts = counts - np.partition(counts, len(counts) - SUMMARY - 1)[len(counts) - SUMMARY - 1]
-            tokens, counts = tokens[counts > 0], counts[counts > 0]
-        parts, held = [], 0
-
+    """A task's summary of frequent tokens."""
+    summary = textnum.Summary(SUMMARY, PIECE)
     for batch in batches:
         for _, _, data, offsets in textnum.chunks(batch.column("text")):
-            own, _ = textnum.shingle_sets(data, offsets, K)
-            if len(own):
-                parts.append(own)
-                held += len(own)
-            if held >= PIECE:
-                fold()
-    if held:
-        fold()
-    for at in range(0, len(tokens), 1 << 14):
-        yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[at : at + (1 << 14)].view(np.int64)), "n": pa.array(counts[at : at + (1 << 14)])})
+            summary.add(textnum.shingle_sets(data, offsets, K)[0])
+    yield from summary.batches()
 
 
 def hot_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens, sorted, and the place of each in their order from rare to frequent."""
-    counted = docs.select("text").mapInArrow(frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT)
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
-    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    ranks = np.empty(len(tokens), np.int32)
-    ranks[np.lexsort((tokens, counts))] = np.arange(len(tokens))
-    order = np.argsort(tokens)
-    return tokens[order], ranks[order]
+    return shared.most_frequent(docs.select("text").mapInArrow(frequent, "token long, n long"), HOT_TOKENS, HOT_COUNT)
 
 
 def set_maker(hot: np.ndarray, ranks: np.ndarray):

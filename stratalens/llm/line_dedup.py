@@ -1,150 +1,209 @@
-"""Line dedup by an exact set-similarity join; DataFrame functions only.
-
-A line is the set of its words (between white space, A-Z lower-cased). A line is removed when an earlier line, by (doc_id, line
-number), has a Jaccard similarity of at least 0.8 with it. Lines without words stay.
-
-1.  Words are counted over all lines by hash slot (SLOTS of them, a bounded table); a word's key is its slot's count class,
-    then its hash, so sorting the keys orders a line's words by rarity.
-2.  Lines with the same set become one class, named by its first line.
-3.  Prefix filter: similar sets share a key among the first n - ceil(0.8 n) + 1. The shorter side needs only its
-    first n - ceil(8 n / 9) + 1 keys. Length filter: 0.8 n <= m. Positional filter: with a shared key at
-    positions i and j, 1 + min(n - i, m - j) (counted from 1) must reach the overlap that 0.8 asks for.
-4.  Candidates are verified on the whole key sets.
-
-Classes keep repeated lines, however common, at one row in the join. Any order of keys gives the same result.
+"""Line dedup by an exact set-similarity join.
+
+A line is the set of its words (between white space, A-Z lower-cased). A line is removed when an earlier line, by (doc_id, the
+text's hash, line number), has a Jaccard similarity of at least 0.8 with it. Lines without words stay.
+
+1.  Words are counted over all lines by summaries of bounded size. A line's words are ordered by rarity: words that aren't frequent
+    by hash, then the frequent ones (at most HOT_WORDS) by their counts. Any order gives the same result.
+2.  Lines with the same set become one class, named by its first line; so repeated lines, however common, are one row in the join.
+3.  Prefix filter: similar sets share a word among the first n - ceil(0.8 n) + 1. The shorter side needs only its
+    first n - ceil(8 n / 9) + 1 words. Length filter: 0.8 n <= m. Positional filter: with a shared word at
+    positions i and j, min(n - i, m - j) must reach the overlap that 0.8 asks for. A sketch of 64 parity bits bounds the
+    sets' difference from below.
+4.  Candidates are verified on the words of the lines themselves.
+5.  Before the join, each class is compared with the first class that has the same minimum hash, for FAMILIES hashes. In a
+    large group of near copies that removes nearly all of them, and the join passes over pairs of which both are removed already, so a
+    group isn't expanded into all its pairs.
+
+Words are split, hashed and put in order in numpy (the README gives the figures for doing so in DataFrame functions); counting,
+classes, joins and filters are DataFrame functions.
 
 Defined results: null and empty texts have one line without words; rows with a null doc_id neither remove nor lose lines;
-repeated rows with one doc_id and text count as one document; an empty table gives no rows; further columns are ignored.
+repeated rows with one doc_id and text count as one document; different texts with one doc_id are documents of their own, in the
+order of their hash; an empty table gives no rows; further columns are ignored. Memory: a chunk of texts.
 """
 
 from __future__ import annotations
 
-import math
-import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm import shared
-
-SLOT_BITS = 16
-SLOTS = 1 << SLOT_BITS
-#: Slots of the filter on documents whose lines are candidates: a bit each.
-DOC_SLOTS = 1 << 20
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-
-
-def words(line: Column) -> Column:
-    lower = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, r"\s+"), lambda w: w != "")
-
-
-def slot_classes(docs: DataFrame) -> bytes:
-    """One byte per slot: half octaves of the number of words that fall in it."""
-    each = lines_of(docs).select(F.explode(words(F.col("line"))).alias("w"))
-    counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).collect()  # at most SLOTS rows
-    out = bytearray(SLOTS)
-    for r in counts:
-        out[r["slot"]] = min(126, 1 + int(2 * math.log2(r["n"])))
-    return bytes(out)
-
-
-def keys(line: Column, classes: bytes) -> Column:
-    """The line's distinct words as sorted keys, rarest first."""
-    table = F.lit(classes)
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        byte = F.ascii(F.substring(table, (h.bitwiseAND(F.lit(SLOTS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(byte.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+from stratalens.llm import shared, textnum
+
+#: Words that are told apart by their counts, the count from which a word is one of them, and the words of a task's summary.
+HOT_WORDS, HOT_COUNT, SUMMARY = 1 << 18, 24, 1 << 17
+FAMILIES = 3
+#: Bits of the filter on the lines that are fetched for verification: a fixed size, seven a byte.
+LINE_BITS = 7 << 18
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+ROW = "doc_id long, h long, line_no int, n int, f1 long, f2 long, sketch long, lows array<long>, prefix array<int>"
+ID = ["doc_id", "h", "line_no"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: a document is its id and its text's hash."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+
+
+def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the text of each, and its line in it."""
+    hashes, starts, _, bounds = textnum.words(data, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    breaks = np.flatnonzero(data == 10)
+    return hashes, text, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[text]
+
+
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    summary = textnum.Summary(SUMMARY)
+    for batch in batches:
+        for _, _, data, offsets in textnum.chunks(batch.column("text")):
+            summary.add(textnum.words(data, offsets)[0])
+    yield from summary.batches()
+
+
+def splitter(hot: np.ndarray, ranks: np.ndarray):
+    """One row for each line with words."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in textnum.chunks(batch.column("text")):
+                hashes, text, line = line_words(data, offsets)
+                if not len(hashes):
+                    continue
+                where = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
+                common = hot[where] == hashes if len(hot) else np.zeros(len(hashes), bool)
+                place = hashes >> np.uint64(1)
+                place[common] = np.uint64(1 << 63) + ranks[where[common]].astype(np.uint64)
+                new = np.concatenate(([True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])))
+                own = np.cumsum(new) - 1
+                order = np.lexsort((hashes, place, own))
+                hashes, own = hashes[order], own[order]
+                one = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])))
+                hashes, own = hashes[one], own[one]
+                at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                n = np.diff(np.append(at, len(hashes)))
+                mixed = textnum.mix(hashes)
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at)
+                lows = np.stack([textnum.mix(np.minimum.reduceat(textnum.mix(hashes ^ s), at) + np.uint64(k)) for k, s in enumerate(_SEEDS[:FAMILIES])], axis=1)
+                length = n - (80 * n + 99) // 100 + 1
+                first = np.arange(len(hashes)) - np.repeat(at, n) < np.repeat(length, n)
+                texts, numbers = text[new], line[new]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(a, b - a).take(pa.array(texts)), batch.column("h").slice(a, b - a).take(pa.array(texts)), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()),
+                    pa.array(np.add.reduceat(mixed, at).view(np.int64)), pa.array(np.bitwise_xor.reduceat(textnum.mix(mixed * _SEEDS[1] + np.uint64(1)), at).view(np.int64)), pa.array(sketch.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * FAMILIES, pa.int32()), pa.array(lows.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array((hashes[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                ], ["doc_id", "h", "line_no", "n", "f1", "f2", "sketch", "lows", "prefix"])
+
+    return lines
+
+
+def least(n: str, m: str) -> str:
+    """The overlap that a similarity of 0.8 needs."""
+    return f"((80 * ({n} + {m}) + 179) div 180)"
+
+
+def possible(n: str, m: str, s: str, t: str) -> Column:
+    """Sizes and sketches that allow a similarity of 0.8. Sets differ by at least as many words as their sketches by bits."""
+    return F.expr(f"100 * least({n}, {m}) >= 80 * greatest({n}, {m}) and bit_count({s} ^ {t}) <= {n} + {m} - 2 * {least(n, m)}")
+
+
+def leaders(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class with the first one that has the same minimum hash."""
+    rows = classes.select(F.struct(*ID).alias("id"), "n", "sketch", F.posexplode("lows").alias("family", "low"))
+    first = rows.groupBy("family", "low").agg(F.min(F.struct("id", "n", "sketch")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    first = first.select("family", "low", F.col("l.id").alias("a"), F.col("l.n").alias("m"), F.col("l.sketch").alias("t"))
+    found = rows.join(first, ["family", "low"]).where(F.col("id") > F.col("a")).where(possible("n", "m", "sketch", "t"))
+    return found.select("a", F.col("id").alias("b")).distinct()
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of classes' fingerprints, x's set not larger than y's, not both gone, that pass all filters. Conditions name
+    both sides, so that they stay in the join and both read one exchange."""
+    rows = classes.select(F.col("f1"), "n", "sketch", "gone", F.posexplode("prefix").alias("i", "word"))
+    side = lambda s: rows.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("f1", "n", "i", "sketch", "gone")))
+    fits = (
+        (F.struct("x_n", "x_f1") < F.struct("y_n", "y_f1")) & ~(F.col("x_gone") & F.col("y_gone")) & F.expr("case when y_n >= x_n then x_i < x_n - (160 * x_n + 179) div 180 + 1 end")
+        & F.expr(f"least(x_n - x_i, y_n - y_i) >= {least('x_n', 'y_n')}") & possible("x_n", "y_n", "x_sketch", "y_sketch")
+    )
+    return side("x").join(side("y"), "word").where(fits).select(F.col("x_f1").alias("x"), F.col("y_f1").alias("y")).distinct()
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
+def line_filter(ids: DataFrame) -> Column:
+    """Whether a line's slot holds a wanted one. Seven bits a byte, so that each byte is a sign."""
+    slot = F.pmod(F.xxhash64(*ID), F.lit(LINE_BITS)).cast("int")
+    packed = ids.select(slot.alias("s")).distinct().groupBy(F.expr("s div 7").alias("q")).agg(F.bit_or(F.expr("shiftleft(1, s % 7)")).alias("bits")).toArrow()  # at most LINE_BITS / 7 rows
+    table = np.zeros(LINE_BITS // 7, np.uint8)
+    table[packed.column("q").to_numpy()] = packed.column("bits").to_numpy()
+    byte = F.ascii(F.substring(F.lit(table.tobytes()), (F.floor(slot / 7) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, slot % 7).bitwiseAND(F.lit(1)) == 1
 
-def prefix_length(n: Column) -> Column:
-    return n - F.expr("(80 * n + 99) div 100") + 1
 
+def word_sets(column: pa.Array) -> list[set[bytes]]:
+    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
+    table = bytes.maketrans(upper + b"\t\n\x0b\f\r", lower + b" " * 5)
+    return [{w for w in line.encode().translate(table).split(b" ") if w} for line in column.to_pylist()]
 
-def classed(docs: DataFrame, classes: bytes, path: str) -> DataFrame:
-    """doc_id, line_no, n, f1, f2, prefix of all lines with words, in the shared folder."""
-    rows = lines_of(docs.where("doc_id is not null")).select("doc_id", "line_no", keys(F.col("line"), classes).alias("k"))
-    rows = rows.where(F.size("k") > 0).select("doc_id", "line_no", F.size("k").alias("n"), F.xxhash64("k").alias("f1"), F.xxhash64(F.lit(1), "k").alias("f2"), "k")
-    return shared.written(rows.select("doc_id", "line_no", "n", "f1", "f2", F.slice("k", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix")), path)
 
+def verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [100 * len(s & t) >= 80 * len(s | t) for s, t in zip(word_sets(batch.column("line_a")), word_sets(batch.column("line_b")))]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["b"])
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes' fingerprints, a's set not larger than b's, that pass the prefix, length and positional filters.
 
-    The condition on a's position also names b's size, so that it stays in the join and both sides read one exchange."""
-    rows = firsts.select("f1", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "key")).repartition("key")
-    a = rows.select("key", F.col("f1").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = rows.select("key", F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    least = F.expr("(80 * (na + nb) + 179) div 180")  # the overlap that a similarity of 0.8 needs
-    fits = (
-        (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") * 100 >= F.col("nb") * 80) & F.when(F.col("nb") >= F.col("na"), F.col("ia") < F.expr("na - (160 * na + 179) div 180 + 1"))
-        & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least)
-    )
-    return a.join(b, "key").where(fits).select("a", "b").distinct()
-
-
-def doc_filter(ids: DataFrame) -> Column:
-    """Whether a document's slot holds a wanted one. Seven bits a byte, so that each byte is a sign; a fixed size."""
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(DOC_SLOTS)).cast("int").alias("s")).distinct()
-    packed = slots.groupBy(F.expr("s div 7").alias("q")).agg(F.bit_or(F.expr("shiftleft(1, s % 7)")).alias("bits")).collect()  # at most DOC_SLOTS / 7 rows
-    table = bytearray(DOC_SLOTS // 7 + 1)
-    for r in packed:
-        table[r["q"]] = r["bits"]
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(DOC_SLOTS)).cast("int")
-    byte = F.ascii(F.substring(F.lit(bytes(table)), (F.floor(slot / 7) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.call_function("shiftright", byte, slot % 7).bitwiseAND(F.lit(1)) == 1
+def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
+    """b (doc_id, h, line_no) of the pairs (a, b) of lines that are similar."""
+    ids = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).select("id.*").distinct(), f"{path}-ids")
+    each = docs.where("doc_id is not null").select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = each.where(line_filter(ids)).join(ids, ID).dropDuplicates(ID)
+    lines = shared.written(lines.select(F.struct(*ID).alias("id"), "line"), f"{path}-lines")
+    side = lambda s: lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("b", "line_a", "line_b")
+    return shared.written(both.mapInArrow(verifier, "b struct<doc_id:long,h:long,line_no:int>").distinct(), path)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of all lines that an earlier one matches."""
+    """doc_id, h, line_no of all lines that an earlier one matches."""
     spark = docs.sparkSession
+    shared.bounded_batches(spark, rows=1000, mb=8)
     root = shared.fresh_dir(spark, "line-dedup")
-    docs = docs.select("doc_id", "text")
-    classes = slot_classes(docs)
-    rows = classed(docs, classes, f"{root}/lines")
-    groups = shared.written(rows.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), f"{root}/classes")
-    own = groups.select("f1", "f2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    firsts = rows.join(own, ["doc_id", "line_no", "f1", "f2", "n"])
-    pairs = shared.written(candidates(firsts), f"{root}/pairs")
-    ids = pairs.select(F.col("a").alias("f1")).union(pairs.select(F.col("b").alias("f1"))).distinct().join(own, "f1").select("doc_id", "line_no", "f1", "f2")
-    ids = shared.written(ids, f"{root}/ids")
-    texts = docs.where("doc_id is not null").where(doc_filter(ids)).distinct()
-    wanted = ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))  # lines of one document
-    found = texts.join(wanted, "doc_id").select("doc_id", "nos", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("nos", F.col("line_no")))
-    sets = found.select("doc_id", "line_no", keys(F.col("line"), classes).alias("k")).join(ids, ["doc_id", "line_no"])
-    sets = shared.written(sets.select(F.struct("doc_id", "line_no").alias("id"), "f1", "k").where(F.xxhash64("k") == F.col("f1")), f"{root}/sets")
-    left = sets.select(F.col("f1").alias("a"), F.col("id").alias("ia"), F.col("k").alias("ka"))
-    right = sets.select(F.col("f1").alias("b"), F.col("id").alias("ib"), F.col("k").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ka", "kb"))
-    links = both.where(common * 100 >= (F.size("ka") + F.size("kb") - common) * 80)
-    later = links.select(F.greatest("ia", "ib").alias("first")).distinct()
+    docs = identified(docs)
+    real = docs.where("doc_id is not null and text is not null")
+    hot, ranks = shared.most_frequent(real.select("text").mapInArrow(counter, "token long, n long"), HOT_WORDS, HOT_COUNT)
+    rows = shared.written(real.mapInArrow(splitter(hot, ranks), ROW), f"{root}/lines")
+    # payload after the line's id: what a set gives is the same for all its lines
+    first = F.min(F.struct(*ID, "sketch", "lows", "prefix")).alias("c")
+    classes = shared.written(rows.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "c.*"), f"{root}/classes")
+    gone = verified(docs, shared.written(leaders(classes), f"{root}/leaders"), f"{root}/gone").select("b.*", F.lit(True).alias("gone"))
+    state = classes.drop("lows").join(gone, ID, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    state = shared.written(state, f"{root}/state")
+    pairs = shared.written(candidates(state), f"{root}/pairs")
+    own = state.select("f1", F.struct(*ID).alias("id"), "n")
+    named = pairs.join(own.select(F.col("f1").alias("x"), F.col("id").alias("p")), "x").join(own.select(F.col("f1").alias("y"), F.col("id").alias("q")), "y")
+    named = shared.written(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{root}/named")
+    later = verified(docs, named, f"{root}/later").select("b.*").withColumn("later", F.lit(True))
     # every line of a class that an earlier class matches goes; of the others all but the first go
-    state = groups.join(later.withColumn("gone", F.lit(True)), "first", "left").select("f1", "f2", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    marked = rows.select("doc_id", "line_no", "f1", "f2", "n").join(state, ["f1", "f2", "n"])
-    return marked.where(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no").distinct()
+    state = state.join(later, ID, "left").select("f1", "f2", "n", F.struct(*ID).alias("first"), (F.col("gone") | F.coalesce("later", F.lit(False))).alias("gone"))
+    marked = rows.select(*ID, "f1", "f2", "n").join(state, ["f1", "f2", "n"])
+    return marked.where(F.col("gone") | (F.struct(*ID) > F.col("first"))).select(*ID).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers) of every document."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    out = counts.join(gone, "doc_id", "left")
+    gone = removed_lines(docs).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))  # lines of one document
+    counts = identified(docs).select("doc_id", "h", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    out = counts.join(gone, ["doc_id", "h"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents' columns with the remaining lines as text."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left")
+    gone = removed_lines(docs).groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
+    joined = docs.join(gone, (docs.doc_id == F.col("__id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("__h")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,3 +73,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None
     except Exception as e:  # a Spark that doesn't know it, or holds it fixed, keeps to the bound on rows
         if "CANNOT_MODIFY" not in str(e):
             raise
+
+
+def most_frequent(counted: DataFrame, limit: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``limit`` tokens with the highest counts from ``least`` on (token, n rows), sorted, and the place of each in their order from rare to frequent."""
+    sums = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = sums.orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    ranks = np.empty(len(tokens), np.int32)
+    ranks[np.lexsort((tokens, counts))] = np.arange(len(tokens))
+    order = np.argsort(tokens)
+    return tokens[order], ranks[order]

@@ -126,3 +126,41 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
         parts.append(own)
         sizes[d + 1] = len(own)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(sizes)
+
+
+class Summary:
+    """The frequent values of a stream (Misra and Gries, 1982): at most ``size`` of them, each counted short by at most one
+    ``size``-th of the stream. Memory: twice ``size`` and a piece of values."""
+
+    def __init__(self, size: int, piece: int = 1 << 20):
+        self.size, self.piece = size, piece
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            self.parts.append(values)
+            self.held += len(values)
+        if self.held >= self.piece:
+            self.fold()
+
+    def fold(self) -> None:
+        new, n = np.unique(np.concatenate(self.parts), return_counts=True)
+        both, weights = np.concatenate((self.values, new)), np.concatenate((self.counts, n))
+        order = np.argsort(both, kind="stable")
+        both, weights = both[order], weights[order]
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        self.values, self.counts = both[first], np.add.reduceat(weights, first)
+        if len(self.values) > self.size:
+            at = len(self.values) - self.size - 1
+            self.counts = self.counts - np.partition(self.counts, at)[at]
+            self.values, self.counts = self.values[self.counts > 0], self.counts[self.counts > 0]
+        self.parts, self.held = [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.fold()
+        for at in range(0, len(self.values), 1 << 14):
+            s = slice(at, at + (1 << 14))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(self.values[s].view(np.int64)), "n": pa.array(self.counts[s])})

@@ -1,15 +1,18 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from stratalens.llm import line_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows):
+def brute(rows, hashes=None):
+    """Removed lines by (doc_id, text, line number); texts of one doc_id are in the order of their hash."""
     lines = []
-    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}):
-        lines += [((i, k), frozenset(w for w in re.split(r"[ \t\n\x0b\f\r]+", line.translate(LOWER)) if w)) for k, line in enumerate(t.split("\n"))]
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], hashes[r[1]] if hashes else r[1])):
+        lines += [((i, t, k), frozenset(w for w in re.split(r"[ \t\n\x0b\f\r]+", line.translate(LOWER)) if w)) for k, line in enumerate(t.split("\n"))]
     gone = set()
     for x, (at, s) in enumerate(lines):
         for other, o in lines[:x]:
@@ -30,17 +33,48 @@ def test_line_dedup(spark, docs, corpus, empty):
         return " ".join(own)
 
     rows = [(i, "\n".join(line() for _ in range(rnd.randint(0, 8)))) for i in range(60)]
-    rows += [(100 + i, t) for i, (_, t, *_) in enumerate(corpus)] + [(7, rows[7][1]), (None, rows[7][1]), (99, "A b\n\n \t\nb a\nhot line here")] + [(1000 + i, "hot line here") for i in range(30)]
+    rows += [(100 + i, t) for i, (_, t, *_) in enumerate(corpus)] + [(7, rows[7][1]), (7, "totally other words here\nhot line here"), (8, None), (None, rows[7][1]), (99, "A b\n\n \t\nb a\nhot line here")] + [(1000 + i, "hot line here") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = brute(rows)
+    hashes = {r["text"] or "": r["h"] for r in line_dedup.identified(df).collect()}
+    want = brute(rows, hashes)
     got = line_dedup.removals(df).collect()
     assert len(got) == len(rows)
-    found = {(r["doc_id"], k) for r in got for k in r["removed"]}
-    assert found == want and len(want) > 60
+    removed = {}
+    for i, t, k in want:
+        removed.setdefault((i, t), []).append(k)
+    expected = sorted((str(i), (t or "").count("\n") + 1, sorted(removed.get((i, t or ""), []))) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["removed"]) for r in got) == expected and len(want) > 60
     assert all(r["n_removed"] == len(r["removed"]) and (r["doc_id"] is not None or not r["removed"]) for r in got)
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df.where("doc_id < 60")).collect()}
-    part = brute([r for r in rows if r[0] is not None and r[0] < 60])
-    for i, t in rows[:60]:
-        assert texts[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in part)
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df.where("doc_id < 60 and doc_id not in (7, 8)")).collect()}
+    part = brute([r for r in rows if r[0] is not None and r[0] < 60 and r[0] not in (7, 8)])
+    for i, t in [r for r in rows[:60] if r[0] not in (7, 8)]:
+        assert texts[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in part)
     assert line_dedup.removals(empty).count() == 0
     assert line_dedup.dedup_lines(docs).columns == docs.columns
+
+
+def test_texts_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (2, "totally other words here")]
+    got = {r["text"]: r["removed"] for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "h").agg(F.collect_list("line_no").alias("removed")).join(line_dedup.identified(spark.createDataFrame(rows, "doc_id long, text string")), ["doc_id", "h"]).collect()}
+    assert got == {"alpha beta gamma delta": [0]}
+    kept = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == ["", "alpha beta gamma delta", "totally other words here"]
+
+
+def test_group_of_near_copies(spark, monkeypatch):
+    """One large group of lines with a few words changed: all found, without a join over its pairs."""
+    rnd = random.Random(3)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(40)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = []
+    real = line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda c: (lambda p: sizes.append(p.count()) or p)(real(c)))
+    got = {(r["doc_id"], k) for r in line_dedup.removals(df).collect() for k in r["removed"]}
+    assert got == {(i, k) for i, _, k in brute(rows)} and len(got) > 250
+    assert sizes[0] < 300 * 299 / 2 / 3
