@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import json
+from functools import lru_cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,19 +40,47 @@ ID_TYPES = {
 #: Shapes of identifiers.
 ID_SHAPES = {"figi": "^[A-Z0-9]{12}$", "cusip": "^[A-Z0-9]{9}$", "isin": "^[A-Z]{2}[A-Z0-9]{10}$", "sedol": "^[A-Z0-9]{7}$"}
 
-#: Entities that filings use; the ampersand's comes last so that nothing is unescaped twice.
-ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-
-
 def let(value: Column, f) -> Column:
     """f of a value that is computed once, which keeps deep expressions small."""
     return F.get(F.transform(F.array(value), f), 0)
 
 
+@lru_cache(maxsize=1)
+def _entities() -> tuple[str, str, str]:
+    """HTML's named entities as JSON, the names that stand without a semicolon as a pattern of the longest first, and the code points
+    that numeric references stand for in place of their own, as JSON. The standard library has the tables."""
+    numbers = {}
+    for k in range(0x80, 0xA0):
+        numbers[str(k)] = html.unescape(f"&#{k};")
+    numbers |= {"0": "\ufffd", "13": "\r"}
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(html5), "^(" + "|".join(bare) + ")", json.dumps(numbers)
+
+
+def _unescaped_part(part: Column) -> Column:
+    """A text after an ampersand, with the ampersand or what it stands for."""
+    names, bare, numbers = _entities()
+    table = lambda text: F.from_json(F.lit(text), "map<string,string>")
+    ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+    rest = lambda head: F.substr(part, F.length(head) + 1)
+    digits = F.regexp_extract(ref, "^#[xX]?([0-9a-fA-F]+)", 1)
+    short_enough = F.length(F.ltrim(digits, F.lit("0"))) <= 8
+    value = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    number = F.coalesce(F.when(short_enough, value), F.lit(1 << 40))
+    bad = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    gone = (number.between(1, 8)) | (number == 11) | number.between(14, 31) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    numeric = F.coalesce(F.try_element_at(table(numbers), number.cast("string")), F.when(bad, F.lit("\ufffd")).when(gone, F.lit("")).otherwise(sign))
+    short = F.regexp_extract(ref, bare, 1)
+    named = F.coalesce(F.concat(F.try_element_at(table(names), ref), rest(ref)), F.when(short != "", F.concat(F.try_element_at(table(names), short), rest(short))), F.concat(F.lit("&"), part))
+    return F.when(ref.startswith("#"), F.concat(numeric, rest(ref))).when(ref != "", named).otherwise(F.concat(F.lit("&"), part))
+
+
 def unescaped(text: Column) -> Column:
-    for entity, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    """HTML's character references, named and numeric, once each."""
+    parts = F.split(text, "&")
+    whole = let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, 1 << 30), _unescaped_part), "")))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

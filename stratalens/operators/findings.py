@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 #: Patterns in the order of their priority.
 PRIORITY = {"P001": 1, "P004": 2, "P005": 3, "P002": 4, "P008": 5, "P009": 6}
 INSTANCE_LIMIT, EXAMPLE_LIMIT = 100, 10
-#: Kinds of sources that a citation can name, tested in this order.
-SOURCES = ("EDGAR", "SEC", "XBRL_SPEC", "XBRL", "FASB", "IFRS")
+#: Texts that a citation's source can hold, tested in this order, and the kinds that they name.
+SOURCES = {
+    "XBRL SPECIFICATION 2.1": "XBRL_SPEC",
+    "XBRL_21": "XBRL_SPEC",
+    "XBRL SPEC": "XBRL_SPEC",
+    "SEC EFM": "SEC_EFM",
+    "EFM": "SEC_EFM",
+    "ARELLE": "ARELLE_VALIDATION",
+    "DQCRT": "DQCRT",
+    "OTHER": "OTHER",
+}
 
 
 def priority(pattern: Column) -> Column:
@@ -33,16 +42,24 @@ def gate(findings: DataFrame, citations: str = "citations") -> DataFrame:
 
 
 def citation_source(text: Column) -> Column:
-    """The first kind that the text names, as itself or inside; OTHER without one."""
-    upper = F.upper(F.trim(text))
-    out = F.when(F.lit(False), F.lit(""))
-    for name in SOURCES:
-        out = out.when(upper == name, F.lit(name))
-    for name in SOURCES:
-        out = out.when(F.contains(upper, F.lit(name)), F.lit(name))
+    """The kind of the first text that the source holds; a kind's own name stays; OTHER without one."""
+    upper = F.upper(F.coalesce(text, F.lit("")))
+    out = F.when(F.trim(upper).isin(*sorted(set(SOURCES.values()))), F.trim(upper))
+    for name, kind in SOURCES.items():
+        out = out.when(F.contains(upper, F.lit(name)), F.lit(kind))
     return out.otherwise(F.lit("OTHER"))
 
 
+def normal_citation(c: Column) -> Column:
+    """struct(source, citation, url, retrieved_at, sha256, notes) of a citation; null without a citation or a title. Empty fields and
+    digests that aren't 64 hex digits are null."""
+    text = lambda name: F.nullif(F.coalesce(c[name], F.lit("")), F.lit(""))
+    name = F.coalesce(c["citation"], c["title"], F.lit(""))
+    sha = F.when(text("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lower(text("sha256")))
+    out = F.struct(citation_source(c["source"]).alias("source"), name.alias("citation"), text("url").alias("url"), text("retrieved_at").alias("retrieved_at"), sha.alias("sha256"), text("notes").alias("notes"))
+    return F.when(name != "", out)
+
+
 def ranked(findings: DataFrame, key: list[str], pattern: str = "pattern_id", finding: str = "finding_id", eligible: Column | None = None) -> DataFrame:
     """rank 1 is the finding to report: by priority, pattern and id; suppression marks the other eligible ones."""
     test = F.lit(True) if eligible is None else eligible

@@ -35,9 +35,10 @@ def compatible(filings: DataFrame) -> DataFrame:
 
 
 def comparator(filings: DataFrame) -> DataFrame:
-    """accession, comparator, rule: the newest filing of the same quarter in an earlier year, else of an earlier period, else the newest."""
-    pairs = compatible(filings).withColumns({"end": F.expr("try_to_date(period_end)"), "p_end": F.expr("try_to_date(p_period_end)")})
-    same = (F.quarter("end") == F.quarter("p_end")) & (F.year("p_end") < F.year("end"))
+    """accession, comparator, rule for forms that need one: for 10-Q the newest filing of the same quarter in an earlier year, else the newest
+    of an earlier period, else the newest. Event-driven forms have none."""
+    pairs = compatible(filings).where(comparator_required(F.col("form"))).withColumns({"end": F.expr("try_to_date(period_end)"), "p_end": F.expr("try_to_date(p_period_end)")})
+    same = (F.col("base") == "10-Q") & (F.quarter("end") == F.quarter("p_end")) & (F.year("p_end") < F.year("end"))
     rank = F.when(same, 0).when(F.col("p_end") < F.col("end"), 1).otherwise(2)
     best = F.min_by(F.struct(F.col("p_accession").alias("comparator"), F.element_at(F.array(F.lit("same_quarter"), F.lit("previous_period"), F.lit("newest")), rank + 1).alias("rule")), F.struct(rank.alias("r"), F.datediff(F.lit("9999-12-31").cast("date"), "p_filed").alias("age"), F.col("p_accession")))
     return pairs.groupBy("accession").agg(best.alias("b")).select("accession", "b.*")

@@ -28,43 +28,76 @@ def resolution(rows: Column, entries: Column, figis: Column) -> Column:
     return F.when(rows == 0, "missing").when(figis > 1, "ambiguous").when(rows > entries, "duplicate_identical").otherwise("resolved")
 
 
+def resolved_table(table: DataFrame, on: list[str], figi: str = "figi", row_id: str = "row_id") -> DataFrame:
+    """on, status, candidates (sorted distinct figi and row_id): what each key of the table resolves to. One row per key."""
+    each = table.groupBy(*on, figi, row_id).agg(F.count("*").alias("__n"))  # duplicates counted, so that no distinct count is needed
+    one = each.groupBy(*on).agg(F.sum("__n").alias("__n"), F.count("*").alias("__r"), F.min(figi).alias("__a"), F.max(figi).alias("__b"), F.array_sort(F.collect_list(F.struct(figi, row_id))).alias("candidates"))
+    figis = F.when(F.col("__a").eqNullSafe(F.col("__b")), 1).otherwise(2)
+    return one.select(*on, resolution(F.col("__n"), F.col("__r"), figis).alias("status"), "candidates")
+
+
 def resolve(keys: DataFrame, table: DataFrame, key: list[str], on: list[str], figi: str = "figi", row_id: str = "row_id") -> DataFrame:
-    """key, status, candidates (sorted distinct figi and row_id) of the left rows' matches."""
-    joined = keys.join(table, on, "left").groupBy(*key).agg(
-        F.count(row_id).alias("__n"), F.count_distinct(row_id).alias("__r"), F.count_distinct(figi).alias("__f"),
-        F.array_sort(F.array_distinct(F.collect_list(F.when(F.col(figi).isNotNull(), F.struct(figi, row_id))))).alias("candidates"),
-    )
-    return joined.select(*key, resolution(F.col("__n"), F.col("__r"), F.col("__f")).alias("status"), "candidates")
+    """key, status, candidates of the left rows, by the resolved table: each key of the registry is resolved once, however many rows ask for it."""
+    none = F.array().cast(f"array<struct<{figi}:{table.schema[figi].dataType.simpleString()},{row_id}:{table.schema[row_id].dataType.simpleString()}>>")
+    found = keys.join(resolved_table(table, on, figi, row_id), on, "left")
+    return found.select(*key, F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("candidates", none).alias("candidates"))
 
 
 def by_precedence(keys: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
-    """keys: key, pos, id_type, id_value. The first position that isn't missing wins; a left row whose keys are all missing stays missing."""
+    """keys: key, pos, id_type, id_value. The first position that isn't missing wins. A left row whose keys are all missing stays
+    missing; with a blank type among them it is unsupported_id_type."""
     each = resolve(keys, table, [*key, "pos", "id_type", "id_value"], ["id_type", "id_value"])
-    rank = F.struct((F.col("status") == "missing").alias("m"), F.col("pos"))
+    none = F.coalesce("id_type", F.lit("")) == ""
+    each = each.withColumn("status", F.when(none, "unsupported_id_type").otherwise(F.col("status")))
+    rank = F.struct(F.when(none, 1).when(F.col("status") == "missing", 2).otherwise(0).alias("m"), F.col("pos"))
     best = F.min_by(F.struct("status", "id_type", "id_value", "candidates"), rank)
     return each.groupBy(*key).agg(best.alias("b")).select(*key, "b.*")
 
 
+def invalid_snapshot(keys: DataFrame, key: list[str], error: str) -> DataFrame:
+    """What every left row gets from a registry that can't be read: key, status, candidates, diagnostic."""
+    none = F.array().cast("array<struct<figi:string,row_id:string>>")
+    return keys.select(*key).distinct().select(*key, F.lit("snapshot_invalid").alias("status"), none.alias("candidates"), F.lit(error).alias("diagnostic"))
+
+
 def tiered(tiers: list[DataFrame], key: list[str]) -> DataFrame:
     """Each tier has key, figi, row_id of its matches; a left row takes those of its lowest tier. key, tier, status, candidates."""
     rows = None
     for k, t in enumerate(tiers, start=1):
         part = t.select(*key, "figi", "row_id", F.lit(k).alias("tier"))
         rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy(*key).agg(F.min("tier").alias("tier"))
-    found = rows.join(best, [*key, "tier"])
-    agg = found.groupBy(*key, "tier").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("r"), F.count_distinct("figi").alias("f"), F.array_sort(F.collect_set(F.struct("figi", "row_id"))).alias("candidates"))
-    return agg.select(*key, "tier", resolution(F.col("n"), F.col("r"), F.col("f")).alias("status"), "candidates")
+    each = resolved_table(rows, [*key, "tier"])
+    return each.groupBy(*key).agg(F.min_by(F.struct("tier", "status", "candidates"), "tier").alias("b")).select(*key, "b.*")
+
+
+def tiered_keys(rows: DataFrame, table: DataFrame, key: list[str], tiers: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """Lookup by columns, tier by tier: (left columns, table columns). The table is resolved once per tier and key, and a tier sees only
+    the rows that no lower one matched. key, tier, status, candidates of the rows with a match."""
+    left, out = rows, None
+    for k, (own, theirs) in enumerate(tiers, start=1):
+        names = [f"__k{i}" for i in range(len(own))]
+        filled = table.select(*(F.col(c).alias(n) for c, n in zip(theirs, names)), "figi", "row_id").dropna(subset=names)
+        found = left.select(*key, *(F.col(c).alias(n) for c, n in zip(own, names))).join(resolved_table(filled, names), names).select(*key, F.lit(k).alias("tier"), "status", "candidates")
+        out = found if out is None else out.union(found)
+        left = left.join(found.select(*key), key, "left_anti")
+    return out
 
 
 def instrument_lookup(instruments: DataFrame, registry: DataFrame, key: list[str]) -> DataFrame:
-    """Tier 1: cusip or isin; tier 2: the canonical signature; tier 3: the title with ticker and exchange equal or blank in the registry."""
-    r = registry.select("figi", "row_id", *(F.col(c).alias(f"r_{c}") for c in ("cusip", "isin", "canonical_signature", "normalized_title", "ticker", "exchange")))
-    ids = lambda side, c: F.explode(F.array_distinct(F.filter(F.array(F.struct(F.lit("cusip").alias("t"), F.col(f"{c}cusip").alias("v")), F.struct(F.lit("isin").alias("t"), F.col(f"{c}isin").alias("v"))), lambda x: F.coalesce(x["v"], F.lit("")) != ""))).alias("__match")
-    one = instruments.select(*key, ids(instruments, "")).join(r.select("figi", "row_id", ids(r, "r_")), "__match").select(*key, "figi", "row_id").distinct()
-    two = instruments.join(r, (F.col("canonical_signature") == F.col("r_canonical_signature")) & (F.col("r_canonical_signature") != "")).select(*key, "figi", "row_id")
+    """Tier 1: cusip or isin; tier 2: the canonical signature; tier 3: the title with ticker and exchange equal or blank in the registry; a
+    registry row without a normalised title answers to its upper-cased security title. A row that matches by both ids counts once,
+    equal rows each count."""
+    title = F.nullif(F.coalesce("normalized_title", F.lit("")), F.lit(""))
+    if "security_title" in registry.columns:
+        title = F.coalesce(title, T.key_token(F.col("security_title")))
+    r = registry.select("figi", "row_id", *(F.col(c).alias(f"r_{c}") for c in ("cusip", "isin", "canonical_signature", "ticker", "exchange")), title.alias("r_title"))
+    equal = lambda c: (F.col(c) == F.col(f"r_{c}")) & (F.coalesce(F.col(c), F.lit("")) != "")
+    by_cusip = instruments.join(r, equal("cusip"))
+    by_isin = instruments.join(r, equal("isin")).where(~F.coalesce(equal("cusip"), F.lit(False)))
+    one = by_cusip.select(*key, "figi", "row_id").union(by_isin.select(*key, "figi", "row_id"))
+    two = instruments.join(r, equal("canonical_signature")).select(*key, "figi", "row_id")
     blank = lambda a, b: (F.col(a) == F.col(b)) | (F.coalesce(F.col(b), F.lit("")) == "")
-    three = instruments.join(r, (F.col("normalized_title") == F.col("r_normalized_title")) & blank("ticker", "r_ticker") & blank("exchange", "r_exchange")).select(*key, "figi", "row_id")
+    three = instruments.join(r, F.col("normalized_title") == F.col("r_title")).where(blank("ticker", "r_ticker") & blank("exchange", "r_exchange")).select(*key, "figi", "row_id")
     found = tiered([one, two, three], key)
     return instruments.select(*key).join(found, key, "left").select(*key, "tier", F.coalesce("status", F.lit("missing")).alias("status"), "candidates")
 

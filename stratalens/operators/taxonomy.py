@@ -23,12 +23,12 @@ def mixed_versions(rows: DataFrame, key: list[str], base: Column, version: Colum
 
 
 def detect(schema_refs: DataFrame, declared: DataFrame, fact_namespaces: DataFrame) -> DataFrame:
-    """accession, issue_code, details, signature, instance_id; at most one row for each of the two codes."""
+    """accession, issue_code, details, signature, instance_id; at most one row for each of the two codes. Both look at the namespaces
+    that facts use; a schema that imports another version isn't mixed by that."""
     key = ["accession"]
     used = fact_namespaces.select("accession", "namespace").distinct()
     missing = undeclared(used, declared, key, "namespace").groupBy(*key).agg(F.array_sort(F.collect_set("namespace")).alias("details")).withColumn("issue_code", F.lit("namespace_schema_ref_mismatch"))
-    spaces = used.union(declared.select("accession", "namespace")).distinct()
-    mixed = mixed_versions(spaces, key, F.regexp_extract("namespace", VERSION, 1), F.regexp_extract("namespace", VERSION, 2))
+    mixed = mixed_versions(used, key, F.regexp_extract("namespace", VERSION, 1), F.regexp_extract("namespace", VERSION, 2))
     mixed = mixed.groupBy(*key).agg(F.array_sort(F.collect_set(F.concat_ws("=", "base", F.array_join("versions", ",")))).alias("details")).withColumn("issue_code", F.lit("mixed_taxonomy_versions"))
     lists = used.groupBy(*key).agg(F.collect_set("namespace").alias("namespaces")).join(schema_refs.where("href <> ''").groupBy(*key).agg(F.collect_set("href").alias("refs")), key, "left")
     found = missing.unionByName(mixed).join(lists, key, "left")
@@ -42,6 +42,10 @@ def missing_content(filings: DataFrame, required: DataFrame, present: DataFrame)
 
 
 def resolve_packages(namespaces: DataFrame, packages: DataFrame) -> DataFrame:
-    """Pinned packages for namespaces: exact first, then the longest prefix."""
-    hits = namespaces.join(packages, F.col("namespace").startswith(F.col("package_namespace")), "left")
-    return hits.groupBy("namespace").agg(F.max_by("package", F.struct(F.length("package_namespace"), F.col("package"))).alias("package"))
+    """Pinned packages for namespaces: exact first, then the longest prefix. A namespace is joined by its prefixes of the lengths that
+    packages have, by equality."""
+    lengths = packages.select(F.length("package_namespace").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))  # lengths of addresses: a few hundred at most
+    own = namespaces.select("namespace").distinct().join(F.broadcast(lengths))
+    prefixes = own.select("namespace", F.explode(F.filter("lengths", lambda n: n <= F.length("namespace"))).alias("n")).select("namespace", F.expr("left(namespace, n)").alias("package_namespace"))
+    hits = prefixes.join(packages, "package_namespace").groupBy("namespace").agg(F.max_by("package", F.struct(F.length("package_namespace"), F.col("package"))).alias("package"))
+    return namespaces.select("namespace").distinct().join(hits, "namespace", "left")

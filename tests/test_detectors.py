@@ -81,6 +81,12 @@ def test_taxonomy(spark):
     declared = spark.createDataFrame([(ACC, "urn:ext"), (ACC, "urn:unused"), (ACC, "http://g/2023-01-31"), (ACC, "http://g/2024-01-31"), (ACC, "http://g/2024")], pair)
     got = {(r["accession"], r["issue_code"]): r["details"] for r in taxonomy.detect(refs, declared, used).collect()}
     assert got == {(ACC, "namespace_schema_ref_mismatch"): ["urn:undeclared"], (ACC, "mixed_taxonomy_versions"): ["http://g=2023-01-31,2024-01-31"]}
+    # facts of one version, schemas that declare two: not mixed
+    one = spark.createDataFrame([(ACC, "http://g/2024-01-31")], pair)
+    assert taxonomy.detect(refs, declared, one).count() == 0
+    packages = spark.createDataFrame([("http://g", "short"), ("http://g/2024", "long"), ("http://other", "x")], "package_namespace string, package string")
+    resolved = {r["namespace"]: r["package"] for r in taxonomy.resolve_packages(used.select("namespace"), packages).collect()}
+    assert resolved == {"urn:ext": None, "urn:undeclared": None, "urn:z": None, "http://g/2023-01-31": "short", "http://g/2024-01-31": "long", "http://g/2024": "long"}
     filings, required = spark.createDataFrame([("a", "S-1")], "accession string, form string"), spark.createDataFrame([("S-1", "fee"), ("S-1", "total")], "form string, name string")
     assert [r["name"] for r in taxonomy.missing_content(filings, required, spark.createDataFrame([("a", "fee")], "accession string, name string")).collect()] == ["total"]
 
@@ -117,6 +123,15 @@ def test_lookups(spark):
     instruments = spark.createDataFrame([("i", "123456AB7", "", "s", "q", "t", "e"), ("j", "", "", "s", "T", "t", "e"), ("k", "", "", "s", "q", "t", "e")], "id string, cusip string, isin string, canonical_signature string, normalized_title string, ticker string, exchange string")
     tiers = {r["id"]: (r["tier"], r["status"]) for r in registry.instrument_lookup(instruments, registry_rows(spark), ["id"]).collect()}
     assert tiers == {"i": (1, "resolved"), "j": (3, "resolved"), "k": (None, "missing")}
+    # equal registry rows count each, a row that matches by both ids once; a row without a normalised title answers to its own
+    one = registry_rows(spark).where("row_id = 'r1'").withColumns({"isin": F.lit("US1234567890"), "security_title": F.lit(" Plain &amp; simple ")})
+    both = spark.createDataFrame([("i", "123456AB7", "US1234567890", "s", "q", "t", "e"), ("l", "", "", "s", "PLAIN & SIMPLE", "t", "e")], instruments.schema)
+    states = lambda table: {r["id"]: (r["tier"], r["status"]) for r in registry.instrument_lookup(both, table, ["id"]).collect()}
+    assert states(one) == {"i": (1, "resolved"), "l": (3, "resolved")}
+    assert states(one.union(one)) == {"i": (1, "duplicate_identical"), "l": (3, "duplicate_identical")}
+    odd = spark.createDataFrame([("a", 0, "", "1"), ("a", 1, "cusip", "1"), ("b", 0, "", "1"), ("b", 1, "cusip", "123456AB7")], keys.schema)
+    assert {r["id"]: r["status"] for r in registry.by_precedence(odd, table, ["id"]).collect()} == {"a": "unsupported_id_type", "b": "resolved"}
+    assert [r["status"] for r in registry.invalid_snapshot(odd, ["id"], "unreadable").collect()] == ["snapshot_invalid"] * 2
 
 
 def test_markers(spark):
@@ -142,6 +157,10 @@ def test_history(spark):
     filings = spark.createDataFrame(rows, "cik string, accession string, form string, filed_date string, period_end string")
     got = {r["accession"]: (r["comparator"], r["rule"]) for r in history.comparator(filings).collect()}
     assert got[rows[3][1]] == (rows[0][1], "same_quarter") and got[rows[1][1]] == (rows[0][1], "previous_period") and rows[2][1] not in got
+    # annual forms take no quarter; event-driven ones have no comparator
+    more = [("2", f"0000000002-{y}-{k:06d}", form, f"20{y}-{m:02d}-15", f"20{y}-{m - 1:02d}-28") for k, (y, m, form) in enumerate([(22, 3, "10-K"), (22, 9, "10-K"), (23, 3, "10-K"), (22, 4, "8-K"), (23, 4, "8-K"), (22, 4, "6-K"), (23, 4, "6-K/A")])]
+    got = {r["accession"]: (r["comparator"], r["rule"]) for r in history.comparator(spark.createDataFrame(more, filings.schema)).collect()}
+    assert got == {more[1][1]: (more[0][1], "previous_period"), more[2][1]: (more[1][1], "previous_period")}
     entries = spark.createDataFrame([("1", f"0000000001-22-{k:06d}") for k in range(8)] + [("1", "junk")], "cik string, accession string")
     current = spark.createDataFrame([("1", "0000000001-22-000007", "10-K"), ("1", "0000000001-22-000003", "8-K")], "cik string, accession string, form string")
     picked = {r["accession"][-1]: (r["comparator"], [h[-1] for h in r["history"]]) for r in history.select_history(entries, current).collect()}
@@ -160,7 +179,9 @@ def test_findings(spark):
     many = spark.range(130).select(F.lit("a").alias("accession"), F.lpad(F.col("id").cast("string"), 4, "0").alias("instance_id"))
     doc = findings.documents(many, ["accession"], F.lit(1)).first()
     assert (doc["instance_count_total"], doc["instance_count_included"], doc["instances_truncated"], doc["instances"][0]["instance_id"]) == (130, 100, True, "0000")
-    assert [r[0] for r in spark.createDataFrame([("XBRL_SPEC",), ("sec rules",), ("none",)], "s string").select(findings.citation_source(F.col("s"))).collect()] == ["XBRL_SPEC", "SEC", "OTHER"]
+    assert [r[0] for r in spark.createDataFrame([("XBRL_SPEC",), ("sec efm 6.5",), ("none",), ("XBRL Specification 2.1",), ("Arelle validation",), ("dqcrt rule",), (None,)], "s string").select(findings.citation_source(F.col("s"))).collect()] == ["XBRL_SPEC", "SEC_EFM", "OTHER", "XBRL_SPEC", "ARELLE_VALIDATION", "DQCRT", "OTHER"]
+    cites = spark.createDataFrame([("EFM 6", None, "T", "", "2024", "A" * 64, ""), ("x", "c", None, "u", None, "12", "n"), ("x", None, None, "u", None, "12", "n")], "source string, citation string, title string, url string, retrieved_at string, sha256 string, notes string")
+    assert [r[0] and tuple(r[0]) for r in cites.select(findings.normal_citation(F.struct("*"))).collect()] == [("SEC_EFM", "T", None, "2024", "a" * 64, None), ("OTHER", "c", "u", None, None, "n"), None]
 
 
 def test_integrity(spark, tmp_path):

@@ -23,6 +23,18 @@ def test_normalized(spark):
     assert values(spark, rows, T.normalized(F.col("x"))) == [re.sub(r"\s+", " ", html.unescape(r or "").replace(" ", " ")).strip() for r in rows]
 
 
+def test_character_references(spark):
+    """All that the standard library's decoder does, once each."""
+    import html
+    import random
+
+    rnd = random.Random(1)
+    bits = ["&", "#", "x", "38", ";", "amp", "reg", "notit", " ", "lt;", "&#189;", "&#x41;", "&#150;", "&#0;", "&#99999999;", "&#xD800;", "&#11;", "&eacute", "&nbsp;", "a", "&CounterClockwiseContourIntegral;", "&#13;", "&#xFFFE;", "&#000000000000065;"]
+    texts = ["AT&#38;T &reg; 4&#189;%", "&amp;amp; x", "none", "", *("".join(rnd.choices(bits, k=rnd.randint(0, 9))) for _ in range(800))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.unescaped(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [html.unescape(t) for t in texts]
+
+
 def test_identifiers(spark):
     assert values(spark, ["12-34 56ab7", "é1", ""], T.identifier(F.col("x"))) == ["123456AB7", "É1", ""]
     assert values(spark, ["The NASDAQ Stock  Market LLC", "nyse", "Other"], T.exchange_key(F.col("x"))) == ["NASDAQ", "NYSE", "OTHER"]
