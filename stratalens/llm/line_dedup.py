@@ -36,7 +36,7 @@ from stratalens.llm import shared, textnum
 
 #: Words that are told apart by their counts, the count from which a word is one of them, and the words of a task's summary.
 HOT_WORDS, HOT_COUNT, SUMMARY = 1 << 18, 24, 1 << 17
-FAMILIES = 3
+FAMILIES = 2
 #: Bits of the filter on the lines that are fetched for verification: a fixed size, seven a byte.
 LINE_BITS = 7 << 18
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -113,26 +113,36 @@ def possible(n: str, m: str, s: str, t: str) -> Column:
 
 
 def leaders(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b): each class with the first one that has the same minimum hash."""
-    rows = classes.select(F.struct(*ID).alias("id"), "n", "sketch", F.posexplode("lows").alias("family", "low"))
-    first = rows.groupBy("family", "low").agg(F.min(F.struct("id", "n", "sketch")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("family", "low", F.col("l.id").alias("a"), F.col("l.n").alias("m"), F.col("l.sketch").alias("t"))
-    found = rows.join(first, ["family", "low"]).where(F.col("id") > F.col("a")).where(possible("n", "m", "sketch", "t"))
-    return found.select("a", F.col("id").alias("b")).distinct()
+    """Pairs (x, y) of fingerprints: each class with the first one, by doc_id, that has the same minimum hash."""
+    rows = classes.select(F.posexplode("lows").alias("family", "low"), "doc_id", "f1", "n", "sketch").select(F.xxhash64("family", "low").alias("k"), "doc_id", "f1", "n", "sketch")
+    first = rows.groupBy("k").agg(F.min(F.struct("doc_id", "f1", "n", "sketch")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    first = first.select("k", F.col("l.f1").alias("x"), F.col("l.n").alias("m"), F.col("l.sketch").alias("t"))
+    found = rows.select("k", "f1", "n", "sketch").join(first, "k").where(F.col("f1") != F.col("x")).where(possible("n", "m", "sketch", "t"))
+    return found.select("x", F.col("f1").alias("y")).distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Pairs (x, y) of classes' fingerprints, x's set not larger than y's, not both gone, that pass all filters. Conditions name
-    both sides, so that they stay in the join and both read one exchange."""
-    rows = classes.select(F.col("f1"), "n", "sketch", "gone", F.posexplode("prefix").alias("i", "word"))
-    side = lambda s: rows.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("f1", "n", "i", "sketch", "gone")))
+    both sides, so that they stay in the join and both read one exchange. A row's sizes are packed: n, place of the word, gone."""
+    rows = classes.select("f1", "sketch", F.posexplode("prefix").alias("i", "word"), "n", "gone")
+    rows = rows.select("word", "f1", "sketch", F.expr("shiftleft(cast(n as bigint), 32) | (i * 2 + if(gone, 1, 0))").alias("packed"))
+    side = lambda s: rows.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("f1", "sketch", "packed")))
+    n, i = (lambda s: f"shiftright({s}_packed, 32)"), (lambda s: f"(shiftright({s}_packed, 1) & 2147483647)")
     fits = (
-        (F.struct("x_n", "x_f1") < F.struct("y_n", "y_f1")) & ~(F.col("x_gone") & F.col("y_gone")) & F.expr("case when y_n >= x_n then x_i < x_n - (160 * x_n + 179) div 180 + 1 end")
-        & F.expr(f"least(x_n - x_i, y_n - y_i) >= {least('x_n', 'y_n')}") & possible("x_n", "y_n", "x_sketch", "y_sketch")
+        F.expr(f"({n('x')} < {n('y')} or {n('x')} = {n('y')} and x_f1 < y_f1) and (x_packed & y_packed & 1) = 0 and {i('x')} < {n('x')} - (160 * {n('x')} + 179) div 180 + 1 + 0 * y_f1")
+        & F.expr(f"least({n('x')} - {i('x')}, {n('y')} - {i('y')}) >= {least(n('x'), n('y'))}") & possible(n("x"), n("y"), "x_sketch", "y_sketch")
     )
     return side("x").join(side("y"), "word").where(fits).select(F.col("x_f1").alias("x"), F.col("y_f1").alias("y")).distinct()
 
 
+def named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y) of fingerprints as pairs (a, b) of lines, a before b. Fingerprints that several classes share give pairs of each."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("f1")).distinct()
+    own = classes.select("f1", F.struct(*ID).alias("id")).join(wanted, "f1")
+    both = pairs.join(own.select(F.col("f1").alias("x"), F.col("id").alias("p")), "x").join(own.select(F.col("f1").alias("y"), F.col("id").alias("q")), "y")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def line_filter(ids: DataFrame) -> Column:
     """Whether a line's slot holds a wanted one. Seven bits a byte, so that each byte is a sign."""
     slot = F.pmod(F.xxhash64(*ID), F.lit(LINE_BITS)).cast("int")
@@ -178,16 +188,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # payload after the line's id: what a set gives is the same for all its lines
     first = F.min(F.struct(*ID, "sketch", "lows", "prefix")).alias("c")
     classes = shared.written(rows.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "c.*"), f"{root}/classes")
-    gone = verified(docs, shared.written(leaders(classes), f"{root}/leaders"), f"{root}/gone").select("b.*", F.lit(True).alias("gone"))
-    state = classes.drop("lows").join(gone, ID, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    state = shared.written(state, f"{root}/state")
-    pairs = shared.written(candidates(state), f"{root}/pairs")
-    own = state.select("f1", F.struct(*ID).alias("id"), "n")
-    named = pairs.join(own.select(F.col("f1").alias("x"), F.col("id").alias("p")), "x").join(own.select(F.col("f1").alias("y"), F.col("id").alias("q")), "y")
-    named = shared.written(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{root}/named")
-    later = verified(docs, named, f"{root}/later").select("b.*").withColumn("later", F.lit(True))
+    early = verified(docs, shared.written(named(classes, leaders(classes)), f"{root}/leaders"), f"{root}/early").select("b.*", F.lit(True).alias("gone"))
+    flagged = classes.drop("lows").join(early, ID, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    pairs = shared.written(candidates(flagged), f"{root}/pairs")
+    late = verified(docs, shared.written(named(classes, pairs), f"{root}/named"), f"{root}/late").select("b.*", F.lit(True).alias("gone"))
     # every line of a class that an earlier class matches goes; of the others all but the first go
-    state = state.join(later, ID, "left").select("f1", "f2", "n", F.struct(*ID).alias("first"), (F.col("gone") | F.coalesce("later", F.lit(False))).alias("gone"))
+    gone = early.union(late).distinct()
+    state = classes.select("f1", "f2", "n", *ID).join(gone, ID, "left").select("f1", "f2", "n", F.struct(*ID).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     marked = rows.select(*ID, "f1", "f2", "n").join(state, ["f1", "f2", "n"])
     return marked.where(F.col("gone") | (F.struct(*ID) > F.col("first"))).select(*ID).distinct()
 
