@@ -57,30 +57,42 @@ def _entities() -> tuple[str, str, str]:
     return json.dumps(html5), "^(" + "|".join(bare) + ")", json.dumps(numbers)
 
 
-def _unescaped_part(part: Column) -> Column:
-    """A text after an ampersand, with the ampersand or what it stands for."""
-    names, bare, numbers = _entities()
-    table = lambda text: F.from_json(F.lit(text), "map<string,string>")
-    ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
-    rest = lambda head: F.substr(part, F.length(head) + 1)
-    digits = F.regexp_extract(ref, "^#[xX]?([0-9a-fA-F]+)", 1)
-    short_enough = F.length(F.ltrim(digits, F.lit("0"))) <= 8
-    value = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-    number = F.coalesce(F.when(short_enough, value), F.lit(1 << 40))
-    bad = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    gone = (number.between(1, 8)) | (number == 11) | number.between(14, 31) | number.between(0x7F, 0x9F) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    numeric = F.coalesce(F.try_element_at(table(numbers), number.cast("string")), F.when(bad, F.lit("\ufffd")).when(gone, F.lit("")).otherwise(sign))
-    short = F.regexp_extract(ref, bare, 1)
-    named = F.coalesce(F.concat(F.try_element_at(table(names), ref), rest(ref)), F.when(short != "", F.concat(F.try_element_at(table(names), short), rest(short))), F.concat(F.lit("&"), part))
-    return F.when(ref.startswith("#"), F.concat(numeric, rest(ref))).when(ref != "", named).otherwise(F.concat(F.lit("&"), part))
+#: References that stay in texts that are decoded already, or that come from elsewhere; the ampersand's comes last so that nothing is unescaped twice.
+ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=64)
+def references(name: str) -> str:
+    """SQL for a text column (or lambda variable) with HTML's character references, named and numeric, decoded once each. It is one SQL text,
+    so that a plan that decodes many fields is quick to build."""
+    names, bare, numbers = (quoted(x) for x in _entities())
+    table = lambda text: f"from_json({text}, 'map<string,string>')"
+    shape = quoted(r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+    digits = f"regexp_extract(ref, {quoted('^#[xX]?([0-9a-fA-F]+)')}, 1)"
+    value = f"case when length(ltrim('0', {digits})) > 8 then {1 << 40} when ref rlike '^#[xX]' then try_cast(conv({digits}, 16, 10) as bigint) else try_cast({digits} as bigint) end"
+    gone = "n between 1 and 8 or n = 11 or n between 14 and 31 or n between 127 and 159 or n between 64976 and 65007 or (n & 65534) = 65534"
+    numeric = f"""transform(array({value}), n -> coalesce(try_element_at({table(numbers)}, cast(n as string)),
+        case when n > 1114111 or n between 55296 and 57343 then '\ufffd' when {gone} then '' else decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') end))[0]"""
+    named = f"get(array_compact(transform(array(ref, regexp_extract(ref, {bare}, 1)), c -> concat(try_element_at({table(names)}, c), substr(p, length(c) + 1)))), 0)"
+    part = f"""transform(array(regexp_extract(p, {shape}, 1)), ref -> case when ref like '#%' then concat({numeric}, substr(p, length(ref) + 1))
+        when ref <> '' then coalesce({named}, concat('&', p)) else concat('&', p) end)[0]"""
+    return f"""case when contains({name}, '&') then concat(split({name}, '&')[0], array_join(transform(slice(split({name}, '&'), 2, {1 << 30}), p -> {part}), '')) else {name} end"""
+
+
+def decoded(name: str) -> Column:
+    """A column, by its name, with its character references decoded. Texts are decoded where they enter."""
+    return F.expr(references(name))
 
 
 def unescaped(text: Column) -> Column:
-    """HTML's character references, named and numeric, once each."""
-    parts = F.split(text, "&")
-    whole = let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, 2, 1 << 30), _unescaped_part), "")))
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    for entity, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
 
 
 def collapsed(text: Column) -> Column:

@@ -26,12 +26,15 @@ def field_of(local_name: Column) -> Column:
     return T.mapped(local_name, {n: field for field, names in FIELDS.items() for n in names}, F.lit(""))
 
 
-def security_fields(facts: DataFrame) -> DataFrame:
-    """accession, context_ref and sorted distinct values per field."""
+def security_fields(facts: DataFrame, max_contexts: int | None = MAX_CONTEXTS) -> DataFrame:
+    """accession, context_ref and sorted distinct values per field, of the first contexts; ``diagnostics`` tells of the others."""
     value = F.when(F.col("value") == TRANSFORM_ERROR, F.col("raw_value")).otherwise(F.col("value"))
-    rows = facts.select("accession", "context_ref", field_of(F.col("qname.local_name")).alias("field"), T.normalized(value).alias("v")).where("field <> '' and v <> ''")
-    ranked = rows.withColumn("__c", F.dense_rank().over(Window.partitionBy("accession").orderBy("context_ref"))).where(F.col("__c") <= MAX_CONTEXTS)
-    return ranked.groupBy("accession", "context_ref").pivot("field", list(FIELDS)).agg(F.array_sort(F.collect_set("v")))
+    rows = facts.select("accession", "context_ref", field_of(F.col("qname.local_name")).alias("field"), value.alias("v")).where("field <> '' and v <> ''")
+    rows = rows.withColumn("v", T.normalized(T.decoded("v"))).where("v <> ''")
+    if max_contexts is not None:
+        first = rows.select("accession", "context_ref").distinct().withColumn("__c", F.row_number().over(Window.partitionBy("accession").orderBy("context_ref")))
+        rows = rows.join(first.where(F.col("__c") <= max_contexts), ["accession", "context_ref"], "left_semi")
+    return rows.groupBy("accession", "context_ref").pivot("field", list(FIELDS)).agg(F.array_sort(F.collect_set("v")))
 
 
 def candidates(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,25 +62,50 @@ def collapse_groups(rows: DataFrame, key: list[str], identity: str, member: Colu
     return one.groupBy(*key).agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list("m")).alias("members")).where("n_members > 1")
 
 
-def detect(facts: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
-    """accession, weak_key, n_members, members, issue_codes. lookups: canonical_signature and registry status."""
-    good, unsupported = candidates(security_fields(facts))
+def groups(facts: DataFrame, lookups: DataFrame | None = None, max_contexts: int | None = MAX_CONTEXTS) -> DataFrame:
+    """accession, weak_key, n_members, members, issue_codes of every collapsed key. lookups: canonical_signature and registry status."""
+    good, unsupported = candidates(security_fields(facts, max_contexts))
     rows = good.where("weak_key <> ''")
     if lookups is None:
         rows = rows.withColumn("status", F.lit("snapshot_missing"))
     else:
         rows = rows.join(lookups.select("canonical_signature", "status"), "canonical_signature", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     member = F.struct("identity_key", "context_ref", "normalized_title", "instrument_kind", "canonical_signature", "status")
-    groups = collapse_groups(rows, ["accession", "weak_key"], "identity_key", member)
+    found = collapse_groups(rows, ["accession", "weak_key"], "identity_key", member)
     odd = unsupported.where("weak_key <> ''").groupBy("accession", "weak_key").agg(F.array_sort(F.collect_set("raw_title")).alias("unsupported"))
-    groups = groups.join(odd, ["accession", "weak_key"], "left")
+    found = found.join(odd, ["accession", "weak_key"], "left")
     has = lambda s: F.exists("members", lambda m: m["status"] == s)
     codes = F.array_sort(F.array_compact(F.array(
         F.lit("weak_identity_collision"), F.when(has("snapshot_missing"), F.lit("registry_snapshot_missing")), F.when(has("ambiguous"), F.lit("registry_snapshot_ambiguous")),
         F.when(F.col("unsupported").isNotNull(), F.lit("unsupported_security_title")),
     )))
-    ranked = groups.withColumn("issue_codes", codes).withColumn("__g", F.row_number().over(Window.partitionBy("accession").orderBy("weak_key")))
-    return ranked.where(F.col("__g") <= MAX_GROUPS).drop("__g").withColumn("members", F.slice("members", 1, MAX_MEMBERS)).withColumn("instance_id", S.sha(F.col("weak_key")))
+    return found.withColumn("issue_codes", codes)
+
+
+def detect(facts: DataFrame, lookups: DataFrame | None = None, max_contexts: int | None = MAX_CONTEXTS, max_groups: int | None = MAX_GROUPS, max_members: int | None = MAX_MEMBERS) -> DataFrame:
+    """accession, weak_key, n_members, members, members_truncated, issue_codes, instance_id: the first groups of each filing with their first
+    members. n_members counts all; a limit of None lifts it; ``diagnostics`` names the filings that a limit touches."""
+    out = groups(facts, lookups, max_contexts)
+    if max_groups is not None:
+        out = out.withColumn("__g", F.row_number().over(Window.partitionBy("accession").orderBy("weak_key"))).where(F.col("__g") <= max_groups).drop("__g")
+    shown = F.col("members") if max_members is None else F.slice("members", 1, max_members)
+    return out.withColumns({"members_truncated": F.size("members") > F.size(shown), "members": shown, "instance_id": S.sha(F.col("weak_key"))})
+
+
+def diagnostics(facts: DataFrame, lookups: DataFrame | None = None, max_contexts: int | None = MAX_CONTEXTS, max_groups: int | None = MAX_GROUPS, max_members: int | None = MAX_MEMBERS) -> DataFrame:
+    """accession, issue_code, message, n_total, n_kept of the filings in which ``detect`` leaves something out."""
+    none = facts.select("accession", F.lit("").alias("issue_code"), F.lit("").alias("message"), F.lit(0).cast("bigint").alias("n_total"), F.lit(0).cast("bigint").alias("n_kept")).limit(0)
+    say = lambda counts, code, text, limit: counts.where(F.col("n") > limit).select("accession", F.lit(code).alias("issue_code"), F.lit(text).alias("message"), F.col("n").alias("n_total"), F.lit(limit).cast("bigint").alias("n_kept"))
+    out = none
+    if max_contexts is not None:
+        counts = security_fields(facts, None).groupBy("accession").agg(F.count("*").alias("n"))
+        out = out.union(say(counts, "detector_context_cap_exceeded", f"P008 context cap {max_contexts} exceeded; remaining contexts left out.", max_contexts))
+    found = groups(facts, lookups, max_contexts)
+    if max_groups is not None:
+        out = out.union(say(found.groupBy("accession").agg(F.count("*").alias("n")), "detector_group_cap_exceeded", f"P008 group cap {max_groups} exceeded; remaining groups suppressed.", max_groups))
+    if max_members is not None:
+        out = out.union(say(found.select("accession", F.col("n_members").alias("n")), "detector_member_cap_exceeded", f"P008 member cap {max_members} exceeded; remaining members left out of the instance.", max_members))
+    return out
 
 
 def rollup(members: DataFrame, key: list[str], group: list[str]) -> DataFrame:

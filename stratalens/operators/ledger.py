@@ -140,8 +140,8 @@ def _candidates_of(refs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(refs, lambda r: r["candidates"]))))
 
 
-def classify(ledger: DataFrame, chains: DataFrame, member: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """Drift events with ids, capped by their first code."""
+def classify(ledger: DataFrame, chains: DataFrame, member: DataFrame, caps: Caps = Caps()) -> tuple[DataFrame, DataFrame]:
+    """Drift events with ids, capped by their first code, and the diagnostics of omitted events."""
     no_keys = F.array().cast("array<struct<key_type:string,value:string,source:string>>")
     first, last = (lambda r: r[0]["reported_basis"]), (lambda r: F.element_at(r, -1)["reported_basis"])
     by_chain = ledger.join(member, "observation_id").groupBy("chain_id").agg(_refs().alias("refs")).where(F.size("refs") > 1).join(chains.select("chain_id", "identity_keys"), "chain_id")
@@ -182,10 +182,11 @@ def classify(ledger: DataFrame, chains: DataFrame, member: DataFrame, caps: Caps
     events = events.withColumn("scope_key", F.col("refs")[0]["scope_key"]).withColumn("event_id", event_id())
     newest = F.array_max(F.transform("refs", lambda r: r["report_period"]))
     order = [T.mapped(F.col("continuity_class"), {k: str(v) for k, v in CLASS_RANK.items()}, F.lit("9")), F.array_join("issue_codes", ","), newest.desc(), F.col("event_id")]
-    kept, _ = cap_rows(events.withColumn("__code", F.col("issue_codes")[0]), ["__code"], order, caps.events_per_code)
+    kept, omitted = cap_rows(events.withColumn("__code", F.col("issue_codes")[0]), ["__code"], order, caps.events_per_code)
     kept = kept.drop("__code").withColumn("registry_candidates", F.slice("registry_candidates", 1, caps.candidates_per_event))
     kept = kept.withColumn("refs", F.transform("refs", lambda r: r.withField("paths", F.slice(r["paths"], 1, caps.paths_per_ref))))
-    return kept.withColumn("event_id", event_id())  # a capped event has an id of its own
+    told = omitted.select(F.lit("P009-LEDGER-E002").alias("code"), F.concat(F.lit("max events exceeded for "), "__code", F.lit("; event omitted")).alias("message"), "scope_key", F.col("event_id").alias("subject_id"))
+    return kept.withColumn("event_id", event_id()), told  # a capped event has an id of its own
 
 
 def event_id() -> Column:
@@ -199,11 +200,18 @@ def event_id() -> Column:
     return S.sha(F.concat(F.lit("v1|P009:event|"), S.fields(parts)))
 
 
-def drift_events(observations: DataFrame, registry_rows: DataFrame | None = None, caps: Caps = Caps()) -> DataFrame:
-    """Observations to events; the ledger and the edges, which several steps read, are written once."""
+def drift(observations: DataFrame, registry_rows: DataFrame | None = None, caps: Caps = Caps()) -> tuple[DataFrame, DataFrame]:
+    """Events, and the diagnostics (code, message, scope_key, subject_id) of the observations and events that the caps leave out. The ledger
+    and the edges, which several steps read, are written once."""
     root = storage.fresh_dir(observations.sparkSession, "ledger")
-    ledger, _ = build_ledger(observations, registry_rows, caps)
+    ledger, left_out = build_ledger(observations, registry_rows, caps)
     ledger = storage.written(ledger, f"{root}/refs")
     edges = storage.written(alias_edges(ledger), f"{root}/edges")
     chains, member = build_chains(ledger, edges)
-    return classify(ledger, storage.written(chains, f"{root}/chains"), storage.written(member, f"{root}/members"), caps)
+    events, told = classify(ledger, storage.written(chains, f"{root}/chains"), storage.written(member, f"{root}/members"), caps)
+    return events, left_out.withColumnRenamed("observation_id", "subject_id").union(told)
+
+
+def drift_events(observations: DataFrame, registry_rows: DataFrame | None = None, caps: Caps = Caps()) -> DataFrame:
+    """Observations to events."""
+    return drift(observations, registry_rows, caps)[0]

@@ -29,11 +29,12 @@ def resolution(rows: Column, entries: Column, figis: Column) -> Column:
 
 
 def resolved_table(table: DataFrame, on: list[str], figi: str = "figi", row_id: str = "row_id") -> DataFrame:
-    """on, status, candidates (sorted distinct figi and row_id): what each key of the table resolves to. One row per key."""
+    """on, status, n_candidates, candidates (sorted distinct figi and row_id): what each key of the table resolves to. One row per key. A
+    plan that doesn't use the list doesn't gather it."""
     each = table.groupBy(*on, figi, row_id).agg(F.count("*").alias("__n"))  # duplicates counted, so that no distinct count is needed
     one = each.groupBy(*on).agg(F.sum("__n").alias("__n"), F.count("*").alias("__r"), F.min(figi).alias("__a"), F.max(figi).alias("__b"), F.array_sort(F.collect_list(F.struct(figi, row_id))).alias("candidates"))
     figis = F.when(F.col("__a").eqNullSafe(F.col("__b")), 1).otherwise(2)
-    return one.select(*on, resolution(F.col("__n"), F.col("__r"), figis).alias("status"), "candidates")
+    return one.select(*on, resolution(F.col("__n"), F.col("__r"), figis).alias("status"), F.col("__r").alias("n_candidates"), "candidates")
 
 
 def resolve(keys: DataFrame, table: DataFrame, key: list[str], on: list[str], figi: str = "figi", row_id: str = "row_id") -> DataFrame:
@@ -72,12 +73,12 @@ def tiered(tiers: list[DataFrame], key: list[str]) -> DataFrame:
 
 def tiered_keys(rows: DataFrame, table: DataFrame, key: list[str], tiers: list[tuple[list[str], list[str]]]) -> DataFrame:
     """Lookup by columns, tier by tier: (left columns, table columns). The table is resolved once per tier and key, and a tier sees only
-    the rows that no lower one matched. key, tier, status, candidates of the rows with a match."""
+    the rows that no lower one matched. key, tier, status, n_candidates, candidates of the rows with a match."""
     left, out = rows, None
     for k, (own, theirs) in enumerate(tiers, start=1):
         names = [f"__k{i}" for i in range(len(own))]
         filled = table.select(*(F.col(c).alias(n) for c, n in zip(theirs, names)), "figi", "row_id").dropna(subset=names)
-        found = left.select(*key, *(F.col(c).alias(n) for c, n in zip(own, names))).join(resolved_table(filled, names), names).select(*key, F.lit(k).alias("tier"), "status", "candidates")
+        found = left.select(*key, *(F.col(c).alias(n) for c, n in zip(own, names))).join(resolved_table(filled, names), names).select(*key, F.lit(k).alias("tier"), "status", "n_candidates", "candidates")
         out = found if out is None else out.union(found)
         left = left.join(found.select(*key), key, "left_anti")
     return out

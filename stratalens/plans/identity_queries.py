@@ -11,26 +11,25 @@ from stratalens.plans.catalog import Tables, query
 
 
 @query("""
-with r as (select 'C' || (c_custkey % 40)::varchar as id_value, 'F' || (c_custkey % 57)::varchar as figi, c_custkey as row_id from customer where c_custkey % 5 <> 0),
-k as (select o_orderkey, 'C' || (o_custkey % 50)::varchar as id_value from orders)
+with r as (select c_mktsegment || '|' || floor(c_acctbal / 100)::bigint::varchar as id_value, 'F' || c_nationkey::varchar as figi, 'n' || c_nationkey::varchar as row_id from customer),
+k as (select o_orderkey, case when o_orderstatus = 'F' then 'BUILDING' else 'MACHINERY' end || '|' || floor(o_totalprice / 5000)::bigint::varchar as id_value from orders)
 select o_orderkey, case when count(row_id) = 0 then 'missing' when count(distinct figi) > 1 then 'ambiguous' when count(row_id) > count(distinct row_id) then 'duplicate_identical' else 'resolved' end as status,
     count(distinct row_id) as n_candidates
 from k left join r using (id_value) group by o_orderkey
 """)
 def registry_exact_lookup(spark, root):
     t = Tables(spark, root)
-    table = t.customer.where("c_custkey % 5 <> 0").select(F.concat(F.lit("C"), F.col("c_custkey") % 40).alias("id_value"), F.concat(F.lit("F"), F.col("c_custkey") % 57).alias("figi"), F.col("c_custkey").alias("row_id"))
-    # keys repeat over many orders: each key is resolved once
-    keys = t.orders.select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey") % 50).alias("id_value"))
-    found = registry.resolve(keys.select("id_value").distinct(), table, ["id_value"], ["id_value"])
-    return keys.join(found, "id_value").select("o_orderkey", "status", F.size("candidates").cast("bigint").alias("n_candidates"))
+    table = t.customer.select(F.concat_ws("|", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).cast("string")).alias("id_value"), F.concat(F.lit("F"), "c_nationkey").alias("figi"), F.concat(F.lit("n"), "c_nationkey").alias("row_id"))
+    kind = F.when(F.col("o_orderstatus") == "F", "BUILDING").otherwise("MACHINERY")
+    keys = t.orders.select("o_orderkey", F.concat_ws("|", kind, F.floor(F.col("o_totalprice") / 5000).cast("string")).alias("id_value"))
+    return registry.resolve(keys, table, ["o_orderkey"], ["id_value"]).select("o_orderkey", "status", F.size("candidates").cast("bigint").alias("n_candidates"))
 
 
 @query("""
 with r as (
-    select 'order' as id_type, o_orderkey as id_value, 'O' || o_custkey::varchar as figi, 'o' || o_orderkey::varchar as row_id from orders where o_orderkey % 7 = 0
-    union all select 'part', p_partkey, 'P' || (p_partkey % 11)::varchar, 'p' || p_partkey::varchar from part where p_partkey % 3 = 0
-    union all select 'supplier', s_suppkey, 'S' || s_suppkey::varchar, 's' || s_suppkey::varchar from supplier),
+    select 'order' as id_type, o_orderkey as id_value, 'O' || o_custkey::varchar as figi, 'o' || o_orderkey::varchar as row_id from orders where o_orderstatus = 'P'
+    union all select 'part', p_partkey, 'P' || p_brand, 'p' || p_partkey::varchar from part where p_size > 25
+    union all select 'supplier', s_suppkey, 'S' || s_suppkey::varchar, 's' || s_suppkey::varchar from supplier where s_acctbal > 0),
 k as (
     select distinct l_orderkey, l_partkey, l_suppkey from lineitem),
 hit as (
@@ -43,9 +42,9 @@ def registry_precedence_lookup(spark, root):
     t = Tables(spark, root)
     part = lambda kind, value, figi, row: F.struct(F.lit(kind).alias("id_type"), value.alias("id_value"), figi.alias("figi"), row.alias("row_id"))
     sides = [
-        t.orders.where("o_orderkey % 7 = 0").select(part("order", F.col("o_orderkey"), F.concat(F.lit("O"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey")).alias("r")),
-        t.part.where("p_partkey % 3 = 0").select(part("part", F.col("p_partkey"), F.concat(F.lit("P"), F.col("p_partkey") % 11), F.concat(F.lit("p"), "p_partkey")).alias("r")),
-        t.supplier.select(part("supplier", F.col("s_suppkey"), F.concat(F.lit("S"), "s_suppkey"), F.concat(F.lit("s"), "s_suppkey")).alias("r")),
+        t.orders.where("o_orderstatus = 'P'").select(part("order", F.col("o_orderkey"), F.concat(F.lit("O"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey")).alias("r")),
+        t.part.where("p_size > 25").select(part("part", F.col("p_partkey"), F.concat(F.lit("P"), "p_brand"), F.concat(F.lit("p"), "p_partkey")).alias("r")),
+        t.supplier.where("s_acctbal > 0").select(part("supplier", F.col("s_suppkey"), F.concat(F.lit("S"), "s_suppkey"), F.concat(F.lit("s"), "s_suppkey")).alias("r")),
     ]
     table = sides[0].union(sides[1]).union(sides[2]).select("r.*")
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
@@ -57,20 +56,21 @@ def registry_precedence_lookup(spark, root):
 
 
 @query("""
-with r as (select p_partkey as row_id, 'F' || (p_partkey % 97)::varchar as figi, p_name, p_brand, p_type from part where p_partkey % 4 = 1),
+with r as (select p_partkey as row_id, p_brand || p_size::varchar as figi, p_name, p_brand, p_type, p_size from part where p_size > 25),
 m as (
-    select p.p_partkey, 1 as tier, r.row_id, r.figi from part p join r on r.p_name = p.p_name and r.p_brand = p.p_brand
-    union all select p.p_partkey, 2, r.row_id, r.figi from part p join r on r.p_name = p.p_name
-    union all select p.p_partkey, 3, r.row_id, r.figi from part p join r on r.p_type = p.p_type and r.p_brand = p.p_brand),
+    select p.p_partkey, 1 as tier, r.row_id, r.figi from part p join r on r.p_name = p.p_name and r.p_size = p.p_size and r.p_brand = p.p_brand
+    union all select p.p_partkey, 2, r.row_id, r.figi from part p join r on r.p_name = p.p_name and r.p_size = p.p_size
+    union all select p.p_partkey, 3, r.row_id, r.figi from part p join r on r.p_type = p.p_type),
 b as (select p_partkey, min(tier) as tier from m group by p_partkey)
 select p_partkey, b.tier, case when count(distinct figi) > 1 then 'ambiguous' when count(*) > count(distinct row_id) then 'duplicate_identical' else 'resolved' end as status, count(distinct row_id) as n_candidates
 from m join b using (p_partkey) where m.tier = b.tier group by all
 """)
 def registry_tiered_lookup(spark, root):
-    part = Tables(spark, root).part.select("p_partkey", "p_name", "p_brand", "p_type")
-    r = part.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("row_id"), F.concat(F.lit("F"), F.col("p_partkey") % 97).alias("figi"), "p_name", "p_brand", "p_type")
-    tiers = [part.join(r, on).select("p_partkey", "figi", "row_id") for on in (["p_name", "p_brand"], ["p_name"], ["p_type", "p_brand"])]
-    return registry.tiered(tiers, ["p_partkey"]).select("p_partkey", "tier", "status", F.size("candidates").cast("bigint").alias("n_candidates"))
+    """The name with size and brand, the name with size, the type; the last has few keys, each resolved once."""
+    part = Tables(spark, root).part
+    r = part.where("p_size > 25").select(F.col("p_partkey").alias("row_id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("figi"), "p_name", "p_brand", "p_type", "p_size")
+    tiers = [(c, c) for c in (["p_name", "p_size", "p_brand"], ["p_name", "p_size"], ["p_type"])]
+    return registry.tiered_keys(part, r, ["p_partkey"], tiers).select("p_partkey", "tier", "status", "n_candidates")
 
 
 @query("select l_orderkey, count(*) as n from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F') group by l_orderkey")
@@ -131,22 +131,9 @@ def weak_collision(spark, root):
     return rows.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.count_distinct("c").alias("n_classes")).where("n > 1 and n_classes > 1")
 
 
-@query("""
-with recursive e as (
-    select distinct 'o' || l_orderkey::varchar as a, 'p' || l_partkey::varchar as b from lineitem where l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1996-02-01'),
-ways as (select a, b from e union select b, a from e),
-r as (select a as node, a as reach from ways union select r.node, ways.b from r join ways on ways.a = r.reach)
-select node, min(reach) as component from r group by node
-""")
-def alias_components(spark, root):
-    items = Tables(spark, root).lineitem.where("l_shipdate >= timestamp_ntz '1996-01-01' and l_shipdate < timestamp_ntz '1996-02-01'")
-    edges = items.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
-    return graph.components(edges, "a", "b")
-
-
 @query()
-def alias_components_all(spark, root):
-    """Components over all rows of lineitem; alias_components takes the month that its SQL names."""
+def alias_components(spark, root):
+    """Components of orders and parts over all rows of lineitem; most of them are one component, for which SQL's recursion is too slow."""
     items = Tables(spark, root).lineitem.where("l_orderkey is not null and l_partkey is not null")
     edges = items.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
     return graph.components(edges, "a", "b")

@@ -115,16 +115,17 @@ def set_union(spark, root):
 @query("""
 with s as (
     select distinct unnest(['part', 'supplier']) as id_type, unnest([l_partkey::varchar, l_suppkey::varchar]) as value from lineitem)
-select id_type, value from s where not exists (select 1 from part where id_type = 'part' and p_partkey::varchar = value and p_partkey % 2 = 0) and not (id_type = 'supplier' and length(value) = 1)
+select id_type, value from s where not exists (select 1 from part where id_type = 'part' and p_partkey::varchar = value and p_size <= 25)
+    and not exists (select 1 from supplier where id_type = 'supplier' and s_suppkey::varchar = value and s_acctbal > 0)
 """)
 def incremental_seeds(spark, root):
     t = Tables(spark, root)
     # distinct pairs first: normalising runs on keys, not on rows
     rows = t.lineitem.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
     one = lambda c: sets.seeds(rows.select(c).distinct(), [c])
-    existing = t.part.where("p_partkey % 2 = 0").select(F.lit("part").alias("id_type"), F.col("p_partkey").cast("string").alias("value")).union(t.supplier.where("s_suppkey < 10").select(F.lit("supplier"), F.col("s_suppkey").cast("string")))
+    existing = t.part.where("p_size <= 25").select(F.lit("part").alias("id_type"), F.col("p_partkey").cast("string").alias("value")).union(t.supplier.where("s_acctbal > 0").select(F.lit("supplier"), F.col("s_suppkey").cast("string")))
     found = one("part").union(one("supplier"))
-    return sets.new_seeds(found, existing, ["id_type", "value"]).where("not (id_type = 'supplier' and length(value) = 1)")
+    return sets.new_seeds(found, existing, ["id_type", "value"])
 
 
 @query("select sha256(string_agg(n_name || chr(9) || sha256(n_name) || chr(10), '' order by n_name)) as pack_sha256, count(*) as n_files from nation")

@@ -32,7 +32,7 @@ def _lowered(row: Column) -> Column:
 
 
 def read_rows(spark: SparkSession, path: str | list[str], code: str = "P009-OBS-E001") -> tuple[DataFrame, DataFrame]:
-    """(path, sha256, row_number, row) and diagnostics (code, message, path, row_number, value)."""
+    """(path, sha256, row_number, row) with HTML's character references decoded, and diagnostics (code, message, path, row_number, value)."""
     files = whole_files(spark, path).withColumn("kind", _kind(F.col("content")))
     objects = files.where("kind = 'lines'").select("path", "sha256", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("pos", "line")).where("trim(line) <> ''")
     objects = objects.select("path", "sha256", (F.col("pos") + 1).alias("row_number"), F.col("line").alias("raw"))
@@ -43,7 +43,7 @@ def read_rows(spark: SparkSession, path: str | list[str], code: str = "P009-OBS-
     good = parsed.where("row is not null and raw like '%{%'").select("path", "sha256", "row_number", _lowered(F.col("row")).alias("row"))
     bad = parsed.where("row is null or raw is null or raw not like '%{%'").select("path", "row_number", F.coalesce("raw", F.lit("")).alias("value"))
     table, odd = _csv_rows(files.where("kind = 'csv'"))
-    rows = good.unionByName(table)
+    rows = good.unionByName(table).withColumn("row", F.expr(f"transform_values(row, (k, v) -> {T.references('v')})"))
     diagnostics = bad.union(broken).union(odd).select(F.lit(code).alias("code"), F.lit("row cannot be read").alias("message"), "path", "row_number", "value")
     return rows, diagnostics
 

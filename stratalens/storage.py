@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or an own folder where it is unset (tests)."""
+    """spark.checkpoint.dir of the session, or an own folder where it is unset and driver and executors are one process (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.stratalens.shared", "")
     if not root:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.stratalens.shared", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -106,6 +106,24 @@ def test_collapse(spark):
     assert group["issue_codes"] == ["registry_snapshot_missing", "unsupported_security_title", "weak_identity_collision"]
 
 
+def test_collapse_caps_are_told(spark):
+    """More contexts, groups and members than the limits: what is left out has a diagnostic, and no limit leaves nothing out."""
+    rows = []
+    for g in range(4):
+        for m in range(5 if g == 0 else 2):
+            for local, value in (("Security12bTitle", f"{m + 1}.125% Notes due 20{30 + m}"), ("TradingSymbol", f"T{g}"), ("SecurityExchangeName", "NYSE")):
+                rows.append(fact(len(rows), value, f"c{g}-{m}", numeric=False, unit=None, local=local))
+    facts = spark.createDataFrame(rows, FACT)
+    all_ = collapse.detect(facts, max_contexts=None, max_groups=None, max_members=None).collect()
+    assert sorted(r["n_members"] for r in all_) == [2, 2, 2, 5] and not any(r["members_truncated"] for r in all_)
+    limits = {"max_contexts": 9, "max_groups": 2, "max_members": 3}
+    some = collapse.detect(facts, **limits).collect()
+    assert sorted((r["n_members"], len(r["members"]), r["members_truncated"]) for r in some) == [(2, 2, False), (5, 3, True)]
+    told = sorted((r["issue_code"], r["n_total"], r["n_kept"]) for r in collapse.diagnostics(facts, **limits).collect())
+    assert told == [("detector_context_cap_exceeded", 11, 9), ("detector_group_cap_exceeded", 3, 2), ("detector_member_cap_exceeded", 5, 3)]
+    assert collapse.diagnostics(facts).count() == 0
+
+
 REGISTRY = "figi string, composite_figi string, share_class_figi string, cusip string, isin string, sedol string, other_identifiers array<struct<id_type:string,value:string>>, canonical_signature string, normalized_title string, ticker string, exchange string, row_id string"
 
 

@@ -32,5 +32,5 @@ def test_alias_components_over_all_rows(spark, tmp_path):
         parent[b] = a
     table = [(o, p, datetime(1992 + k % 7, 1 + k % 12, 1)) for k, (o, p) in enumerate(rows)] + [(None, 1, None), (1, None, None)]
     spark.createDataFrame(table, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = [tuple(r) for r in queries.QUERIES["alias_components_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries.QUERIES["alias_components"](spark, str(tmp_path)).collect()]
     assert len(got) == len(parent) and dict(got) == {n: root(n) for n in parent}
