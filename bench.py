@@ -15,6 +15,7 @@ HEADLINE = (
     "dup_fact_rounded_conflict", "fact_signature_ids", "text_duplicate_sets", "anchor_defect_codes", "numeric_rule_violations", "identity_collapse_groups",
     "registry_exact_lookup", "registry_precedence_lookup", "registry_tiered_lookup", "ledger_scope_cap", "basis_transition", "alias_components", "candidate_rank",
     "marker_extension_churn", "prior_snapshot_asof", "same_quarter_prior_year", "set_added_removed", "incremental_seeds", "verify_manifest", "strip_tags_normalize",
+    "detect_duplicate_facts", "detect_fact_rules", "detect_taxonomy", "detect_anchoring", "detect_collapse", "comparator_by_form", "detection_findings",
 )
 
 

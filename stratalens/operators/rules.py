@@ -39,7 +39,10 @@ def violations(facts: DataFrame, **columns: Column) -> DataFrame:
 
 def detect(facts: DataFrame) -> DataFrame:
     """accession, context_ref, concept, issue_code, signature, instance_id; facts without a context have no instance."""
-    rows = violations(facts, numeric=F.coalesce("is_numeric", F.lit(False)), measures=F.col("unit.measures"), concept_type=F.col("concept_type"), decimals=F.col("decimals"), precision=F.col("precision"))
+    found = codes(F.coalesce("is_numeric", F.lit(False)), F.col("unit.measures"), F.col("concept_type"), F.col("decimals"), F.col("precision"))
     unit = S.unit(F.col("unit.measures"), F.col("unit.denominators"), F.col("unit.id"))
-    sig = S.fact_rule(F.col("qname.clark"), F.col("context_ref"), unit, F.col("issue_code"))
-    return rows.where("context_ref is not null").select("accession", "context_ref", F.col("qname.clark").alias("concept"), "issue_code", sig.alias("signature"), S.sha(sig).alias("instance_id"))
+    # nested columns are read before the codes are taken apart
+    flat = facts.where("context_ref is not null").select("accession", "context_ref", F.col("qname.clark").alias("concept"), unit.alias("__unit"), found.alias("__codes"))
+    rows = flat.select("accession", "context_ref", "concept", "__unit", F.explode("__codes").alias("issue_code"))
+    sig = S.fact_rule(F.col("concept"), F.col("context_ref"), F.col("__unit"), F.col("issue_code"))
+    return rows.select("accession", "context_ref", "concept", "issue_code", sig.alias("signature"), S.sha(sig).alias("instance_id"))
