@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import shared, textnum
-from stratalens.llm.components import components
+from stratalens.operators.graph import components
 
 K, MIN_SHARED = 5, 3
 #: Frequent tokens that are told apart, the count from which one is frequent, and the tokens of a task's summary.

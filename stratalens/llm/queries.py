@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, group_matrix, hash_tree, line_crf, line_dedup, mixing, token_frames
 from stratalens.llm.shared import load
 
@@ -69,7 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_group_matrix_join": op8_group_matrix_join,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_exact_dedup": op10_exact_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 

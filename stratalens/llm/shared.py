@@ -4,49 +4,19 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.storage import fresh_dir, remove, shared_root, written  # noqa: F401  the operators take them from here
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.stratalens.shared", "")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.stratalens.shared", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str, partitions: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them again."""
-    spark = df.sparkSession
-    schema = df.schema
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder that no plan reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
