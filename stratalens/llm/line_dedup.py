@@ -188,14 +188,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # payload after the line's id: what a set gives is the same for all its lines
     first = F.min(F.struct(*ID, "sketch", "lows", "prefix")).alias("c")
     classes = shared.written(rows.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "c.*"), f"{root}/classes")
+    # from here on the lines' sets are those of their classes: what a later step doesn't read doesn't stay on disk
+    members = shared.written(rows.select(*ID, "f1", "f2", "n"), f"{root}/members")
+    shared.remove(spark, f"{root}/lines")
     early = verified(docs, shared.written(named(classes, leaders(classes)), f"{root}/leaders"), f"{root}/early").select("b.*", F.lit(True).alias("gone"))
     flagged = classes.drop("lows").join(early, ID, "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     pairs = shared.written(candidates(flagged), f"{root}/pairs")
-    late = verified(docs, shared.written(named(classes, pairs), f"{root}/named"), f"{root}/late").select("b.*", F.lit(True).alias("gone"))
+    names = shared.written(classes.select("f1", "f2", "n", *ID), f"{root}/names")
+    shared.remove(spark, f"{root}/classes")
+    late = verified(docs, shared.written(named(names, pairs), f"{root}/named"), f"{root}/late").select("b.*", F.lit(True).alias("gone"))
     # every line of a class that an earlier class matches goes; of the others all but the first go
     gone = early.union(late).distinct()
-    state = classes.select("f1", "f2", "n", *ID).join(gone, ID, "left").select("f1", "f2", "n", F.struct(*ID).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    marked = rows.select(*ID, "f1", "f2", "n").join(state, ["f1", "f2", "n"])
+    state = names.join(gone, ID, "left").select("f1", "f2", "n", F.struct(*ID).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = members.join(state, ["f1", "f2", "n"])
     return marked.where(F.col("gone") | (F.struct(*ID) > F.col("first"))).select(*ID).distinct()
 
 
