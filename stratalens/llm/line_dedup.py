@@ -15,8 +15,8 @@ text's hash, line number), has a Jaccard similarity of at least 0.8 with it. Lin
     large group of near copies that removes nearly all of them, and the join passes over pairs of which both are removed already, so a
     group isn't expanded into all its pairs.
 
-Words are split, hashed and put in order in numpy (the README gives the figures for doing so in DataFrame functions); counting,
-classes, joins and filters are DataFrame functions.
+Words are split, hashed and put in order in numpy, and candidates are verified in Python (the README says on which figures, and what they
+leave open); counting, classes, joins and filters are DataFrame functions.
 
 Defined results: null and empty texts have one line without words; rows with a null doc_id neither remove nor lose lines;
 repeated rows with one doc_id and text count as one document; different texts with one doc_id are documents of their own, in the
