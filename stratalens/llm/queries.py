@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, group_matrix, hash_tree, line_crf, line_dedup, mixing, token_frames
+from stratalens.llm import chat, decontaminate, edit_counts, exact_dedup, filter_audit, group_matrix, hash_tree, line_crf, line_dedup, merkle, mixing, piece_table, token_frames
 from stratalens.llm.shared import load
 
 
@@ -57,6 +57,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 7 divides are folded from a leaf with one more in n_chars."""
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    tampered = [one_more if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    out = merkle.manifest(load(spark, sf_dir, "documents"), variants={"tampered": tampered})
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = out.withColumn("folded_root", merkle.fold(F.when(chosen, F.col("tampered")).otherwise(F.col("leaf")), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_table.decode(piece_table.encode(load(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_line_crf_quality": op2_line_crf_quality,
@@ -68,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_group_matrix_join": op8_group_matrix_join,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 
@@ -95,10 +118,15 @@ def _crc_table() -> list[int]:
     return out
 
 
-def _op7_sql() -> str:
-    crc = f"""xor(list_reduce(
+def _crc_sql() -> str:
+    """CRC-32 of the bytes whose hex text is ``h``."""
+    return f"""xor(list_reduce(
         list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint),
         lambda acc, b: xor(acc >> 8, {_crc_table()}[(xor(acc, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"""
+
+
+def _op7_sql() -> str:
+    crc = _crc_sql()
     return f"""
     with rows as (
         select doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::bigint as size, {crc}::bigint as text_crc32,
@@ -175,4 +203,78 @@ select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint as n_l
 from documents d left join (select doc_id, count(*) as c, string_agg(line_no::varchar, ',' order by line_no) as l from removed group by doc_id) r using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_hash_tree_sharding": _op7_sql(), "op8_group_matrix_join": OP8_SQL, "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+#: Masks of failed filters, all orders as strings, and each step's counts from the masks.
+OP11_SQL = """
+with w as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as l from documents),
+firsts as (select t, min(doc_id) as first_id from w group by t),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+flags as (
+    select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+        (len(l) < 200)::int + 2 * (100 * len(list_distinct(l)) < 50 * len(l))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > first_id, false)::int as mask
+    from w join firsts using (t) left join marks on marks.doc_id = w.doc_id),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from flags group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+    select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps as (select filter_order, k::int as step, bits[k] as own, coalesce(list_sum(bits[1:k - 1]), 0)::int as earlier from orders, unnest([1, 2, 3, 4, 5]) as u(k)),
+sums as (
+    select part, filter_order, step, own,
+        sum(n * (mask & (earlier | own) = 0)::int)::bigint as kept,
+        sum(n * (mask & earlier = 0 and mask & own > 0)::int)::bigint as removed,
+        sum(n * (mask & earlier > 0 and mask & own > 0)::int)::bigint as redundant,
+        sum(n * (mask = own)::int)::bigint as unique_fails,
+        sum(good * (mask & earlier = 0 and mask & own > 0)::int)::bigint as good_lost,
+        sum(toxic * (mask & earlier = 0 and mask & own > 0)::int)::bigint as toxic_lost
+    from cells, steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+from sums
+"""
+
+#: Levels by recursion, per language and then over the languages; proofs and folds along each leaf's path.
+OP12_SQL = """
+with recursive leaves as (
+    select doc_id, lang, sha256(pre || chars || post) as leaf,
+        sha256(pre || case when crc %% 7 = 0 and n_chars is not null then octet_length(encode((n_chars + 1)::varchar)) || ':' || (n_chars + 1)::varchar else chars end || post) as altered
+    from (
+        select doc_id, lang, n_chars, %(crc)s as crc, %(doc_id)s || %(source)s || %(lang)s as pre, %(n_chars)s as chars, %(text)s as post
+        from (select *, hex(encode(coalesce(doc_id::varchar, ''))) as h from documents))),
+numbered as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, dense_rank() over (order by lang nulls first) - 1 as g from leaves),
+t as (
+    select g, 0 as lvl, pos, leaf as d, count(*) over (partition by g) as n from numbered
+    union all
+    select g, lvl + 1, pos // 2, sha256(string_agg(d, '' order by pos)), (any_value(n) + 1) // 2 from t where n > 1 group by g, lvl, pos // 2),
+subs as (select g, d from t where n = 1),
+u as (
+    select 0 as lvl, g as pos, d, (select count(*) from subs) as n from subs
+    union all
+    select lvl + 1, pos // 2, sha256(string_agg(d, '' order by pos)), (any_value(n) + 1) // 2 from u where n > 1 group by lvl, pos // 2),
+path as (
+    select p.g, p.pos as leaf_pos, t.lvl, p.pos >> t.lvl as place, t.n from numbered p join (select distinct g, lvl, n from t where n > 1) t on t.g = p.g
+    union all
+    select p.g, p.pos, 1000 + u.lvl, p.g >> u.lvl, u.n from numbered p, (select distinct lvl, n from u where n > 1) u),
+sib as (
+    select path.g, leaf_pos, path.lvl, place, coalesce(t.d, u.d, '') as s
+    from path left join t on path.lvl < 1000 and t.g = path.g and t.lvl = path.lvl and t.pos = xor(place, 1)
+    left join u on path.lvl >= 1000 and u.lvl = path.lvl - 1000 and u.pos = xor(place, 1)),
+proofs as (select g, leaf_pos, string_agg(s, '' order by lvl) as proof, list(struct_pack(s := s, odd := place %% 2 = 1) order by lvl) as steps from sib group by all),
+folds as (
+    select g, pos, altered as acc, 1 as k from numbered
+    union all
+    select f.g, f.pos, case when p.steps[k].odd then sha256(p.steps[k].s || acc) else sha256(acc || p.steps[k].s) end, k + 1
+    from folds f join proofs p on p.g = f.g and p.leaf_pos = f.pos where k <= len(p.steps)),
+folded as (select g, pos, arg_max(acc, k) as folded_root from folds group by all)
+select n.doc_id, n.leaf, subs.d as subroot, root.d as root, sha256(coalesce(p.proof, '')) as proof_sha256, folded_root, folded_root = root.d as verified
+from numbered n join subs using (g) join folded using (g, pos) left join proofs p on p.g = n.g and p.leaf_pos = n.pos, (select d from u where n = 1) root
+"""
+
+
+def _op12_sql() -> str:
+    shown = {c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar)) || ':' || {c}::varchar end" for c in merkle.FIELDS}
+    return OP12_SQL % (shown | {"crc": _crc_sql()})
+
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_hash_tree_sharding": _op7_sql(), "op8_group_matrix_join": OP8_SQL, "op9_chat_snapshots": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
