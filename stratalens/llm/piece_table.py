@@ -5,7 +5,7 @@ into the marker that follows it, merges never cross that border, and a marked wo
 them) has the same ids wherever it stands. Signs that occur in no piece of two signs or more (line breaks, for instance) part a text in the same way.
 
 1. Documents are taken in blocks of BLOCK characters. A block's distinct chunks are numbered; its documents become one array of these
-   numbers. The chunks go out packed by hash bucket, one row per block and bucket.
+   numbers, which is written in buckets of the block. The chunks go out packed by hash bucket, one row per block and bucket.
 2. Rows of a bucket meet in one task. It keeps the bucket's table of distinct chunks, segments each of them once with the library, and answers every row with ids.
    A chunk is asked for once a block at most, however frequent it is. The number of buckets grows with the input.
 3. Rows of a block meet again, and the ids are joined to the documents by position.
@@ -36,6 +36,8 @@ from stratalens.llm import shared
 MARK = "▁"
 #: Characters of texts in a block, bytes of input for each bucket, and the most buckets.
 BLOCK, BUCKET, MOST_BUCKETS = 16 << 20, 16 << 20, 1 << 17
+#: Bytes of input for each bucket of the written table, and the most of these; estimates from here on mean that nothing is known.
+SPLIT, MOST_FILES, UNKNOWN = 128 << 20, 100_000, 1 << 60
 #: A run of signs outside all longer pieces is cut at this length; it may be cut anywhere.
 RUN = 64
 
@@ -110,7 +112,8 @@ def splitter(path: str, buckets: int, keep: Sequence[str], block_size: int) -> C
         yield from rows(1, row=pa.array([-1], pa.int32()), places=pa.array([packed(np.concatenate(places))], pa.binary()), homes=pa.array([packed(homes)], pa.binary()))
         order = np.argsort(homes, kind="stable")
         cuts = np.flatnonzero(np.diff(homes[order].astype(np.int64), prepend=-1))
-        texts = [b"\0".join(_escaped(raw[i]) for i in order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        press = zstandard.ZstdCompressor(level=3).compress
+        texts = [press(b"\0".join(_escaped(raw[i]) for i in order[a:b])) for a, b in zip(cuts, [*cuts[1:], len(order)])]
         yield from rows(len(cuts), bucket=pa.array(homes[order[cuts]], pa.int32()), chunks=pa.array(texts, pa.binary()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def segmenter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for bucket, chunks in zip(batch.column("bucket").to_pylist(), batch.column("chunks").to_pylist()):
                 if bucket != now:
                     now, table = bucket, {}
-                asked = chunks.split(b"\0")
+                asked = zstandard.ZstdDecompressor().decompress(chunks).split(b"\0")
                 new = [c for c in asked if c not in table]
                 for c, found in zip(new, own.segment([_plain(c) for c in new])):
                     table[c] = np.array(found, np.uint32)
@@ -196,14 +199,15 @@ def joiner(keep: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return join
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """By the planner's estimate of the input's bytes, and at least the session's partitions."""
+def input_size(docs: DataFrame) -> int:
+    """The planner's estimate of the input's bytes; 0 where it has none."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BUCKETS, max(shared.partitions_of(docs.sparkSession), size // BUCKET))
+    return size if size < UNKNOWN else 0
 
 
-def encode(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", model_path: str | None = None, block_size: int = BLOCK) -> DataFrame:
-    """``keep`` columns and ids of every row's text."""
+def encode(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", model_path: str | None = None, block_size: int = BLOCK, buckets: int | None = None) -> DataFrame:
+    """``keep`` columns and ids of every row's text. ``buckets`` of chunks come from the input's estimated size, and from the session's partitions where
+    nothing is known of it (rows that don't come from files)."""
     spark = docs.sparkSession
     shared.bounded_batches(spark, rows=256, mb=4)
     path = model_path or default_model()
@@ -211,7 +215,10 @@ def encode(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inner)), F.col(text).alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__text")
     schema = f"block long, {fields}row int, n long, places binary, homes binary, bucket int, chunks binary"
-    parts = shared.written(rows.mapInArrow(splitter(path, bucket_count(rows), inner, block_size), schema), f"{shared.fresh_dir(spark, 'pieces')}/parts")
+    size, least = input_size(rows), shared.partitions_of(spark)
+    buckets = buckets or min(MOST_BUCKETS, max(least, size // BUCKET))
+    # in buckets of the block: the arrays of numbers, the largest part, stay where they are until the ids come to them
+    parts = shared.bucketed(rows.mapInArrow(splitter(path, buckets, inner, block_size), schema), f"{shared.fresh_dir(spark, 'pieces')}/parts", "block", min(MOST_FILES, max(least, size // SPLIT)))
     asked = parts.where("bucket is not null").select("block", "bucket", "chunks").repartition("bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(segmenter(path), ANSWER)
     homes = parts.where("row is not null").select("block", *inner, "row", "n", "places", "homes")

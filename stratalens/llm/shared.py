@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +33,13 @@ def ship(spark: SparkSession) -> None:
         context._stratalens_shipped = True
 
 
+def bucketed(df: DataFrame, path: str, column: str, buckets: int) -> DataFrame:
+    """Like ``written``, in buckets of a column, so that a later join or grouping by it reads the rows where they are. The session's catalog names the table."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """For plans with Python: workers find this package, and Arrow batches stay small in rows and bytes, so that a worker's memory doesn't grow with the texts."""
     ship(spark)
