@@ -37,7 +37,8 @@ def test_scan_with_registry(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(REGISTRY))
     registry = registry_files.load_snapshot(spark, f"file://{tmp_path}/r.json")
     assert bad.count() == 0 and registry.count() == 4
-    got = scan.scan(obs, registry).orderBy("rank").collect()
+    ranked = scan.scan(obs, registry)
+    got = ranked.orderBy("rank").collect()
     found = {r["source_scope_key"]: r for r in got}
     # the steady scope has a resolved registry row and nothing else to tell
     assert set(found) == {"ledger-a", "desk-1", "desk-2", "desk-3"}
@@ -49,11 +50,12 @@ def test_scan_with_registry(spark, tmp_path):
     assert [r["rank"] for r in got] == [1, 2, 3, 4] and [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
     again = scan.scan(obs.orderBy(F.rand(3)).repartition(7), registry).orderBy("rank").collect()
     assert [r["candidate_id"] for r in again] == [r["candidate_id"] for r in got]
-    top = scan.scan(obs, registry).where("source_scope_key = 'ledger-a'")
+    top = ranked.where("source_scope_key = 'ledger-a'")
     assert [r[:] for r in scan.seed_rows(top).select("id_type", "value").collect()] == [("cusip", "37833X10Q"), ("figi", "BBG00KESTREL")]
     sources = spark.createDataFrame([("ledger-a", f"ledger-a-{JAN}", JAN, "a.json")], "scope_key string, source_id string, filed_date string, local_path string")
     assert [s["local_path"] for s in scan.pack_inputs(top, sources).first()["sources"]] == ["a.json"]
-    assert scan.scan(obs, registry, limit=-1).count() == 0 and scan.scan(obs, registry, limit=2).count() == 2
+    tables = ledger.drift_tables(obs, registry)
+    assert scan.ranked_candidates(tables, limit=-1).count() == 0 and scan.ranked_candidates(tables, limit=2).count() == 2
 
 
 def test_scan_without_registry(spark, tmp_path):
