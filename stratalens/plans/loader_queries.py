@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens import storage
+from stratalens.functions import json_schema
 from stratalens.plans.catalog import Tables, query
 from stratalens.sources import observations
 
@@ -59,3 +60,44 @@ group by all
 def observation_diagnostics(spark, root):
     _, bad = loaded(spark, root)
     return bad.groupBy("code", "field", "value").agg(F.count("*").alias("n"))
+
+
+#: A document per order; pending ones, low priorities, high totals, early dates and some lines break it.
+ORDER_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["key", "status", "priority", "lines", "comment"],
+    "properties": {
+        "key": {"type": "integer", "minimum": 0}, "status": {"enum": ["F", "O"]}, "priority": {"type": "string", "pattern": "^[1-3]-"}, "total": {"type": "number", "maximum": 200000},
+        "date": {"type": "string", "format": "date"}, "comment": {"type": "string"},
+        "lines": {"type": "array", "minItems": 2, "items": {"type": "object", "required": ["flag"], "properties": {"flag": {"const": "N"}, "tax": {"$ref": "#/$defs/tax"}}}},
+    },
+    "$defs": {"tax": {"type": "number", "maximum": 0.07}},
+}
+
+
+@query("""
+with items as (
+    select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as i from lineitem),
+sized as (select l_orderkey, count(*) as n from items group by l_orderkey),
+found as (
+    select o_orderkey, '$.comment' as path, 'required' as keyword from orders
+    union all select o_orderkey, '$.clerk', 'additionalProperties' from orders where o_orderpriority like '5%'
+    union all select o_orderkey, '$.status', 'enum' from orders where o_orderstatus not in ('F', 'O')
+    union all select o_orderkey, '$.priority', 'pattern' from orders where not regexp_matches(o_orderpriority, '^[1-3]-')
+    union all select o_orderkey, '$.total', 'maximum' from orders where o_totalprice > 200000
+    union all select o_orderkey, '$.date', 'format' from orders where o_orderdate < timestamp '1995-01-01'
+    union all select o_orderkey, '$.lines', 'minItems' from orders left join sized on l_orderkey = o_orderkey where coalesce(n, 0) < 2
+    union all select l_orderkey, '$.lines[' || i::varchar || '].flag', 'const' from items where l_returnflag <> 'N'
+    union all select l_orderkey, '$.lines[' || i::varchar || '].tax', 'maximum' from items where l_tax > 0.07)
+select found.o_orderkey, path, keyword from found join orders using (o_orderkey)
+""")
+def schema_violations(spark, root):
+    t = Tables(spark, root)
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_returnflag").alias("flag"), F.col("l_tax").alias("tax"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))  # an order's lines
+    rows = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    day = F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"), F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    text = F.to_json(F.struct(
+        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"), day.alias("date"),
+        F.when(F.col("o_orderpriority").startswith("5"), F.lit("x")).alias("clerk"), F.transform(F.coalesce("l", F.array()), lambda x: F.struct(x["flag"].alias("flag"), x["tax"].alias("tax"))).alias("lines"),
+    ))
+    return rows.select("o_orderkey", F.explode(json_schema.violations(text, ORDER_SCHEMA)).alias("v")).select("o_orderkey", "v.path", "v.keyword")
