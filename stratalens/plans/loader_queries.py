@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stratalens import storage
 from stratalens.functions import json_schema
+from stratalens.operators import incremental
 from stratalens.plans.catalog import Tables, query
-from stratalens.sources import observations
+from stratalens.sources import observations, registry_files
 
 
 def loaded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -101,3 +102,25 @@ def schema_violations(spark, root):
         F.when(F.col("o_orderpriority").startswith("5"), F.lit("x")).alias("clerk"), F.transform(F.coalesce("l", F.array()), lambda x: F.struct(x["flag"].alias("flag"), x["tax"].alias("tax"))).alias("lines"),
     ))
     return rows.select("o_orderkey", F.explode(json_schema.violations(text, ORDER_SCHEMA)).alias("v")).select("o_orderkey", "v.path", "v.keyword")
+
+
+@query("""
+with facts as (
+    select o_custkey, y, list_sort(list_distinct(list(p))) as v from (
+        select o_custkey, left(o_orderpriority, 1) || o_orderstatus as p, o_orderdate >= timestamp '1996-01-01' as y from orders) group by all),
+early as (select o_custkey, v from facts where not y),
+late as (select o_custkey, v from facts where y),
+changed as (
+    select coalesce(e.o_custkey, l.o_custkey) as k, case when e.v is null then 'added' when l.v is null then 'removed' else 'changed' end as change, l.v as v
+    from early e full join late l on e.o_custkey = l.o_custkey where e.v is distinct from l.v)
+select k::varchar as input, change, coalesce(len(v), 0)::bigint as n_rows from changed
+""")
+def registry_increment(spark, root):
+    """Facts of the orders before 1996, then of those since: the inputs that the second version builds anew, with their rows in it."""
+    value = F.concat(F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"))
+    rows = Tables(spark, root).orders.select(F.col("o_custkey").cast("string").alias("input"), value.alias("v"), (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")).alias("late"))
+    facts = lambda late: rows.where(F.col("late") == late).groupBy("input").agg(F.array_sort(F.collect_set("v")).alias("values")).select("input", F.lit("figi").alias("target"), "values")  # noqa: E731  of a few kinds
+    build = lambda f: registry_files.snapshot_from_mappings(f, None, "cusip")
+    second, diff = incremental.advance(incremental.full(facts(False), build), facts(True), build)
+    counts = second.view.groupBy("input").agg(F.count("*").alias("n"))
+    return diff.join(counts, "input", "left").select("input", "change", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))
