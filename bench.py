@@ -16,6 +16,7 @@ HEADLINE = (
     "registry_exact_lookup", "registry_precedence_lookup", "registry_tiered_lookup", "ledger_scope_cap", "basis_transition", "alias_components", "candidate_rank",
     "marker_extension_churn", "prior_snapshot_asof", "same_quarter_prior_year", "set_added_removed", "incremental_seeds", "verify_manifest", "strip_tags_normalize",
     "detect_duplicate_facts", "detect_fact_rules", "detect_taxonomy", "detect_anchoring", "detect_collapse", "comparator_by_form", "detection_findings",
+    "observation_rows", "identity_drift_events", "identity_scan", "snapshot_marker_m002", "schema_violations", "registry_increment", "pack_assembly",
 )
 
 

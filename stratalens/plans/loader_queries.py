@@ -9,7 +9,7 @@ from stratalens import storage
 from stratalens.functions import json_schema
 from stratalens.operators import incremental
 from stratalens.plans.catalog import Tables, query
-from stratalens.sources import observations, registry_files
+from stratalens.sources import observations, packs, registry_files
 
 
 def loaded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -124,3 +124,26 @@ def registry_increment(spark, root):
     second, diff = incremental.advance(incremental.full(facts(False), build), facts(True), build)
     counts = second.view.groupBy("input").agg(F.count("*").alias("n"))
     return diff.join(counts, "input", "left").select("input", "change", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))
+
+
+@query("""
+with files as (
+    select c_nationkey as n, 'artifacts/' || lower(c_mktsegment) || '.txt' as path, string_agg(c_custkey::varchar || ' ' || c_name, chr(10) order by c_custkey) as content from customer group by all
+    union all select c_nationkey, 'findings.json', '{"count":' || count(*)::varchar || '}' from customer group by all
+    union all select distinct c_nationkey, 'toolchain/toolchain.json', '{}' from customer),
+hashed as (select n, path, sha256(content) as sha, octet_length(encode(content)) as bytes from files)
+select 'nation-' || n::varchar as pack_id, sha256(string_agg(path || chr(9) || sha || chr(10), '' order by path)) as pack_sha256, count(*) as n_files, sum(bytes)::bigint as n_bytes from hashed group by n
+""")
+def pack_assembly(spark, root):
+    """A pack for each nation with a list of its customers by segment, through the sink; rows come from the committed entries."""
+    c = Tables(spark, root).customer.select("c_nationkey", F.lower("c_mktsegment").alias("segment"), F.struct("c_custkey", F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_name").alias("line")).alias("x"))
+    pages = c.groupBy("c_nationkey", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("content"))  # a page's lines
+    pages = pages.select("c_nationkey", F.concat(F.lit("artifacts/"), "segment", F.lit(".txt")).alias("path"), "content")
+    counts = c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    found = counts.select("c_nationkey", F.lit("findings.json"), F.concat(F.lit('{"count":'), F.col("n").cast("string"), F.lit("}")))
+    tools = counts.select("c_nationkey", F.lit("toolchain/toolchain.json"), F.lit("{}"))
+    files = pages.union(found).union(tools).select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("pack_id"), "path", "content")
+    where = storage.fresh_dir(spark, "packs")
+    done = packs.assemble(files, where)
+    sizes = packs.entries(spark, where).where(F.col("path") != packs.Layout().manifest).groupBy("pack_id").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"))
+    return done.select("pack_id", "pack_sha256").join(sizes, "pack_id")
