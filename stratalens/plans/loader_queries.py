@@ -9,7 +9,7 @@ from stratalens import storage
 from stratalens.functions import json_schema
 from stratalens.operators import incremental
 from stratalens.plans.catalog import Tables, query
-from stratalens.sources import observations, packs, registry_files
+from stratalens.sources import closure, observations, packs, registry_files
 
 
 def loaded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -147,3 +147,23 @@ def pack_assembly(spark, root):
     done = packs.assemble(files, where)
     sizes = packs.entries(spark, where).where(F.col("path") != packs.Layout().manifest).groupBy("pack_id").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"))
     return done.select("pack_id", "pack_sha256").join(sizes, "pack_id")
+
+
+@query("""
+with recursive d as (select c_custkey as k, 'n' || c_nationkey::varchar || '/c' || c_custkey::varchar || '.xsd' as path, c_nationkey as n from customer),
+links as (select a.k, a.path, b.path as into_path, b.k as into_k from d a join d b on b.k = a.k // 2 where a.k <> b.k),
+r as (
+    select path as root, path, k, 0 as depth from d
+    union all select root, into_path, into_k, depth + 1 from r join links using (path, k))
+select root, r.path, depth, case depth when 0 then 'primary' else 'artifact' end as role from r
+""")
+def artifact_closure(spark, root):
+    """A schema file per customer, in its nation's folder, that includes the one of half its number; the closures of all files."""
+    c = Tables(spark, root).customer.select("c_custkey", "c_nationkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".xsd")).alias("path"))
+    half = c.select(F.col("c_custkey").alias("half"), F.col("path").alias("to"))
+    rows = c.withColumn("half", F.expr("c_custkey div 2")).join(half, "half", "left")
+    content = F.when(F.col("to").isNotNull(), F.concat(F.lit('<xs:include schemaLocation="./../'), "to", F.lit('#part"/><xs:import schemaLocation="http://standard/x.xsd"/>'))).otherwise("")
+    docs = rows.select("path", content.alias("content"))
+    files = docs.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("bytes"))
+    artifacts, _ = closure.collect(docs, files, c.select("path"))
+    return artifacts.select("root", "path", "depth", "role")
