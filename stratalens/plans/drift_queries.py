@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratalens.operators import ledger
 from stratalens.plans import scan
 from stratalens.plans.catalog import Tables, query
+from stratalens.streaming import timeline
 
 
 def order_observations(spark: SparkSession, root: str) -> DataFrame:
@@ -102,3 +103,15 @@ select *, row_number() over (order by score desc, n_periods desc, newest desc, i
 def identity_scan(spark, root):
     d = ledger.drift_tables(order_observations(spark, root))
     return scan.ranked_candidates(d).select("event_id", F.array_join("issue_codes", ",").alias("issue_codes"), "source_scope_key", "n_periods", "newest", "score", "candidate_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""
+with o as (
+    select o_custkey, 'c' || o_custkey::varchar as scope_key, strftime(o_orderdate, '%Y-%m-%d') as report_period, 'o' || o_orderkey::varchar as source_id, o_orderkey, sha256(o_orderkey::varchar) as observation_id, o_orderpriority as basis from orders),
+l as (select *, lag(basis) over (partition by scope_key order by report_period, source_id, o_orderkey, observation_id) as before from o)
+select scope_key, report_period, observation_id, before, basis as after from l where before <> basis
+""")
+def timeline_transitions(spark, root):
+    """The result in which the stream of ``streaming.timeline`` ends."""
+    rows = order_observations(spark, root).join(Tables(spark, root).orders.select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("basis")), "ordinal")
+    return timeline.transitions(rows)
