@@ -129,6 +129,7 @@ def test_events_and_candidates(spark):
     assert {c for e in events for c in e["codes"]} == {"identifier_basis_transition", "weak_key_temporal_collision", "strong_identifier_removed", "weak_continuity_only"}
     got = scan.ranked_candidates(d).orderBy("rank").select("score", "candidate_id", "event_id").collect()
     assert [tuple(r) for r in got] == [(-c[0], c[4], c[5]) for c in ranked]
+    assert [r["rank"] for r in scan.ranked_candidates(d, limit=2).orderBy("rank").collect()] == [1, 2]
     sizes = {r["event_id"]: r["n_refs"] for r in d.events.collect()}
     assert sizes == {e["id"]: len(e["refs"]) for e in events} and d.diagnostics.count() == 0
     per_event = {r["event_id"]: r["c"] for r in d.refs.groupBy("event_id").agg(F.count("*").alias("c")).collect()}
