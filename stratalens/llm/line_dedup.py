@@ -3,44 +3,43 @@
 A line is the set of its words (between white space, A-Z lower-cased). A line is removed when an earlier line, by (doc_id, the
 text's hash, line number), has a Jaccard similarity of at least 0.8 with it. Lines without words stay.
 
-1.  Words are counted over all lines by summaries of bounded size. A line's words are ordered by rarity: words that aren't frequent
-    by hash, then the frequent ones (at most HOT_WORDS) by their counts. Any order gives the same result.
+1.  Words are counted over all texts in SLOTS slots of their hash. A line's words are ordered by the level of their slot's count, from rare
+    to frequent, then by hash. Any order that depends on the word alone gives the same result.
 2.  Lines with the same set become one class, named by its first line; so repeated lines, however common, are one row in the join.
 3.  Prefix filter: similar sets share a word among the first n - ceil(0.8 n) + 1. The shorter side needs only its
     first n - ceil(8 n / 9) + 1 words. Length filter: 0.8 n <= m. Positional filter: with a shared word at
     positions i and j, min(n - i, m - j) must reach the overlap that 0.8 asks for. A sketch of 64 parity bits bounds the
     sets' difference from below.
 4.  Candidates are verified on the words of the lines themselves.
-5.  Before the join, each class is compared with the first class that has the same minimum hash, for FAMILIES hashes. In a
+5.  Before the join, each class is compared with the first class that has the same smallest hash of a word, and the same largest. In a
     large group of near copies that removes nearly all of them, and the join passes over pairs of which both are removed already, so a
     group isn't expanded into all its pairs.
 
-Words are split, hashed and put in order in numpy, and candidates are verified in Python (the README says on which figures, and what they
-leave open); counting, classes, joins and filters are DataFrame functions.
+All steps are DataFrame functions. Two tables of fixed size ride in the plan as literals: the levels of the SLOTS slots, and the bits of
+LINE_BITS slots of lines that verification asks for.
 
 Defined results: null and empty texts have one line without words; rows with a null doc_id neither remove nor lose lines;
 repeated rows with one doc_id and text count as one document; different texts with one doc_id are documents of their own, in the
-order of their hash; an empty table gives no rows; further columns are ignored. Memory: a chunk of texts.
+order of their hash; an empty table gives no rows; further columns are ignored. Memory: a text and its lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm import shared, textnum
+from stratalens.llm import shared
 
-#: Words that are told apart by their counts, the count from which a word is one of them, and the words of a task's summary.
-HOT_WORDS, HOT_COUNT, SUMMARY = 1 << 18, 24, 1 << 17
-FAMILIES = 2
-#: Bits of the filter on the lines that are fetched for verification: a fixed size, seven a byte.
-LINE_BITS = 7 << 18
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
-ROW = "doc_id long, h long, line_no int, n int, f1 long, f2 long, sketch long, lows array<long>, prefix array<int>"
+#: Slots of the words' counts, and the factor between the levels 0 to 9 of a slot's count.
+SLOT_BITS, STEP = 19, 4
+SLOTS = 1 << SLOT_BITS
+#: Bits of the filter on the lines that are fetched for verification: a fixed size, six a sign.
+LINE_BITS = 6 << 18
+#: Signs that lower() leaves alone outside A-Z, so that it does what lower-casing A-Z does: ASCII, Latin-1 from sharp s on, punctuation, CJK.
+UNCASED = r"[^\x00-\x7F\u00A0-\u00B4\u00B6-\u00BF\u00DF-\u00FF\u2010-\u2027\u3000-\u9FFF]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ID = ["doc_id", "h", "line_no"]
 
 
@@ -49,57 +48,49 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the text of each, and its line in it."""
-    hashes, starts, _, bounds = textnum.words(data, offsets)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    breaks = np.flatnonzero(data == 10)
-    return hashes, text, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[text]
-
-
-def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    summary = textnum.Summary(SUMMARY)
-    for batch in batches:
-        for _, _, data, offsets in textnum.chunks(batch.column("text")):
-            summary.add(textnum.words(data, offsets)[0])
-    yield from summary.batches()
-
-
-def splitter(hot: np.ndarray, ranks: np.ndarray):
-    """One row for each line with words."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in textnum.chunks(batch.column("text")):
-                hashes, text, line = line_words(data, offsets)
-                if not len(hashes):
-                    continue
-                where = np.minimum(np.searchsorted(hot, hashes), max(len(hot) - 1, 0))
-                common = hot[where] == hashes if len(hot) else np.zeros(len(hashes), bool)
-                place = hashes >> np.uint64(1)
-                place[common] = np.uint64(1 << 63) + ranks[where[common]].astype(np.uint64)
-                new = np.concatenate(([True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])))
-                own = np.cumsum(new) - 1
-                order = np.lexsort((hashes, place, own))
-                hashes, own = hashes[order], own[order]
-                one = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])))
-                hashes, own = hashes[one], own[one]
-                at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                n = np.diff(np.append(at, len(hashes)))
-                mixed = textnum.mix(hashes)
-                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at)
-                lows = np.stack([textnum.mix(np.minimum.reduceat(textnum.mix(hashes ^ s), at) + np.uint64(k)) for k, s in enumerate(_SEEDS[:FAMILIES])], axis=1)
-                length = n - (80 * n + 99) // 100 + 1
-                first = np.arange(len(hashes)) - np.repeat(at, n) < np.repeat(length, n)
-                texts, numbers = text[new], line[new]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a).take(pa.array(texts)), batch.column("h").slice(a, b - a).take(pa.array(texts)), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()),
-                    pa.array(np.add.reduceat(mixed, at).view(np.int64)), pa.array(np.bitwise_xor.reduceat(textnum.mix(mixed * _SEEDS[1] + np.uint64(1)), at).view(np.int64)), pa.array(sketch.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * FAMILIES, pa.int32()), pa.array(lows.ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array((hashes[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                ], ["doc_id", "h", "line_no", "n", "f1", "f2", "sketch", "lows", "prefix"])
-
-    return lines
+def words(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, with empty ones where white space is doubled."""
+    lowered = F.when(text.rlike(UNCASED), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.split(F.regexp_replace(lowered, r"[\t\n\x0B\f\r]", " "), " ")
+
+
+def word_set(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(words(line)), "")
+
+
+def signs(values: DataFrame, size: int) -> str:
+    """One ASCII sign for each slot below ``size``: that of ``values`` (slot, sign), else 0."""
+    every = values.sparkSession.range(size).withColumnRenamed("id", "slot").join(values, "slot", "left").select("slot", F.coalesce("sign", F.lit("0")).alias("sign"))
+    pieces = every.groupBy(F.expr("slot div 4096").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("slot", "sign"))).alias("s"))
+    return "".join(r["s"] for r in pieces.select("piece", F.array_join(F.col("s.sign"), "").alias("s")).orderBy("piece").collect())  # size / 4096 rows
+
+
+def levels(texts: DataFrame) -> str:
+    """A digit for each slot of word hashes: how often its words occur, on a scale of powers of STEP from a hundredth of the mean on."""
+    slot = F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int")
+    counts = texts.select(F.explode(words(F.col("text"))).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # SLOTS rows
+    unit = F.greatest(F.lit(16.0), total / (100.0 * SLOTS))
+    level = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.log(F.col("n") / unit) / math.log(STEP)) + 1))
+    return signs(counts.select(F.col("slot").cast("long").alias("slot"), level.cast("int").cast("string").alias("sign")), SLOTS)
+
+
+def split_lines(docs: DataFrame, table: str) -> DataFrame:
+    """One row for each line with words: its size, fingerprints, sketch, extreme hashes and prefix."""
+    level = F.split(F.lit(table), "").cast("array<tinyint>")  # a literal once the plan is optimized
+
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")).cast("long"), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+
+    each = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select(*ID, F.transform(word_set(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
+    each = each.select(*ID, "hashes", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    return each.select(
+        *ID, "n", F.xxhash64("keys").alias("f1"), F.xxhash64(F.lit(1), "keys").alias("f2"),
+        F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).alias("sketch"),
+        F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"),
+        F.slice("keys", 1, F.expr("n - (80 * n + 99) div 100 + 1").cast("int")).alias("prefix"),
+    ).withColumn("prefix", F.transform("prefix", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")))
 
 
 def least(n: str, m: str) -> str:
@@ -144,25 +135,12 @@ def named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def line_filter(ids: DataFrame) -> Column:
-    """Whether a line's slot holds a wanted one. Seven bits a byte, so that each byte is a sign."""
+    """Whether a line's slot holds a wanted one. Six bits a sign."""
     slot = F.pmod(F.xxhash64(*ID), F.lit(LINE_BITS)).cast("int")
-    packed = ids.select(slot.alias("s")).distinct().groupBy(F.expr("s div 7").alias("q")).agg(F.bit_or(F.expr("shiftleft(1, s % 7)")).alias("bits")).toArrow()  # at most LINE_BITS / 7 rows
-    table = np.zeros(LINE_BITS // 7, np.uint8)
-    table[packed.column("q").to_numpy()] = packed.column("bits").to_numpy()
-    byte = F.ascii(F.substring(F.lit(table.tobytes()), (F.floor(slot / 7) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.call_function("shiftright", byte, slot % 7).bitwiseAND(F.lit(1)) == 1
-
-
-def word_sets(column: pa.Array) -> list[set[bytes]]:
-    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
-    table = bytes.maketrans(upper + b"\t\n\x0b\f\r", lower + b" " * 5)
-    return [{w for w in line.encode().translate(table).split(b" ") if w} for line in column.to_pylist()]
-
-
-def verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [100 * len(s & t) >= 80 * len(s | t) for s, t in zip(word_sets(batch.column("line_a")), word_sets(batch.column("line_b")))]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["b"])
+    packed = ids.select(slot.alias("s")).distinct().groupBy(F.expr("s div 6").cast("long").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1, s % 6)")).alias("bits"))
+    table = signs(packed.select("slot", F.chr(F.lit(48) + F.col("bits")).alias("sign")), LINE_BITS // 6)
+    sign = F.ascii(F.substring(F.lit(table.encode()), (F.floor(slot / 6) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.call_function("shiftright", sign - 48, slot % 6).bitwiseAND(F.lit(1)) == 1
 
 
 def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
@@ -172,19 +150,20 @@ def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     lines = each.where(line_filter(ids)).join(ids, ID).dropDuplicates(ID)
     lines = shared.written(lines.select(F.struct(*ID).alias("id"), "line"), f"{path}-lines")
     side = lambda s: lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("b", "line_a", "line_b")
-    return shared.written(both.mapInArrow(verifier, "b struct<doc_id:long,h:long,line_no:int>").distinct(), path)
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("b", word_set(F.col("line_a")).alias("s"), word_set(F.col("line_b")).alias("t"))
+    both = both.select("b", (F.size("s") + F.size("t")).alias("total"), F.size(F.array_intersect("s", "t")).alias("common"))
+    out = shared.written(both.where("100 * common >= 80 * (total - common)").select("b").distinct(), path)
+    shared.remove(docs.sparkSession, f"{path}-ids", f"{path}-lines")
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, h, line_no of all lines that an earlier one matches."""
     spark = docs.sparkSession
-    shared.bounded_batches(spark, rows=1000, mb=8)
     root = shared.fresh_dir(spark, "line-dedup")
     docs = identified(docs)
     real = docs.where("doc_id is not null and text is not null")
-    hot, ranks = shared.most_frequent(real.select("text").mapInArrow(counter, "token long, n long"), HOT_WORDS, HOT_COUNT)
-    rows = shared.written(real.mapInArrow(splitter(hot, ranks), ROW), f"{root}/lines")
+    rows = shared.written(split_lines(real, levels(real)), f"{root}/lines")
     # payload after the line's id: what a set gives is the same for all its lines
     first = F.min(F.struct(*ID, "sketch", "lows", "prefix")).alias("c")
     classes = shared.written(rows.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "c.*"), f"{root}/classes")
