@@ -37,8 +37,8 @@ SLOT_BITS, STEP = 19, 4
 SLOTS = 1 << SLOT_BITS
 #: Bits of the filter on the lines that are fetched for verification: a fixed size, six a sign.
 LINE_BITS = 6 << 18
-#: Signs that lower() leaves alone outside A-Z, so that it does what lower-casing A-Z does: ASCII, Latin-1 from sharp s on, punctuation, CJK.
-UNCASED = r"[^\x00-\x7F\u00A0-\u00B4\u00B6-\u00BF\u00DF-\u00FF\u2010-\u2027\u3000-\u9FFF]"
+#: Letters and signs outside A-Z that have a lower case: lower() would change them, and only A-Z counts.
+CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ID = ["doc_id", "h", "line_no"]
 
@@ -50,8 +50,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased, with empty ones where white space is doubled."""
-    lowered = F.when(text.rlike(UNCASED), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.split(F.regexp_replace(lowered, r"[\t\n\x0B\f\r]", " "), " ")
+    parts = lambda t: F.split(F.regexp_replace(t, r"[\t\n\x0B\f\r]", " "), " ")
+    one = lambda w: F.when(w.rlike(CASED), F.translate(w, UPPER, LOWER)).otherwise(F.lower(w))
+    return F.when(text.rlike(CASED), F.transform(parts(text), one)).otherwise(parts(F.lower(text)))
 
 
 def word_set(line: Column) -> Column:
@@ -68,7 +69,7 @@ def signs(values: DataFrame, size: int) -> str:
 def levels(texts: DataFrame) -> str:
     """A digit for each slot of word hashes: how often its words occur, on a scale of powers of STEP from a hundredth of the mean on."""
     slot = F.shiftrightunsigned(F.xxhash64("word"), 64 - SLOT_BITS).cast("int")
-    counts = texts.select(F.explode(words(F.col("text"))).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    counts = texts.select(F.explode_outer(words(F.col("text"))).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # SLOTS rows
     unit = F.greatest(F.lit(16.0), total / (100.0 * SLOTS))
     level = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.log(F.col("n") / unit) / math.log(STEP)) + 1))
@@ -76,14 +77,15 @@ def levels(texts: DataFrame) -> str:
 
 
 def split_lines(docs: DataFrame, table: str) -> DataFrame:
-    """One row for each line with words: its size, fingerprints, sketch, extreme hashes and prefix."""
+    """One row for each line: its size (0 without words), fingerprints, sketch, extreme hashes and prefix. No condition on the words stands here or
+    in ``levels``, as the optimizer would move it below and split each text twice; so the generators are outer ones."""
     level = F.split(F.lit(table), "").cast("array<tinyint>")  # a literal once the plan is optimized
 
     def key(h: Column) -> Column:
         return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")).cast("long"), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
-    each = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select(*ID, F.transform(word_set(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
+    each = docs.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select(*ID, F.transform(word_set(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
     each = each.select(*ID, "hashes", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     return each.select(
         *ID, "n", F.xxhash64("keys").alias("f1"), F.xxhash64(F.lit(1), "keys").alias("f2"),
@@ -163,7 +165,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     root = shared.fresh_dir(spark, "line-dedup")
     docs = identified(docs)
     real = docs.where("doc_id is not null and text is not null")
-    rows = shared.written(split_lines(real, levels(real)), f"{root}/lines")
+    rows = shared.written(split_lines(real, levels(real)), f"{root}/lines").where("n > 0")
     # payload after the line's id: what a set gives is the same for all its lines
     first = F.min(F.struct(*ID, "sketch", "lows", "prefix")).alias("c")
     classes = shared.written(rows.groupBy("f1", "f2", "n").agg(first).select("f1", "f2", "n", "c.*"), f"{root}/classes")
