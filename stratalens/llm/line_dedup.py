@@ -154,9 +154,10 @@ def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     side = lambda s: lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("b", word_set(F.col("line_a")).alias("s"), word_set(F.col("line_b")).alias("t"))
     both = both.select("b", (F.size("s") + F.size("t")).alias("total"), F.size(F.array_intersect("s", "t")).alias("common"))
-    out = shared.written(both.where("100 * common >= 80 * (total - common)").select("b").distinct(), path)
+    # written before the condition, which the optimizer would move into the join and split both lines several times for
+    scores = shared.written(both, f"{path}-scores")
     shared.remove(docs.sparkSession, f"{path}-ids", f"{path}-lines")
-    return out
+    return scores.where("100 * common >= 80 * (total - common)").select("b").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
