@@ -22,6 +22,7 @@ from stratalens.functions import text as T
 MAP = "map<string,string>"
 #: Up to so many blocks their counts are sent to all tasks; beyond, Spark chooses the join.
 MOST_BLOCKS = 200_000
+EMPTY = "input is empty"
 DIAGNOSTIC = "code string, message string, path string, row_number bigint, field string, value string"
 
 
@@ -118,7 +119,7 @@ def read_rows(spark: SparkSession, path: str | list[str], code: str = "P009-OBS-
     full = blocks.where("kind is not null").select(decoded_path(F.col("file")).alias("path")).distinct()
     names = spark.createDataFrame([(f,) for f in lines.inputFiles()], "file string").select(decoded_path(F.col("file")).alias("path"))
     void = names.distinct().join(full, "path", "left_anti")
-    out = void.select(F.lit(code), F.lit("input is empty"), "path", F.lit(None).cast("bigint"), F.lit(""), F.lit(""))
+    out = void.select(F.lit(code), F.lit(EMPTY), "path", F.lit(None).cast("bigint"), F.lit(""), F.lit(""))
     for t in told:
         out = out.union(t.select(F.lit(code), F.lit("row cannot be read"), "path", "row_number", F.lit(""), "value"))
     return rows, out.toDF(*(f.split(" ")[0] for f in DIAGNOSTIC.split(", ")))

@@ -3,7 +3,9 @@
 import random
 from datetime import datetime
 
-from stratalens.plans import queries
+from pyspark.sql import functions as F
+
+from stratalens.plans import loader_queries, queries
 
 
 def test_sgml_udtf_keeps_every_turn(spark, tmp_path):
@@ -34,3 +36,24 @@ def test_alias_components_over_all_rows(spark, tmp_path):
     spark.createDataFrame(table, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [tuple(r) for r in queries.QUERIES["alias_components"](spark, str(tmp_path)).collect()]
     assert len(got) == len(parent) and dict(got) == {n: root(n) for n in parent}
+
+
+def test_rounded_conflicts_at_the_edge_of_two_intervals(spark, tmp_path):
+    """18.33 and 18.43 to one decimal would touch as decimals; as SQL casts the doubles, they don't."""
+    day = datetime(2024, 1, 10, 1)
+    rows = [(1, day, 137, "view", 18.33, '{"k": 98}'), (2, day, 137, "view", 18.43, '{"k": 32}'), (3, day, 138, "view", 18.33, '{"k": 98}'), (4, day, 138, "view", 18.40, '{"k": 32}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["user_id"], r["n_facts"]) for r in queries.QUERIES["dup_fact_rounded_conflict"](spark, str(tmp_path)).collect()]
+    import duckdb
+
+    sql = duckdb.execute(f"with events as (from '{tmp_path}/events.parquet/*.parquet') select user_id, n_facts from ({queries.ORACLE['dup_fact_rounded_conflict']})").fetchall()
+    assert got == sql == [(137, 2)]
+
+
+def test_empty_first_part_is_no_diagnostic(spark, tmp_path):
+    """Spark writes a first part file without rows where the first split of the orders has none."""
+    row = (1, 2, "F", 10.5, datetime(1995, 1, 2), "5-LOW")
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame([row], schema).where(F.col("o_orderkey") > 1).write.parquet(f"{tmp_path}/none/orders.parquet")
+    rows, bad = loader_queries.loaded(spark, f"{tmp_path}/none")
+    assert rows.count() == 0 and bad.count() == 0
