@@ -20,6 +20,8 @@ from stratalens.operators import markers as T
 
 SCHEMA, EXTENSION, ANCHORED, DIMENSION, DUPLICATE = KINDS = ("schema", "extension", "anchored", "dimension", "duplicate")
 SERIES = ["cik", "kind"]
+#: The sets that a marker reads; the last one's changes are what it tells.
+NEEDS = {"M001": (SCHEMA,), "M002": (EXTENSION,), "M003": (EXTENSION, ANCHORED), "M004": (DIMENSION,), "M005": (DUPLICATE,)}
 
 
 @dataclass(frozen=True)
@@ -44,18 +46,19 @@ def runs_of(placed: DataFrame) -> DataFrame:
     return island.groupBy(*SERIES, "member", "__i").agg(F.min("pos").alias("valid_from"), F.max("pos").alias("valid_to")).drop("__i")
 
 
-def change_log(filings: DataFrame, members: DataFrame) -> Log:
+def change_log(filings: DataFrame, members: DataFrame, kinds: tuple[str, ...] = KINDS, logged: tuple[str, ...] = KINDS) -> Log:
     """filings: cik, accession, context_count; members: cik, accession, kind, member. Blank members and malformed accessions are left out; repeated rows count
-    once; anchored concepts count where they are extension concepts of the filing."""
+    once; anchored concepts count where they are extension concepts of the filing. The log has the sets of ``kinds``; without extension concepts
+their numbers in its boundaries are 0."""
     root = storage.fresh_dir(filings.sparkSession, "snapshots")
     f = filings.where(valid_accession(F.col("accession"))).groupBy("cik", "accession").agg(F.greatest(F.coalesce(F.max("context_count"), F.lit(0)), F.lit(0)).cast("bigint").alias("contexts"))
-    m = members.select("cik", "accession", "kind", F.trim("member").alias("member")).where("member <> ''").where(F.col("kind").isin(*KINDS)).distinct()
+    m = members.select("cik", "accession", "kind", F.trim("member").alias("member")).where("member <> ''").where(F.col("kind").isin(*kinds)).distinct()
     m = storage.written(m.join(f.select("cik", "accession"), ["cik", "accession"], "left_semi"), f"{root}/members")
     extension = m.where(F.col("kind") == EXTENSION).select("cik", "accession", "member")
     m = m.where(F.col("kind") != ANCHORED).unionByName(m.where(F.col("kind") == ANCHORED).join(extension, ["cik", "accession", "member"], "left_semi"))
     sizes = m.groupBy("cik", "accession", "kind").agg(F.count("*").alias("n_now"))
-    grid = f.withColumn("kind", F.explode(F.array(*map(F.lit, KINDS)))).join(sizes, ["cik", "accession", "kind"], "left").fillna(0, ["n_now"])
-    n_extension = F.max(F.when(F.col("kind") == EXTENSION, F.col("n_now"))).over(Window.partitionBy("cik", "accession"))
+    grid = f.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).join(sizes, ["cik", "accession", "kind"], "left").fillna(0, ["n_now"])
+    n_extension = F.max(F.when(F.col("kind") == EXTENSION, F.col("n_now")).otherwise(0)).over(Window.partitionBy("cik", "accession"))
     grid = grid.withColumn("n_extension", n_extension)
     there = F.when(F.col("kind") == ANCHORED, F.col("n_extension") > 0).when(F.col("kind") == DIMENSION, (F.col("n_now") > 0) | (F.col("contexts") > 0)).otherwise(F.col("n_now") > 0)
     w = Window.partitionBy(*SERIES).orderBy("accession")
@@ -64,7 +67,8 @@ def change_log(filings: DataFrame, members: DataFrame) -> Log:
     last = lambda c: F.last(F.when(F.col("there"), F.col(c)), ignorenulls=True).over(before)
     grid = grid.withColumns({"pos": F.sum(F.col("there").cast("bigint")).over(w), **{f"prior_{c}": last(c) for c in ("accession", "n_now", "contexts", "n_extension")}})
     grid = storage.written(grid, f"{root}/grid")
-    placed = m.join(grid.where("there").select("cik", "accession", "kind", "pos"), ["cik", "accession", "kind"])
+    grid = grid.where(F.col("kind").isin(*logged))
+    placed = m.where(F.col("kind").isin(*logged)).join(grid.where("there").select("cik", "accession", "kind", "pos"), ["cik", "accession", "kind"])
     runs = storage.written(runs_of(placed.select("cik", "kind", "member", "pos")), f"{root}/runs")
     starts = runs.groupBy(*SERIES, F.col("valid_from").alias("pos")).agg(F.count("*").alias("n_starts"))
     ends = runs.groupBy(*SERIES, F.col("valid_to").alias("prior_pos")).agg(F.count("*").alias("n_ends"))
@@ -117,8 +121,8 @@ def evidence(**values: Column) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.bround(v.cast("double"), 6))))
 
 
-def detect(log: Log, config: dict[str, dict[str, float]] | None = None, limit: int = T.EXAMPLES) -> DataFrame:
-    """marker, cik, accession, prior_accession, n_prior, n_now, n_new, n_retired, evidence, new_examples, retired_examples of all boundaries that fire."""
+def detect(log: Log, config: dict[str, dict[str, float]] | None = None, limit: int = T.EXAMPLES, only: tuple[str, ...] = tuple(NEEDS)) -> DataFrame:
+    """marker, cik, accession, prior_accession, n_prior, n_now, n_new, n_retired, evidence, new_examples, retired_examples of all boundaries that fire the markers of ``only``."""
     t = validated(config or {})
     b, c = log.boundaries, F.col
     churn = c("n_new") + c("n_retired")
@@ -130,15 +134,15 @@ def detect(log: Log, config: dict[str, dict[str, float]] | None = None, limit: i
     ratio = share(churn, c("n_prior"))
     by_count = (c("prior_contexts") >= m4.min_previous_context_count) & (moved >= m4.min_context_count_change) & (share(moved, c("prior_contexts")) >= m4.min_context_count_change_ratio)
     by_set = (c("n_prior") >= m4.min_previous_dim_member_count) & (churn >= m4.min_dim_member_churn_count) & (ratio >= m4.min_dim_member_churn_ratio)
-    rows = [
-        at("M001", by_kind(SCHEMA), (c("n_prior") >= m1.min_previous_count) & (churn > 0) & (churn >= m1.min_change_count) & (ratio >= m1.min_change_ratio), evidence(schema_ref_change_count=churn, schema_ref_change_ratio=ratio)),
-        at("M002", by_kind(EXTENSION), (c("n_prior") >= m2.min_previous_count) & (c("n_new") >= m2.min_new_count) & (c("n_retired") >= m2.min_retired_count) & (ratio >= m2.min_churn_ratio), evidence(churn_count=churn, churn_ratio=ratio)),
-        at("M003", by_kind(ANCHORED), (c("prior_n_extension") >= m3.min_previous_extension_count) & (c("n_now") - c("n_prior") >= m3.min_anchored_increase_count) & (rise >= m3.min_coverage_increase),
+    rows = {
+        "M001": at("M001", by_kind(SCHEMA), (c("n_prior") >= m1.min_previous_count) & (churn > 0) & (churn >= m1.min_change_count) & (ratio >= m1.min_change_ratio), evidence(schema_ref_change_count=churn, schema_ref_change_ratio=ratio)),
+        "M002": at("M002", by_kind(EXTENSION), (c("n_prior") >= m2.min_previous_count) & (c("n_new") >= m2.min_new_count) & (c("n_retired") >= m2.min_retired_count) & (ratio >= m2.min_churn_ratio), evidence(churn_count=churn, churn_ratio=ratio)),
+        "M003": at("M003", by_kind(ANCHORED), (c("prior_n_extension") >= m3.min_previous_extension_count) & (c("n_now") - c("n_prior") >= m3.min_anchored_increase_count) & (rise >= m3.min_coverage_increase),
            evidence(anchoring_coverage=coverage, previous_anchoring_coverage=prior_coverage, coverage_increase=rise, anchored_increase=c("n_now") - c("n_prior"))),
-        at("M004", by_kind(DIMENSION), by_count | by_set, evidence(context_count_change=moved, context_count_change_ratio=share(moved, c("prior_contexts")), dimension_member_churn_count=churn, dimension_member_churn_ratio=ratio)),
-        at("M005", by_kind(DUPLICATE), (c("n_prior") >= m5.min_previous_count) & (drop >= m5.min_drop_count) & (share(drop, c("n_prior")) >= m5.min_drop_ratio), evidence(drop_count=drop, drop_ratio=share(drop, c("n_prior")))),
-    ]
-    fired = storage.written(reduce(DataFrame.unionByName, rows), storage.fresh_dir(b.sparkSession, "markers"))
+        "M004": at("M004", by_kind(DIMENSION), by_count | by_set, evidence(context_count_change=moved, context_count_change_ratio=share(moved, c("prior_contexts")), dimension_member_churn_count=churn, dimension_member_churn_ratio=ratio)),
+        "M005": at("M005", by_kind(DUPLICATE), (c("n_prior") >= m5.min_previous_count) & (drop >= m5.min_drop_count) & (share(drop, c("n_prior")) >= m5.min_drop_ratio), evidence(drop_count=drop, drop_ratio=share(drop, c("n_prior")))),
+    }
+    fired = storage.written(reduce(DataFrame.unionByName, (rows[m] for m in only)), storage.fresh_dir(b.sparkSession, "markers"))
     none = F.array().cast("array<string>")
     key = [*SERIES, "accession"]
     out = fired.join(examples(log, fired, "new", limit), key, "left").join(examples(log, fired, "retired", limit), key, "left")
@@ -146,6 +150,11 @@ def detect(log: Log, config: dict[str, dict[str, float]] | None = None, limit: i
     return out.select("marker", "cik", "accession", "prior_accession", "n_prior", "n_now", "n_new", "n_retired", "evidence", *shown)
 
 
-def marker_rows(filings: DataFrame, members: DataFrame, config: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Filings and their sets to markers."""
-    return detect(change_log(filings, members), config)
+def kinds_of(only: tuple[str, ...]) -> tuple[str, ...]:
+    """The sets that the markers read, in the order of KINDS."""
+    return tuple(k for k in KINDS if any(k in NEEDS[m] for m in only))
+
+
+def marker_rows(filings: DataFrame, members: DataFrame, config: dict[str, dict[str, float]] | None = None, only: tuple[str, ...] = tuple(NEEDS)) -> DataFrame:
+    """Filings and their sets to markers; the log is built of the sets whose changes these markers tell."""
+    return detect(change_log(filings, members, kinds_of(only), tuple(NEEDS[m][-1] for m in only)), config, only=only)

@@ -13,17 +13,18 @@ from stratalens.operators import snapshots
 from stratalens.plans.catalog import Tables, query
 
 
-def shipping(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def shipping(spark: SparkSession, root: str, kinds: tuple[str, ...] = snapshots.KINDS) -> tuple[DataFrame, DataFrame]:
+    """Filings of all lines, and the members of the sets that are asked for."""
     items = Tables(spark, root).lineitem.where("l_suppkey is not null and l_shipdate is not null")
     cik, year = F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yy")
     rows = items.select(cik.alias("cik"), F.concat(F.lpad(cik, 10, "0"), F.lit("-"), year, F.lit("-000001")).alias("accession"), "l_shipdate", "l_partkey", "l_orderkey", "l_linestatus", "l_returnflag", "l_linenumber", "l_quantity")
     text = lambda c: F.col(c).cast("string")
-    pair = lambda kind, member: F.struct(F.lit(kind).alias("kind"), member.alias("member"))
-    sets = F.array(
-        pair("schema", F.concat_ws("|", "l_returnflag", text("l_linenumber"))), pair("extension", text("l_partkey")), pair("anchored", F.when(F.col("l_linestatus") == "O", text("l_partkey"))),
-        pair("dimension", F.concat_ws("|", "l_returnflag", F.quarter("l_shipdate").cast("string"), F.col("l_quantity").cast("int").cast("string"))), pair("duplicate", F.when(F.col("l_returnflag") == "R", text("l_orderkey"))),
-    )
-    members = rows.select("cik", "accession", F.explode(sets).alias("s")).select("cik", "accession", "s.kind", "s.member").where("member is not null")
+    sets = {
+        "schema": F.concat_ws("|", "l_returnflag", text("l_linenumber")), "extension": text("l_partkey"), "anchored": F.when(F.col("l_linestatus") == "O", text("l_partkey")),
+        "dimension": F.concat_ws("|", "l_returnflag", F.quarter("l_shipdate").cast("string"), F.col("l_quantity").cast("int").cast("string")), "duplicate": F.when(F.col("l_returnflag") == "R", text("l_orderkey")),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), sets[k].alias("member")) for k in kinds))
+    members = rows.select("cik", "accession", F.explode(pairs).alias("s")).select("cik", "accession", "s.kind", "s.member").where("member is not null")
     return rows.groupBy("cik", "accession").agg(F.count("*").alias("context_count")), members
 
 
@@ -71,7 +72,7 @@ def _register(marker: str) -> None:
     sql = SNAPSHOTS + f"select '{marker}' as marker, cik, accession, prior_accession, n_prior, n_now, n_new, n_retired, new_examples, retired_examples from counted where {FIRES[marker]}"
 
     def run(spark: SparkSession, root: str) -> DataFrame:
-        found = snapshots.marker_rows(*shipping(spark, root)).where(F.col("marker") == marker)
+        found = snapshots.marker_rows(*shipping(spark, root, snapshots.kinds_of((marker,))), only=(marker,))
         return found.select("marker", "cik", "accession", "prior_accession", "n_prior", "n_now", "n_new", "n_retired", *(F.array_join(c, ",").alias(c) for c in ("new_examples", "retired_examples")))
 
     query(sql, f"snapshot_marker_{marker.lower()}")(run)

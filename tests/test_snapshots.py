@@ -105,3 +105,15 @@ def test_thresholds(spark):
 def test_arrays_become_members(spark):
     df = spark.createDataFrame([("1", acc(1), ["a"], None)], "cik string, accession string, schema_refs array<string>, extension_qnames array<string>").withColumn("n", F.lit(1))
     assert [tuple(r) for r in snapshots.members_of(df).collect()] == [("1", acc(1), "schema", "a")]
+
+
+def test_one_marker_alone_reads_its_own_sets(spark):
+    """Each marker alone gives its rows of all five together, from a log that holds no other sets."""
+    filings, members = corpus()
+    f, m = spark.createDataFrame(filings, "cik string, accession string, context_count int"), spark.createDataFrame(members, "cik string, accession string, kind string, member string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    every = snapshots.marker_rows(f, m).persist()
+    for marker, kinds in snapshots.NEEDS.items():
+        assert rows(snapshots.marker_rows(f, m, only=(marker,))) == rows(every.where(F.col("marker") == marker))
+        log = snapshots.change_log(f, m, snapshots.kinds_of((marker,)), kinds[-1:])
+        assert [r["kind"] for r in log.runs.select("kind").distinct().collect()] == [kinds[-1]]
