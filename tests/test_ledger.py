@@ -150,3 +150,32 @@ def test_summaries_merge_whatever_the_partitions(spark):
         assert not kept["first_keyed"] < kept["last_keyless"] and kept["chain_low"] == kept["chain_high"] == "one" and kept["best"]["status"] == "resolved"
         plan = ledger.summaries(refs.repartition(n))._jdf.queryExecution().executedPlan().toString()
         assert "collect" not in plan and plan.count("partial_min") > 0
+
+
+def test_scopes_within_the_cap_are_not_ranked(spark):
+    """Of scopes beyond the cap the first observations stay, null scopes too; the others keep all of theirs."""
+    sizes = {"a": 1_003, "b": 999, "c": 1_000, None: 1_002}
+    rows = [(s, i) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "scope_key string, ordinal long")
+    kept, omitted = ledger.cap_scopes(df, ["ordinal"], 1_000)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.where("ordinal < 1000").collect()))
+    assert sorted((r["scope_key"] or "", r["ordinal"]) for r in omitted.collect()) == [("", 1000), ("", 1001), ("a", 1000), ("a", 1001), ("a", 1002)]
+    assert all(len(x.collect()) == len(y.collect()) for x, y in zip(ledger.cap_scopes(df, ["ordinal"], 1_001), ledger.cap_rows(df, ["scope_key"], ["ordinal"], 1_001)))
+
+
+def test_summaries_are_classified_in_one_pass(spark, tmp_path):
+    """The plan reads the summaries once for all kinds of events."""
+    basis = "struct<basis_type:string,basis_value:string>"
+    order = "report_period:string,source_id:string,scope_key:string,path:string,ordinal:bigint,observation_id:string"
+    schema = f"kind string, `group` string, n_refs long, first struct<{order},reported_basis:{basis}>, last struct<{order},reported_basis:{basis}>, first_keyed struct<{order}>, last_keyless struct<{order}>, chain_low string, chain_high string, missing boolean, bridged boolean, best struct<rank:string,status:string>, newest string"
+    at = lambda p, b: (p, "s", "x", "", 1, "i", ("cusip", b))
+    none = ("9", "")
+    groups = [
+        ("chain", "c1", 2, at("1", "A"), at("2", "B"), at("1", "")[:6], None, "c1", "c1", False, False, none, "2"), ("chain", "c2", 2, at("1", "A"), at("2", "A"), at("1", "")[:6], None, "c2", "c2", False, False, none, "2"),
+        ("weak", "w", 3, at("1", "A"), at("3", "B"), at("1", "")[:6], at("3", "")[:6], "c1", "c2", False, False, none, "3"),
+    ]
+    spark.createDataFrame(groups, schema).write.parquet(f"{tmp_path}/g")
+    out = ledger.classified(spark.read.parquet(f"{tmp_path}/g"))
+    got = {(r["kind"], r["group"], ",".join(r["issue_codes"])) for r in out.collect()}
+    assert got == {("chain", "c1", "identifier_basis_transition"), ("collision", "w", "weak_key_temporal_collision"), ("continuity", "w", "strong_identifier_removed,weak_continuity_only")}
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
