@@ -115,17 +115,20 @@ def leaders(classes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes' fingerprints, x's set not larger than y's, not both gone, that pass all filters. Conditions name
-    both sides, so that they stay in the join and both read one exchange. A row's sizes are packed: n, place of the word, gone."""
-    rows = classes.select("f1", "sketch", F.posexplode("prefix").alias("i", "word"), "n", "gone")
-    rows = rows.select("word", "f1", "sketch", F.expr("shiftleft(cast(n as bigint), 32) | (i * 2 + if(gone, 1, 0))").alias("packed"))
-    side = lambda s: rows.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("f1", "sketch", "packed")))
+    """Pairs (x, y) of classes' fingerprints, x's set not larger than y's, not both gone, that pass all filters. A side is cut to its own
+    prefix before it is shuffled, as Spark doesn't share an exchange above a generator. A row's sizes are packed: n, place of the word, gone."""
+
+    def side(s: str, most: str) -> DataFrame:
+        rows = classes.select("f1", "sketch", "n", "gone", F.posexplode(F.slice("prefix", 1, F.expr(f"cast({most} as int)"))).alias("i", "word"))
+        packed = F.expr("shiftleft(cast(n as bigint), 32) | (i * 2 + if(gone, 1, 0))")
+        return rows.select("word", F.col("f1").alias(f"{s}_f1"), F.col("sketch").alias(f"{s}_sketch"), packed.alias(f"{s}_packed"))
+
     n, i = (lambda s: f"shiftright({s}_packed, 32)"), (lambda s: f"(shiftright({s}_packed, 1) & 2147483647)")
     fits = (
-        F.expr(f"({n('x')} < {n('y')} or {n('x')} = {n('y')} and x_f1 < y_f1) and (x_packed & y_packed & 1) = 0 and {i('x')} < {n('x')} - (160 * {n('x')} + 179) div 180 + 1 + 0 * y_f1")
+        F.expr(f"({n('x')} < {n('y')} or {n('x')} = {n('y')} and x_f1 < y_f1) and (x_packed & y_packed & 1) = 0")
         & F.expr(f"least({n('x')} - {i('x')}, {n('y')} - {i('y')}) >= {least(n('x'), n('y'))}") & possible(n("x"), n("y"), "x_sketch", "y_sketch")
     )
-    return side("x").join(side("y"), "word").where(fits).select(F.col("x_f1").alias("x"), F.col("y_f1").alias("y")).distinct()
+    return side("x", "n - (160 * n + 179) div 180 + 1").join(side("y", "n"), "word").where(fits).select(F.col("x_f1").alias("x"), F.col("y_f1").alias("y")).distinct()
 
 
 def named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
