@@ -54,20 +54,30 @@ def references(documents: DataFrame, kinds: dict[str, str] | None = None) -> Dat
 
 def closure(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
     """links: path, to. Every (root, path, depth) that is reached, the root's own path (depth 0) included, at its least depth; and the links (root, path, to)
-    that the limit leaves out. Cycles end where nothing is new."""
+    that the limit leaves out. Cycles end where nothing is new.
+
+    What is reached again is taken out where the depth is a power of two, and at the limit: all rows before are read that often only, and what follows from
+    rows in between that are no news isn't news either. In between a step has no row twice."""
     base = storage.fresh_dir(links.sparkSession, "closure")
     links = storage.written(links.select("path", "to").where("path <> to").distinct(), f"{base}/links")
     front = storage.written(roots.select("root", "path", F.lit(0).alias("depth")).distinct(), f"{base}/0")
-    seen, depth = front, 0
+    seen, fresh, depth, check = front, None, 0, 1
     while True:
-        step = front.join(links, "path").select("root", F.col("path").alias("by"), F.col("to").alias("path")).join(seen.select("root", "path"), ["root", "path"], "left_anti")
         if depth == max_depth:
+            step = front.join(links, "path").select("root", F.col("path").alias("by"), F.col("to").alias("path")).join(seen.select("root", "path"), ["root", "path"], "left_anti")
             return seen, storage.written(step.select("root", F.col("by").alias("path"), F.col("path").alias("to")), f"{base}/beyond")
         depth += 1
-        front = storage.written(step.select("root", "path").distinct().withColumn("depth", F.lit(depth)), f"{base}/{depth}")
-        if front.isEmpty():
-            return seen, links.select(F.lit("").alias("root"), "path", "to").limit(0)
-        seen = seen.union(front)
+        step = front.join(links, "path").select("root", F.col("to").alias("path")).distinct().withColumn("depth", F.lit(depth))
+        front = storage.written(step, f"{base}/{depth}")
+        fresh = front if fresh is None else fresh.union(front)
+        over = front.isEmpty()
+        if over or depth in (check, max_depth):
+            least = fresh.groupBy("root", "path").agg(F.min("depth").alias("depth")) if fresh is not front else fresh
+            new = storage.written(least.join(seen.select("root", "path"), ["root", "path"], "left_anti"), f"{base}/{depth}-new")
+            seen, fresh, check = seen.union(new), None, 2 * check
+            front = new.where(F.col("depth") == depth)
+            if over or front.isEmpty():
+                return seen, links.select(F.lit("").alias("root"), "path", "to").limit(0)
 
 
 def collect(documents: DataFrame, files: DataFrame, primaries: DataFrame, max_depth: int = MAX_DEPTH, kinds: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -53,3 +53,14 @@ def test_collect(spark):
     assert {r["path"] for r in cut.collect()} == {"f/p.htm", "f/t/co.xsd", "f/t/lab.xml", "up.xsd"}
     assert {(r["path"], r["href"]) for r in told.where("problem = 'beyond_depth'").collect()} == {("f/t/co.xsd", p) for p in ("f/t/sub/a.xsd", "std/b.xsd", "f/t/pre.xml")}
     assert closure.collect(table.limit(0), files, primaries)[0].count() == 2
+
+
+def test_rows_before_are_read_at_powers_of_two_only(spark, monkeypatch):
+    """A ring with a way across and a tail: least depths, and few anti-joins."""
+    links = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r0", "r3"), ("r5", "t0")] + [(f"t{i}", f"t{i + 1}") for i in range(9)], "path string, to string")
+    written = []
+    monkeypatch.setattr(closure.storage, "written", lambda df, path, real=closure.storage.written: written.append(df._jdf.queryExecution().logical().toString().count("LeftAnti")) or real(df, path))
+    found, beyond = closure.closure(links, spark.createDataFrame([("r0", "r0")], "root string, path string"))
+    want = {"r0": 0, "r1": 1, "r2": 2, "r3": 1, "r4": 2, "r5": 3, "r6": 4, "t0": 4} | {f"t{i}": 4 + i for i in range(1, 10)}
+    assert sorted((r["path"], r["depth"]) for r in found.collect()) == sorted(want.items()) and beyond.count() == 0
+    assert sum(written) == 5  # at depths 1, 2, 4, 8 and the end
