@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratalens import storage
 from stratalens.functions import signatures as S
 from stratalens.functions import text as T
-from stratalens.sources.rows import DIAGNOSTIC, first_of, read_rows
+from stratalens.sources.rows import DIAGNOSTIC, first_given, first_of, normalized_values, read_rows
 
 #: Versions and families that the row reader takes, its defaults, and the names under which it finds weak evidence.
 VERSIONS = ("", "1.0", "p009_observations.v1", "p009_observations.v1.jsonl")
@@ -83,17 +83,20 @@ def nested(row: Column, kind: Column, name: str, opening: str) -> Column:
     return F.when((kind != "csv") & value.startswith(opening), value)
 
 
-def scope(row: Column, kind: Column) -> Column:
-    """struct(scope_key, cik, series_id, series_name): from the nested scope, then flat names, then a scope given as text."""
-    data = F.from_json(nested(row, kind, "source_scope", "{"), "map<string,string>")
-    inner = lambda n: T.normalized(F.try_element_at(data, F.lit(n)))
-    plain = F.when(data.isNull(), first_of(row, "source_scope")).otherwise(F.lit(""))
+def nested_scope(row: Column, kind: Column) -> Column:
+    return normalized_values(F.from_json(nested(row, kind, "source_scope", "{"), "map<string,string>"))
+
+
+def scope(data: Column, given: Column) -> Column:
+    """struct(scope_key, cik, series_id, series_name): from the nested scope, then flat names, then a scope given as text. Both maps have normalised values."""
+    inner = lambda n: first_given(data, n)
+    plain = F.when(data.isNull(), first_given(given, "source_scope")).otherwise(F.lit(""))
     pick = lambda *values: F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
-    key = pick(inner("scope_key"), first_of(row, "scope_key"), first_of(row, "source_scope_key"), plain)
-    return F.struct(key.alias("scope_key"), *(pick(inner(n), first_of(row, n)).alias(n) for n in ("cik", "series_id", "series_name")))
+    key = pick(inner("scope_key"), first_given(given, "scope_key"), first_given(given, "source_scope_key"), plain)
+    return F.struct(key.alias("scope_key"), *(pick(inner(n), first_given(given, n)).alias(n) for n in ("cik", "series_id", "series_name")))
 
 
-def source_refs(row: Column, kind: Column, path: Column, row_number: Column) -> Column:
+def source_refs(row: Column, given: Column, kind: Column, path: Column, row_number: Column) -> Column:
     """References in the order of their place, from a nested list or from flat names."""
     items = F.filter(F.transform(F.from_json(nested(row, kind, "source_refs", "["), "array<string>"), lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
     pick = lambda v, other: F.coalesce(F.nullif(v, F.lit("")), other)
@@ -106,7 +109,7 @@ def source_refs(row: Column, kind: Column, path: Column, row_number: Column) ->
 
     listed = F.transform(items, lambda m: ref(pick(first_of(m, "path", "source_path"), path), first_of(m, "pointer", "xpath", "json_pointer"), number(m, "row_number"), number(m, "line_number"), text(m, "column"), text(m, "field"), T.identifier(F.try_element_at(m, F.lit("sha256")))))
     own = F.coalesce(F.nullif(number(row, "row_number"), F.lit(0)), row_number.cast("bigint"))
-    single = F.array(ref(pick(first_of(row, "source_path", "path"), path), first_of(row, "source_pointer", "pointer", "xpath"), own, number(row, "line_number"), text(row, "column"), text(row, "field"), T.identifier(F.try_element_at(row, F.lit("source_sha256")))))
+    single = F.array(ref(pick(first_given(given, "source_path", "path"), path), first_given(given, "source_pointer", "pointer", "xpath"), own, number(row, "line_number"), first_given(given, "column"), first_given(given, "field"), T.letters_and_digits(F.upper(first_given(given, "source_sha256")))))
     chosen = F.when(F.size(listed) > 0, F.array_sort(listed)).otherwise(single)
     return F.transform(chosen, lambda r: F.struct(r["key"]["path"].alias("path"), r["key"]["pointer"].alias("pointer"), r["row_number"].alias("row_number"), r["line_number"].alias("line_number"), r["key"]["column"].alias("column"), r["key"]["field"].alias("field"), r["sha256"].alias("sha256")))
 
@@ -117,13 +120,13 @@ def signature_path(ref: Column) -> Column:
     return F.concat_ws("#", ref["path"], part("pointer", ref["pointer"]), part("row", ref["row_number"]), part("line", ref["line_number"]), part("column", ref["column"]), part("field", ref["field"]))
 
 
-def other_identifiers(row: Column, kind: Column) -> tuple[Column, Column, Column]:
+def other_identifiers(row: Column, given: Column, kind: Column) -> tuple[Column, Column, Column]:
     """(type, value) pairs in order, the number of list items that are no objects, and whether a pair lacks its type or value."""
     items = F.from_json(nested(row, kind, "other_identifiers", "["), "array<string>")
     maps = F.transform(items, lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, "map<string,string>")))
     pair = lambda t, v: F.struct(T.key_token(t).alias("id_type"), T.key_token(v).alias("value"))
     listed = F.transform(F.filter(maps, lambda m: m.isNotNull()), lambda m: pair(first_of(m, "id_type", "type"), F.try_element_at(m, F.lit("value"))))
-    own = [first_of(row, f"other_id_{n}", f"other_identifier_{n}") for n in ("type", "value")]
+    own = [first_given(given, f"other_id_{n}", f"other_identifier_{n}") for n in ("type", "value")]
     single = F.when((own[0] != "") | (own[1] != ""), F.array(pair(*own)))
     none = F.array().cast("array<struct<id_type:string,value:string>>")
     pairs = F.concat(F.coalesce(listed, none), F.coalesce(single, none))
@@ -137,21 +140,23 @@ def load_observations(spark: SparkSession, path: str | list[str], metadata: dict
     """Observations and diagnostics. ``metadata`` gives schema_version, source_family, source_adapter and source_path for rows without their own."""
     given = lambda n: F.lit((metadata or {}).get(n, ""))
     rows, unread = read_rows(spark, path)
-    r, kind = F.col("row"), F.col("kind")
+    rows = rows.withColumns({"given": normalized_values(F.col("row")), "nested_scope": nested_scope(F.col("row"), F.col("kind"))})
+    r, g, kind = F.col("row"), F.col("given"), F.col("kind")
     pick = lambda *values: F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
     at = pick(T.normalized(given("source_path")), F.col("path"))
-    others, odd, lacking = other_identifiers(r, kind)
+    others, odd, lacking = other_identifiers(r, g, kind)
     ordinal = F.coalesce(integer(F.try_element_at(r, F.lit("observation_ordinal"))), F.nullif(integer(F.try_element_at(r, F.lit("holding_ordinal"))), F.lit(0)), F.col("row_number") - 1)
-    weak = {n: first_of(r, *names) for n, names in WEAK_NAMES.items()} | {"currency": T.key_token(F.try_element_at(r, F.lit("currency")))}
+    token = lambda n: F.upper(first_given(g, n))
+    weak = {n: first_given(g, *names) for n, names in WEAK_NAMES.items()} | {"currency": token("currency")}
     staged = rows.select(
-        "path", "row_number", F.when(present(r, "schema_version"), first_of(r, "schema_version")).otherwise(T.normalized(given("schema_version"))).alias("schema_version"),
-        F.lower(T.key_token(pick(first_of(r, "source_family"), T.normalized(given("source_family")), F.lit(DEFAULT_FAMILY)))).alias("source_family"),
-        F.lower(T.key_token(pick(first_of(r, "source_adapter"), T.normalized(given("source_adapter")), F.lit(DEFAULT_ADAPTER)))).alias("source_adapter"),
-        scope(r, kind).alias("scope"), first_of(r, "accession").alias("given_accession"), first_of(r, "source_record_id", "record_id").alias("source_record_id"),
-        first_of(r, "filed_date").alias("filed_date"), first_of(r, "report_period", "period_end", "report_date").alias("report_period"), ordinal.cast("bigint").alias("ordinal"),
-        *(T.typed_identifier(F.lit(n), F.try_element_at(r, F.lit(n))).alias(f"given_{n}") for n in KINDS), others.alias("others"), odd.alias("odd"), lacking.alias("lacking"),
+        "path", "row_number", F.when(present(r, "schema_version"), first_given(g, "schema_version")).otherwise(T.normalized(given("schema_version"))).alias("schema_version"),
+        F.lower(T.key_token(pick(first_given(g, "source_family"), T.normalized(given("source_family")), F.lit(DEFAULT_FAMILY)))).alias("source_family"),
+        F.lower(T.key_token(pick(first_given(g, "source_adapter"), T.normalized(given("source_adapter")), F.lit(DEFAULT_ADAPTER)))).alias("source_adapter"),
+        scope(F.col("nested_scope"), g).alias("scope"), first_given(g, "accession").alias("given_accession"), first_given(g, "source_record_id", "record_id").alias("source_record_id"),
+        first_given(g, "filed_date").alias("filed_date"), first_given(g, "report_period", "period_end", "report_date").alias("report_period"), ordinal.cast("bigint").alias("ordinal"),
+        *((token(n) if n == "ticker" else T.letters_and_digits(token(n))).alias(f"given_{n}") for n in KINDS), others.alias("others"), odd.alias("odd"), lacking.alias("lacking"),
         F.filter(F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in weak.items())), lambda p: p["value"] != "").alias("weak"),
-        source_refs(r, kind, at, F.col("row_number")).alias("refs"),
+        source_refs(r, g, kind, at, F.col("row_number")).alias("refs"),
     )
     c = F.col
     valid = {n: T.valid_identifier(F.lit(n), c(f"given_{n}")) for n in KINDS}

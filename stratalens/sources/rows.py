@@ -112,7 +112,8 @@ def read_rows(spark: SparkSession, path: str | list[str], code: str = "P009-OBS-
         parsed = parsed.union(items.select("path", F.lit("array"), (F.col("pos") + 1).cast("bigint"), "raw"))
     parsed = parsed.withColumn("row", F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", MAP)))
     told.append(parsed.where("row is null").select("path", "row_number", F.coalesce("raw", F.lit("")).alias("value")))
-    objects = parsed.where("row is not null").select("path", "kind", "row_number", last_wins(F.col("row")).alias("row"))
+    # a generator leaves nulls out: as a condition, the optimizer would move the parsing below and do it twice
+    objects = parsed.select("path", "kind", "row_number", F.explode(F.array_compact(F.array("row"))).alias("row")).withColumn("row", last_wins(F.col("row")))
     rows = objects.unionByName(_csv_rows(numbered.where("kind = 'csv'")))
     nested = "(v like '{%' or v like '[%')"
     rows = rows.withColumn("row", F.expr(f"transform_values(row, (k, v) -> case when v is null then '' when kind <> 'csv' and {nested} then v else {T.references('v')} end)"))
@@ -145,6 +146,17 @@ def _csv_rows(lines: DataFrame) -> DataFrame:
     return one.union(many).select("path", F.lit("csv").alias("kind"), "row_number", csv_row(F.col("header"), F.col("record")).alias("row"))
 
 
+def normalized_values(row: Column) -> Column:
+    """The map with its values normalised, each once, however many names are looked for in it. Texts without a reference need no decoding."""
+    text = lambda v: F.when(F.contains(v, F.lit("&")), T.unescaped(v)).otherwise(F.coalesce(v, F.lit("")))
+    return F.transform_values(row, lambda k, v: T.collapsed(text(v)))
+
+
+def first_given(given: Column, *names: str) -> Column:
+    """``first_of`` in a map whose values are normalised."""
+    return F.coalesce(*(F.nullif(F.try_element_at(given, F.lit(n)), F.lit("")) for n in names), F.lit(""))
+
+
 def first_of(row: Column, *names: str) -> Column:
     """The first non-empty value, normalised; ''."""
     values = [F.nullif(T.normalized(F.try_element_at(row, F.lit(n))), F.lit("")) for n in names]

@@ -211,3 +211,13 @@ def test_corpus_codes(spark, tmp_path):
     assert sources.count() == 1 and rows_.count() == 5
     assert sorted((r["row_number"], r["code"]) for r in bad.collect()) == [(2, "P009-CORPUS-E007"), (3, "P009-CORPUS-E005"), (4, "P009-CORPUS-E003"), (5, "P009-CORPUS-E004"), (6, "P009-CORPUS-E002"), (7, "P009-CORPUS-E008")]
     assert observations.load_corpus(spark, f"file://{tmp_path}/m.json")[1] is None
+
+
+def test_values_are_parsed_and_normalised_once(spark, tmp_path):
+    texts = ["", "  a   b ", "x &amp;lt; y", "&amp;amp;nbsp;", "\t", "plain", "&#39;q&#39;"]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"a": t, "c": None}) for t in texts))
+    good, _ = rows.read_rows(spark, f"file://{tmp_path}/a.jsonl")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(MapType(StringType,StringType,true), raw") <= 1
+    both = good.withColumn("given", rows.normalized_values(good.row))
+    got = both.select(*(f(m, "b", "c", "a") for f, m in ((rows.first_of, both.row), (rows.first_given, both.given)))).collect()
+    assert len(got) == len(texts) and all(r[0] == r[1] for r in got) and {r[0] for r in got} >= {"a b", "plain", "'q'", ""}
