@@ -23,10 +23,14 @@ NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "defa
 KNOWN = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "format", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref"}
 VIOLATIONS = "array<struct<path:string,keyword:string>>"
 #: The variant's own names of types, by JSON's.
-TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "boolean": "^BOOLEAN", "null": "^VOID", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"}
+TYPES = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"}
 FORMATS = {"date": r"^\d{4}-\d{2}-\d{2}$", "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$"}
 
 
+def no_violations() -> Column:
+    return F.array().cast(VIOLATIONS)
+
+
 class Compiler:
     def __init__(self, schema: Mapping):
         self.root = schema
@@ -40,22 +44,34 @@ class Compiler:
         return out
 
     def compile(self, schema: Mapping | bool, value: Column, path: Column, open_: tuple[str, ...] = ()) -> Column:
-        none = F.array().cast(VIOLATIONS)
-        one = lambda keyword, at=path: F.array(F.struct(at.alias("path"), F.lit(keyword).alias("keyword"))).cast(VIOLATIONS)
+        if isinstance(schema, bool):
+            return self.told("false", path) if schema is False else no_violations()
+        # bound, as nothing is shared inside a lambda; the type of an object or array comes from its parts, since its schema would be that of all below it
+        parts = F.struct(value.alias("value"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"), F.try_variant_get(value, "$", "array<variant>").alias("items"))
+        kind = lambda p: F.when(p["fields"].isNotNull(), "OBJECT").when(p["items"].isNotNull(), "ARRAY").otherwise(F.coalesce(F.schema_of_variant(p["value"]), F.lit("VOID")))
+        return T.let(parts, lambda p: T.let(kind(p), lambda k: self.rules(schema, p, k, path, open_)))
+
+    @staticmethod
+    def told(keyword: str, at: Column) -> Column:
+        return F.array(F.struct(at.alias("path"), F.lit(keyword).alias("keyword"))).cast(VIOLATIONS)
+
+    def rules(self, schema: Mapping | bool, parts: Column, kind: Column, path: Column, open_: tuple[str, ...]) -> Column:
+        """The violations of a value that is taken apart already."""
+        none = no_violations()
+        one = lambda keyword, at=path: self.told(keyword, at)
         if isinstance(schema, bool):
             return none if schema else one("false")
         unknown = set(schema) - KNOWN - NOTES
         if unknown:
             raise ValueError(f"keywords that aren't compiled: {sorted(unknown)}")
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        is_ = lambda name: kind.rlike(TYPES[name])
-        text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+        is_ = lambda name: kind.rlike(TYPES[name]) if name == "number" else kind == TYPES[name]
+        text, number = F.try_variant_get(parts["value"], "$", "string"), F.try_variant_get(parts["value"], "$", "double")
         found: list[Column] = []
         fail = lambda wrong, keyword: found.append(F.when(wrong, one(keyword)).otherwise(none))
-        inner = lambda s, v=value, p=path: self.compile(s, v, p, open_)
+        inner = lambda s: self.rules(s, parts, kind, path, open_)
         clean = lambda s: F.size(inner(s)) == 0
         if "$ref" in schema:
-            found.append(self.compile(self.resolved(schema["$ref"], open_), value, path, (*open_, schema["$ref"])))
+            found.append(self.rules(self.resolved(schema["$ref"], open_), parts, kind, path, (*open_, schema["$ref"])))
         if "type" in schema:
             names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
             whole = is_("number") & (number == F.floor(number))
@@ -79,8 +95,8 @@ class Compiler:
             fail(is_("number") & (number < schema["minimum"]), "minimum")
         if "maximum" in schema:
             fail(is_("number") & (number > schema["maximum"]), "maximum")
-        found += self.object_rules(schema, value, path, is_("object"), one, open_)
-        found += self.array_rules(schema, value, path, is_("array"), one, open_)
+        found += self.object_rules(schema, parts["fields"], path, one, open_)
+        found += self.array_rules(schema, parts["items"], path, one, open_)
         found += [inner(s) for s in schema.get("allOf", [])]
         if "anyOf" in schema:
             fail(~reduce(Column.__or__, (clean(s) for s in schema["anyOf"])), "anyOf")
@@ -104,51 +120,41 @@ class Compiler:
             return is_("string") & (text == want)
         raise ValueError("constants are texts, numbers, booleans or null")
 
-    def object_rules(self, schema: Mapping, value: Column, path: Column, there: Column, one, open_: tuple[str, ...]) -> list[Column]:
+    def object_rules(self, schema: Mapping, fields: Column, path: Column, one, open_: tuple[str, ...]) -> list[Column]:
         if not {"required", "properties", "additionalProperties"} & set(schema):
             return []
-        none = F.array().cast(VIOLATIONS)
-
-        def rules(fields: Column) -> Column:
-            out = [none]
-            for name in schema.get("required", []):
-                out.append(F.when(~F.map_contains_key(fields, F.lit(name)), one("required", F.concat(path, F.lit(f".{name}")))).otherwise(none))
-            for name, s in schema.get("properties", {}).items():
-                own = self.compile(s, F.try_element_at(fields, F.lit(name)), F.concat(path, F.lit(f".{name}")), open_)
-                out.append(F.when(F.map_contains_key(fields, F.lit(name)), own).otherwise(none))
-            rest = schema.get("additionalProperties", True)
-            if rest is not True:
-                names = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
-                more = F.array_sort(F.array_except(F.map_keys(fields), names))
-                if rest is False:
-                    out.append(F.transform(more, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit("additionalProperties").alias("keyword"))))
-                else:
-                    out.append(F.flatten(F.transform(more, lambda k: self.compile(rest, F.try_element_at(fields, k), F.concat(path, F.lit("."), k), open_))))
-            return F.concat(*out)
-
-        return [F.when(there, T.let(F.try_variant_get(value, "$", "map<string,variant>"), rules)).otherwise(none)]
-
-    def array_rules(self, schema: Mapping, value: Column, path: Column, there: Column, one, open_: tuple[str, ...]) -> list[Column]:
+        none = no_violations()
+        out = [none]
+        for name in schema.get("required", []):
+            out.append(F.when(~F.map_contains_key(fields, F.lit(name)), one("required", F.concat(path, F.lit(f".{name}")))).otherwise(none))
+        for name, s in schema.get("properties", {}).items():
+            own = self.compile(s, F.try_element_at(fields, F.lit(name)), F.concat(path, F.lit(f".{name}")), open_)
+            out.append(F.when(F.map_contains_key(fields, F.lit(name)), own).otherwise(none))
+        rest = schema.get("additionalProperties", True)
+        if rest is not True:
+            names = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
+            more = F.array_sort(F.array_except(F.map_keys(fields), names))
+            if rest is False:
+                out.append(F.transform(more, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit("additionalProperties").alias("keyword"))))
+            else:
+                out.append(F.flatten(F.transform(more, lambda k: self.compile(rest, F.try_element_at(fields, k), F.concat(path, F.lit("."), k), open_))))
+        return [F.when(fields.isNotNull(), F.concat(*out)).otherwise(none)]
+
+    def array_rules(self, schema: Mapping, items: Column, path: Column, one, open_: tuple[str, ...]) -> list[Column]:
         if not {"items", "minItems", "maxItems"} & set(schema):
             return []
-        none = F.array().cast(VIOLATIONS)
-
-        def rules(items: Column) -> Column:
-            out = [none]
-            if "minItems" in schema:
-                out.append(F.when(F.size(items) < schema["minItems"], one("minItems")).otherwise(none))
-            if "maxItems" in schema:
-                out.append(F.when(F.size(items) > schema["maxItems"], one("maxItems")).otherwise(none))
-            if "items" in schema:
-                out.append(F.flatten(F.transform(items, lambda x, i: self.compile(schema["items"], x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), open_))))
-            return F.concat(*out)
-
-        return [F.when(there, T.let(F.try_variant_get(value, "$", "array<variant>"), rules)).otherwise(none)]
+        none = no_violations()
+        out = [none]
+        if "minItems" in schema:
+            out.append(F.when(F.size(items) < schema["minItems"], one("minItems")).otherwise(none))
+        if "maxItems" in schema:
+            out.append(F.when(F.size(items) > schema["maxItems"], one("maxItems")).otherwise(none))
+        if "items" in schema:
+            out.append(F.flatten(F.transform(items, lambda x, i: self.compile(schema["items"], x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), open_))))
+        return [F.when(items.isNotNull(), F.concat(*out)).otherwise(none)]
 
 
 def violations(text: Column, schema: Mapping) -> Column:
     """array of (path, keyword) in the order of path and keyword; empty where the text is valid."""
-    parsed = F.try_parse_json(text)
     own = Compiler(schema)
-    wrong = F.array(F.struct(F.lit("$").alias("path"), F.lit("parse").alias("keyword"))).cast(VIOLATIONS)
-    return F.when(parsed.isNull(), wrong).otherwise(F.array_sort(T.let(parsed, lambda v: own.compile(schema, v, F.lit("$")))))
+    return T.let(F.try_parse_json(text), lambda v: F.when(v.isNull(), own.told("parse", F.lit("$"))).otherwise(F.array_sort(own.compile(schema, v, F.lit("$")))))

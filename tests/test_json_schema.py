@@ -121,3 +121,10 @@ def test_schemas_that_cannot_be_compiled():
     for schema in ({"type": "string", "dependencies": {}}, {"$ref": "other.json"}, {"const": [1]}):
         with pytest.raises(ValueError):
             json_schema.Compiler(schema).compile(schema, F.lit("x"), F.lit("$"))
+
+
+def test_a_text_is_parsed_once(spark):
+    rows = spark.range(3).select(F.concat(F.lit('{"schema_version": '), F.col("id").cast("string"), F.lit("}")).alias("t"))
+    found = rows.select(json_schema.violations(F.col("t"), SCHEMA).alias("v"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert all(("$.schema_version", "const") in [tuple(v) for v in r["v"]] for r in found.collect())
