@@ -47,12 +47,11 @@ def registry_precedence_lookup(spark, root):
         t.supplier.where("s_acctbal > 0").select(part("supplier", F.col("s_suppkey"), F.concat(F.lit("S"), "s_suppkey"), F.concat(F.lit("s"), "s_suppkey")).alias("r")),
     ]
     table = sides[0].union(sides[1]).union(sides[2]).select("r.*")
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    key = ["l_orderkey", "l_partkey", "l_suppkey"]
-    keys = rows.select(*key, F.posexplode(F.array(*(F.struct(F.lit(k).alias("id_type"), F.col(c).alias("id_value")) for k, c in (("order", "l_orderkey"), ("part", "l_partkey"), ("supplier", "l_suppkey"))))).alias("pos", "k")).select(*key, "pos", "k.*")
-    found = registry.by_precedence(keys, table, key)
+    # dealt by order first, which serves the distinct rows and the first join
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct()
+    found = registry.by_columns(rows, table, [("order", "l_orderkey"), ("part", "l_partkey"), ("supplier", "l_suppkey")])
     hit = F.col("status") != "missing"
-    return found.select(*key, F.when(hit, F.col("id_type")).otherwise("none").alias("id_type"), F.coalesce(F.try_element_at("candidates", F.lit(1))["figi"], F.lit("")).alias("figi"))
+    return found.select(*rows.columns, F.when(hit, F.col("id_type")).otherwise("none").alias("id_type"), F.coalesce(F.try_element_at("candidates", F.lit(1))["figi"], F.lit("")).alias("figi"))
 
 
 @query("""
