@@ -53,11 +53,11 @@ def detect(facts: DataFrame, contexts: DataFrame, mode: str = "rounded") -> Data
     ref = F.struct("context_ref", F.col("qname.clark").alias("concept"), "value", "decimals", "precision", "fact_id")
     rows = rows.withColumns({"__text": text, "__nil": nil, "__plain": ~nil & (~numeric | value.isNull()), "__low": F.when(~nil, span["low"]), "__high": F.when(~nil, span["high"])})
     groups = rows.groupBy("accession", "signature").agg(
-        F.count("*").alias("n_facts"), F.count_distinct("__text").alias("n_values"), F.bool_or("__plain").alias("plain"),
+        F.count("*").alias("n_facts"), F.min("__text").alias("least"), F.max("__text").alias("most"), F.bool_or("__plain").alias("plain"),
         F.bool_or("__nil").alias("some_nil"), F.bool_and("__nil").alias("all_nil"), F.max("__low").alias("low"), F.min("__high").alias("high"),
         F.array_sort(F.collect_list(ref)).alias("facts"),
     )
-    strict = F.col("n_values") > 1
+    strict = F.coalesce(F.col("least") != F.col("most"), F.lit(False))  # two values, without a count of distinct ones, which would group by the text too
     rounded = (F.col("some_nil") & ~F.col("all_nil")) | F.coalesce(F.col("low") > F.col("high"), F.lit(False))
     conflict = strict if mode == "strict" else F.when(F.col("plain"), strict).otherwise(rounded)
     found = groups.where((F.col("n_facts") > 1) & conflict)

@@ -227,3 +227,11 @@ def test_sets(spark):
     assert [r["k"] for r in sets.common(a, b, ["k"]).collect()] == [2]
     rows = spark.createDataFrame([("12-3", None), ("123", "x")], "cusip string, isin string")
     assert sorted(r[:] for r in sets.seeds(rows, ["cusip", "isin"]).collect()) == [("cusip", "123"), ("isin", "X")]
+
+
+def test_duplicates_count_no_distinct_values(spark):
+    """A count of distinct texts groups by signature and text first, in one more exchange."""
+    rows = spark.createDataFrame([fact(1, "5"), fact(2, "6"), fact(3, None)], FACT)
+    found = facts.detect(rows, spark.createDataFrame([context()], CONTEXT), "strict")
+    assert "distinct" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r["n_facts"] for r in found.collect()] == [3]
