@@ -16,8 +16,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratalens.functions import text as T
-
 #: Keywords that say nothing of a value, and those that are compiled.
 NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment"}
 KNOWN = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "format", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref"}
@@ -27,6 +25,12 @@ TYPES = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "B
 FORMATS = {"date": r"^\d{4}-\d{2}-\d{2}$", "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$"}
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, as an aggregation over nothing: ``text.let`` takes the one element of a transformed array, and would work out
+    that array's type for each row, which goes through all of f and, nested, through each f inside again."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, f)
+
+
 def no_violations() -> Column:
     return F.array().cast(VIOLATIONS)
 
@@ -49,7 +53,7 @@ class Compiler:
         # bound, as nothing is shared inside a lambda; the type of an object or array comes from its parts, since its schema would be that of all below it
         parts = F.struct(value.alias("value"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"), F.try_variant_get(value, "$", "array<variant>").alias("items"))
         kind = lambda p: F.when(p["fields"].isNotNull(), "OBJECT").when(p["items"].isNotNull(), "ARRAY").otherwise(F.coalesce(F.schema_of_variant(p["value"]), F.lit("VOID")))
-        return T.let(parts, lambda p: T.let(kind(p), lambda k: self.rules(schema, p, k, path, open_)))
+        return bound(parts, lambda p: bound(kind(p), lambda k: self.rules(schema, p, k, path, open_)))
 
     @staticmethod
     def told(keyword: str, at: Column) -> Column:
@@ -157,4 +161,4 @@ class Compiler:
 def violations(text: Column, schema: Mapping) -> Column:
     """array of (path, keyword) in the order of path and keyword; empty where the text is valid."""
     own = Compiler(schema)
-    return T.let(F.try_parse_json(text), lambda v: F.when(v.isNull(), own.told("parse", F.lit("$"))).otherwise(F.array_sort(own.compile(schema, v, F.lit("$")))))
+    return bound(F.try_parse_json(text), lambda v: F.when(v.isNull(), own.told("parse", F.lit("$"))).otherwise(F.array_sort(own.compile(schema, v, F.lit("$")))))
