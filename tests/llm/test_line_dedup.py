@@ -78,3 +78,35 @@ def test_group_of_near_copies(spark, monkeypatch):
     got = {(r["doc_id"], k) for r in line_dedup.removals(df).collect() for k in r["removed"]}
     assert got == {(i, k) for i, _, k in brute(rows)} and len(got) > 250
     assert sizes[0] < 300 * 299 / 2 / 3
+
+
+def test_long_lines_that_share_words_are_no_candidates(spark, monkeypatch):
+    """Unlike lines of 150 of 600 words: nearly all pairs share a word among their first ones, and none has to be verified."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.sample([f"w{k}" for k in range(600)], 150))) for i in range(60)]
+    near = rows[0][1].split(" ")
+    near[::15] = [f"x{k}" for k in range(10)]
+    rows.append((60, " ".join(near)))
+    sizes = []
+    real = line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda c: (lambda p: sizes.append(p.count()) or p)(real(c)))
+    got = {(r["doc_id"], k) for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect() for k in r["removed"]}
+    assert got == {(i, k) for i, _, k in brute(rows)} == {(60, 0)}
+    assert sizes[0] <= 30
+
+
+def test_later_line_that_is_gone_is_no_candidate(spark):
+    """Two near lines of which the later is gone: nothing to find. Of which the earlier is gone: the later may go for its sake."""
+    rows = [(i, 0, 0, "alpha beta gamma delta epsilon zeta eta theta iota " + w) for i, w in enumerate(["x", "y"])]
+    df = spark.createDataFrame(rows, "doc_id long, h long, l int, text string").select("doc_id", "h", "text")
+    classes = line_dedup.split_lines(df, "0" * line_dedup.SLOTS)
+    found = lambda at: [tuple(r) for r in line_dedup.candidates(classes.withColumn("gone", F.col("doc_id") == at)).collect()]
+    assert found(1) == [] and found(0) == [(0, 0, 1, 0)] and found(-1) == [(0, 0, 1, 0)]
+
+
+def test_near_lines_at_one_place_of_two_texts(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i k"), (1, "q\na b c d e f g h i l"), (2, "Ä b\tc"), (3, "ä b c"), (4, "Ä B c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    hashes = {r["text"]: r["h"] for r in line_dedup.identified(df).collect()}
+    texts = {h: t for t, h in hashes.items()}
+    assert {(r["doc_id"], texts[r["h"]], r["line_no"]) for r in line_dedup.removed_lines(df).collect()} == brute(rows, hashes)
