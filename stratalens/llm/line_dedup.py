@@ -40,7 +40,7 @@ WIDE = 64
 #: Bits of the filter on the lines that are fetched for verification: a fixed size, six a sign.
 LINE_BITS = 6 << 18
 #: Letters and signs outside A-Z that have a lower case: lower() would change them, and only A-Z counts.
-CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
+CASED = r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ID = ["doc_id", "h", "line_no"]
 #: A line's place: its identity where a doc_id has one text.
@@ -57,10 +57,17 @@ def plain(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).when(word.rlike(CASED), F.translate(word, UPPER, LOWER)).otherwise(F.lower(word))
 
 
+def spaced(text: Column) -> Column:
+    """Blanks in place of other white space within a line."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\r"))
+    return F.when(odd, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
+
+
 def words(line: Column) -> Column:
-    """The words of a line, A-Z lower-cased, with empty ones where white space is doubled. Signs are looked at one by one only where lower() may change more than A-Z."""
-    parts = lambda t: F.split(F.when(F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\x0b")) | F.contains(t, F.lit("\f")) | F.contains(t, F.lit("\r")), F.regexp_replace(t, r"[\t\x0B\f\r]", " ")).otherwise(t), " ")
-    return F.when(F.octet_length(line) == F.char_length(line), parts(F.lower(line))).when(F.lower(line) == line, parts(line)).otherwise(F.transform(parts(line), plain))
+    """The words of a ``spaced`` line, A-Z lower-cased, with empty ones where blanks are doubled. They are looked at one by one only where lower() may change more than A-Z."""
+    low = F.lower(line)
+    same = (F.octet_length(line) == F.char_length(line)) | (low == line) | ~line.rlike(CASED)
+    return F.when(same, F.split(low, " ")).otherwise(F.transform(F.split(line, " "), plain))
 
 
 def word_set(line: Column) -> Column:
@@ -86,8 +93,8 @@ def levels(texts: DataFrame) -> str:
 
 
 def parity(hashes: Column) -> Column:
-    """64 bits: how many hashes end in each six, modulo 2."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    """64 bits: how many words have each, modulo 2. A shift counts modulo 64."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(h))))
 
 
 def split_lines(docs: DataFrame, table: str) -> DataFrame:
@@ -99,6 +106,7 @@ def split_lines(docs: DataFrame, table: str) -> DataFrame:
         return F.shiftleft(F.get(level, F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")).cast("long"), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
     each = docs.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.select(*ID, spaced(F.col("line")).alias("line"))
     each = each.select(*ID, F.transform(word_set(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
     each = each.select(*ID, "hashes", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     return each.select(
@@ -107,7 +115,7 @@ def split_lines(docs: DataFrame, table: str) -> DataFrame:
         F.when(F.col("n") < WIDE, F.lit(0).cast("long")).otherwise(parity(F.filter("hashes", lambda h: h.bitwiseAND(F.lit(64)) != 0))).alias("more"),
         F.array(F.array_min("hashes"), F.array_max("hashes")).alias("lows"),
         F.slice("keys", 1, F.expr("n - (80 * n + 99) div 100 + 1").cast("int")).alias("prefix"),
-    ).withColumn("prefix", F.transform("prefix", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")))
+    ).withColumn("prefix", F.transform("prefix", lambda k: F.hash(k)))
 
 
 def least(n: str, m: str) -> str:
@@ -171,7 +179,7 @@ def verified(docs: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     ids = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     ids = shared.written(ids, f"{path}-ids")
     each = docs.where("doc_id is not null").select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = shared.written(each.where(line_filter(ids)).join(ids, AT).distinct(), f"{path}-lines")
+    lines = shared.written(each.where(line_filter(ids)).join(ids, AT).select(*ID, spaced(F.col("line")).alias("line")).distinct(), f"{path}-lines")
     side = lambda s: lines.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.struct(*ID).alias(s), F.col("line").alias(f"line_{s}"))
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"]).where("a <> b")
     both = both.select(F.greatest("a", "b").alias("later"), word_set(F.col("line_a")).alias("s"), word_set(F.col("line_b")).alias("t"))
